@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MAX_WINDOWS = 1 << 17
+_MAX_WINDOWS = 1 << 16
 
 
 def _codes(s: str) -> np.ndarray:
@@ -41,127 +41,145 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if total == 0 else 100.0 * (1.0 - (total - 2 * lcs_length(a, b)) / total)
 
 
-def _window_lcs(table: np.ndarray, ids: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-    """LCS of the needle with the window of length m at each start."""
+def _window_lcs(table: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """LCS of each window with its needle. Windows come with the longest needles first."""
     words = table.shape[1]
+    columns = [np.ascontiguousarray(table[:, k]) for k in range(words)]
     rows = [np.full(starts.shape[0], ~np.uint64(0)) for _ in range(words)]
-    for j in range(m):
-        at = ids[starts + j]
+    # windows still running at step j are a prefix, because lengths fall
+    running = np.searchsorted(-lengths, -np.arange(lengths[0] if lengths.shape[0] else 0), side="left")
+    for j, n in enumerate(running):
+        at = ids.take(starts[:n] + j)
         carry = None
         for k in range(words):
-            row = rows[k]
-            mask = table[at, k]
+            row = rows[k][:n]
+            mask = columns[k].take(at)
             hit = row & mask
             add = row + hit
-            over = add < row
-            if carry is not None:
+            if k + 1 < words:
+                over = add < row
+                if carry is not None:
+                    add = add + carry
+                    over |= add < carry
+                carry = over.astype(np.uint64)
+            elif carry is not None:
                 add = add + carry
-                over |= add < carry
-            rows[k] = add | (row & ~mask)
-            carry = over.astype(np.uint64) if k + 1 < words else None
+            rows[k][:n] = add | (row & ~mask)
     out = np.zeros(starts.shape[0], dtype=np.int64)
     for k in range(words):
-        bits = min(64, m - 64 * k)
-        keep = ~np.uint64(0) if bits == 64 else np.uint64((1 << bits) - 1)
-        out += np.bitwise_count(~rows[k] & keep)
+        out += np.bitwise_count(~rows[k] & keep[:, k])
     return out
 
 
-def _needle_table(needle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    letters = np.unique(needle)
-    words = (needle.shape[0] + 63) // 64
-    table = np.zeros((letters.shape[0] + 1, words), dtype=np.uint64)
-    slot = np.searchsorted(letters, needle) + 1
-    for i, s in enumerate(slot):
-        table[s, i // 64] |= np.uint64(1) << np.uint64(i % 64)
-    return letters, table
+def _needle_masks(needle: str, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of a needle, the places of each letter as bits, and the bits in use."""
+    code = _codes(needle)
+    letters, slot = np.unique(code, return_inverse=True)
+    masks = np.zeros((letters.shape[0], words), dtype=np.uint64)
+    place = np.arange(code.shape[0])
+    np.bitwise_or.at(masks, (slot, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    return letters, masks, np.bitwise_or.reduce(masks, axis=0)
 
 
-def best_windows(needle: str, texts: list[str]) -> np.ndarray:
-    """Best window ratio of the needle in each text; every text is at least as long as the needle.
+def _score_chunk(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Best window ratios of pairs ordered by falling needle length.
 
-    The LCS of two windows d places apart differs by at most d, so after every stride-th window is scored the
-    windows between are scored only where that bound still exceeds the best ratio of their text.
+    The LCS of two windows d places apart differs by at most d. So after every eighth window is scored, the windows
+    between are scored only where that bound still exceeds the best ratio of their pair.
     """
-    m = len(needle)
-    best = np.zeros(len(texts))
-    if m == 0:
-        return best
-    letters, table = _needle_table(_codes(needle))
-    pad = np.zeros(m - 1, dtype=np.int64)
-    lo = 0
-    while lo < len(texts):
-        hi, size, parts = lo, 0, []
-        while hi < len(texts) and (size == 0 or size + len(texts[hi]) + m < _MAX_WINDOWS):
-            code = _codes(texts[hi])
-            at = np.searchsorted(letters, code)
-            known = (at < letters.shape[0]) & (letters[np.minimum(at, letters.shape[0] - 1)] == code)
-            parts += [pad, np.where(known, at + 1, 0), pad]
-            size += len(texts[hi]) + m
-            hi += 1
-        ids = np.concatenate(parts)
-        lens = np.array([len(t) for t in texts[lo:hi]])
-        counts = lens + m - 1
-        base = np.concatenate([[0], np.cumsum(lens + 2 * (m - 1))[:-1]])
-        owner = np.repeat(np.arange(hi - lo), counts)
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = base[owner] + offset
-        real = np.minimum(offset + 1, np.minimum(m, lens[owner] + m - 1 - offset))
-        top = np.zeros(hi - lo)
-        lcs = np.full(starts.shape[0], -1, dtype=np.int64)
-        stride = 8 if m >= 24 else 1
-        todo = np.flatnonzero((offset % stride == 0) | (offset == counts[owner] - 1))
-        while True:
-            got = _window_lcs(table, ids, starts[todo], m)
-            lcs[todo] = got
-            total = m + real[todo]
-            np.maximum.at(top, owner[todo], 1.0 - (total - 2 * got) / total)
-            if stride == 1:
-                break
-            half = stride // 2
-            between = np.flatnonzero((offset % stride == half) & (lcs < 0))
-            left = lcs[between - half]
-            bound = np.minimum(left + half, np.minimum(m, real[between]))
-            total = m + real[between]
-            todo = between[1.0 - (total - 2 * bound) / total > top[owner[between]]]
-            # a window skipped here keeps its bound, which its own neighbours can use
-            lcs[between] = left + half
-            stride = half
-        best[lo:hi] = 100.0 * top
-        lo = hi
-    return best
+    words = (len(pairs[0][0]) + 63) // 64
+    known: dict[str, tuple[np.ndarray, np.ndarray, int]] = {}
+    tables, size = [np.zeros((1, words), dtype=np.uint64)], 1
+    parts, keeps = [], []
+    for needle, text in pairs:
+        if needle not in known:
+            letters, masks, used = _needle_masks(needle, words)
+            known[needle] = (letters, used, size)
+            tables.append(masks)
+            size += masks.shape[0]
+        letters, used, first = known[needle]
+        code = _codes(text)
+        at = np.minimum(np.searchsorted(letters, code), letters.shape[0] - 1)
+        pad = np.zeros(len(needle) - 1, dtype=np.int64)
+        parts += [pad, np.where(letters[at] == code, at + first, 0), pad]
+        keeps.append(used)
+    table, ids, keep = np.concatenate(tables), np.concatenate(parts), np.array(keeps)
+    m = np.array([len(n) for n, _ in pairs])
+    n = np.array([len(t) for _, t in pairs])
+    counts = n + m - 1
+    owner = np.repeat(np.arange(len(pairs)), counts)
+    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.repeat(np.cumsum(n + 2 * (m - 1)) - (n + 2 * (m - 1)), counts) + offset
+    real = np.minimum(offset + 1, np.minimum(m[owner], counts[owner] - offset))
+    total = m[owner] + real
+    top = np.zeros(len(pairs))
+    lcs = np.full(starts.shape[0], -1, dtype=np.int64)
+    stride = 8
+    todo = np.flatnonzero((offset % stride == 0) | (offset == counts[owner] - 1))
+    while True:
+        own = owner[todo]
+        got = _window_lcs(table, ids, starts[todo], m[own], keep[own])
+        lcs[todo] = got
+        np.maximum.at(top, own, 1.0 - (total[todo] - 2 * got) / total[todo])
+        if stride == 1:
+            return 100.0 * top
+        half = stride // 2
+        between = np.flatnonzero((offset % stride == half) & (lcs < 0))
+        bound = np.minimum(lcs[between - half] + half, np.minimum(m[owner[between]], real[between]))
+        # a window skipped here keeps its bound, which its own neighbours can use
+        lcs[between] = bound
+        todo = between[1.0 - (total[between] - 2 * bound) / total[between] > top[owner[between]]]
+        stride = half
+
+
+def best_windows(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Best window ratio of each (needle, text); a text is at least as long as its needle, which is not empty."""
+    out = np.zeros(len(pairs))
+    order = sorted(range(len(pairs)), key=lambda i: -len(pairs[i][0]))
+    chunk: list[int] = []
+    size = 0
+    for i in order:
+        windows = len(pairs[i][0]) + len(pairs[i][1])
+        if chunk and size + windows > _MAX_WINDOWS:
+            out[chunk] = _score_chunk([pairs[k] for k in chunk])
+            chunk, size = [], 0
+        chunk.append(i)
+        size += windows
+    if chunk:
+        out[chunk] = _score_chunk([pairs[k] for k in chunk])
+    return out
 
 
-def partial_ratio(a: str, b: str) -> float:
-    if not a and not b:
-        return 100.0
-    short, long_ = (a, b) if len(a) <= len(b) else (b, a)
-    score = float(best_windows(short, [long_])[0])
-    if len(a) == len(b) and score < 100.0:
-        score = max(score, float(best_windows(long_, [short])[0]))
-    return score
+def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Partial ratio of each pair; strings of equal length are tried both ways."""
+    pairs: list[tuple[str, str]] = []
+    rows: list[int] = []
+    out = np.zeros(len(a))
+    for i, (x, y) in enumerate(zip(a, b)):
+        short, long_ = (x, y) if len(x) <= len(y) else (y, x)
+        if not short:
+            out[i] = 100.0 if not long_ else 0.0
+            continue
+        pairs.append((short, long_))
+        rows.append(i)
+        if len(x) == len(y):
+            pairs.append((long_, short))
+            rows.append(i)
+    if pairs:
+        np.maximum.at(out, rows, best_windows(pairs))
+    return out
 
 
-def partial_ratios(needles: pd.Series, texts: pd.Series) -> pd.Series:
-    """Scores of one Arrow batch, grouped by needle so that windows of many texts advance together."""
-    out = np.zeros(len(needles))
-    usable = needles.notna().to_numpy() & texts.notna().to_numpy()
-    groups: dict[str, list[int]] = {}
-    for i in np.flatnonzero(usable):
-        groups.setdefault(needles.iat[i], []).append(i)
-    for needle, rows in groups.items():
-        longer = [i for i in rows if len(texts.iat[i]) > len(needle)]
-        if longer:
-            out[longer] = best_windows(needle, [texts.iat[i] for i in longer])
-        for i in rows:
-            if len(texts.iat[i]) <= len(needle):
-                out[i] = partial_ratio(needle, texts.iat[i])
-    return pd.Series(out)
+def partial_ratio(a: str, b: str) -> float:
+    return float(partial_ratios([a], [b])[0])
 
 
 @F.pandas_udf(T.DoubleType())
 def partial_ratio_udf(needles: pd.Series, texts: pd.Series) -> pd.Series:
-    return partial_ratios(needles, texts)
+    out = np.zeros(len(needles))
+    given = np.flatnonzero(needles.notna().to_numpy() & texts.notna().to_numpy())
+    out[given] = partial_ratios([needles.iat[i] for i in given], [texts.iat[i] for i in given])
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.DoubleType())

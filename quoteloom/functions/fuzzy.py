@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MAX_WINDOWS = 1 << 16
+_MAX_WINDOWS = 1 << 15
 
 
 def _codes(s: str) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.functions.fuzzy import labels_match_udf, partial_ratio_udf
-from quoteloom.functions.text import as_col, norm
+from quoteloom.functions.text import as_col, bind, norm
 from quoteloom.operators.documents import BLOCK, DOC, anchor_variants
 from quoteloom.session import cut_lineage
 from quoteloom.vocab import ANCHOR_LEVELS, FUZZY_THRESHOLD, STATE_BY_LEVEL, STUDY
@@ -53,100 +53,83 @@ def _longest(parts: Column) -> Column:
     return F.array_max(F.transform(parts, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p"))))["p"]
 
 
-def _windows3(words: Column, first: Column, last: Column) -> Column:
-    """Runs of three words that start at 1-based places first..last."""
-    return F.when(
-        last >= first,
-        F.transform(F.sequence(first, last), lambda i: F.array_join(F.slice(words, i, F.lit(3)), " ")),
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def quote_key(q: Column | str) -> Column:
-    """One key that every text containing the quote also has.
+    """Kind and text of one key that every text containing the quote also has.
 
-    The first and last words of a quote may be parts of longer words; those between are whole. So the key is
-    three inner words, or one, or for quotes of one or two words three characters, or one.
+    The first and last words of a quote may be parts of longer words; those between are whole. So the key is the
+    longest word between them. Quotes of one or two words are keyed by three characters, or one.
     """
-    words = F.split(as_col(q), " ")
-    n = F.size(words)
-    inner = F.slice(words, F.lit(2), F.greatest(n - 2, F.lit(0)))
-    piece = _longest(words)
-    return (
-        F.when(n >= 5, F.concat(F.lit("s:"), _longest(_windows3(words, F.lit(2), n - 3))))
-        .when(n >= 3, F.concat(F.lit("w:"), _longest(inner)))
-        .when(F.char_length(piece) >= 3, F.concat(F.lit("g:"), F.substr(piece, F.lit(1), F.lit(3))))
-        .otherwise(F.concat(F.lit("c:"), F.substr(piece, F.lit(1), F.lit(1))))
-    )
 
+    def choose(words: Column) -> Column:
+        inner = _longest(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
+        piece = _longest(words)
 
-def text_keys(text: Column | str, kinds: Column | str) -> Column:
-    """All keys of a text, of the kinds asked for."""
-    words = F.split(as_col(text), " ")
-    distinct = F.array_distinct(words)
-    none = F.array().cast("array<string>")
+        def key(kind: str, text: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), text.alias("key"))
 
-    def grams(size: int) -> Column:
-        return F.flatten(
-            F.transform(
-                distinct,
-                lambda w: F.when(
-                    F.char_length(w) >= size,
-                    F.transform(F.sequence(F.lit(1), F.char_length(w) - (size - 1)), lambda i: F.substr(w, i, F.lit(size))),
-                ).otherwise(none),
-            )
+        return (
+            F.when(F.size(words) >= 3, key("word", inner))
+            .when(F.char_length(piece) >= 3, key("three", F.substr(piece, F.lit(1), F.lit(3))))
+            .otherwise(key("one", F.substr(piece, F.lit(1), F.lit(1))))
         )
 
-    def part(kind: str, keys: Column) -> Column:
-        return F.when(
-            F.array_contains(as_col(kinds), kind), F.transform(F.array_distinct(keys), lambda k: F.concat(F.lit(kind + ":"), k))
-        ).otherwise(none)
+    return bind(F.split(as_col(q), " "), choose)
+
 
-    return F.concat(
-        part("s", _windows3(words, F.lit(1), F.size(words) - 2)), part("w", distinct), part("g", grams(3)), part("c", grams(1))
+def _pieces(words: Column, size: int) -> Column:
+    """All runs of ``size`` characters inside words."""
+    none = F.array().cast("array<string>")
+    return F.flatten(
+        F.transform(
+            words,
+            lambda w: F.when(
+                F.char_length(w) >= size,
+                F.transform(F.sequence(F.lit(1), F.char_length(w) - (size - 1)), lambda i: F.substr(w, i, F.lit(size))),
+            ).otherwise(none),
+        )
     )
 
 
-def locate_literal(quotes: DataFrame, texts: DataFrame, scope: list[str], unit: list[str]) -> DataFrame:
+def locate_literal(quotes: DataFrame, texts: DataFrame, scope: list[str], unit: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Every (quote, text) pair in which the text contains the quote, inside the same scope.
 
     ``quotes``: scope and ``q``. ``texts``: scope, unit and ``variants`` (comparable texts of the unit).
     Pairs are proposed by an equi-join on word keys, which loses none, and then checked; texts travel once per
-    proposed pair, not once per key. Returns scope, q, unit, ``variant`` and ``start`` of the first variant.
+    proposed pair, not once per key. Only scopes that hold a quote of a kind give keys of that kind. Returns
+    scope, q, unit, the carried columns of the text, and ``variant`` and ``start`` of the first variant that has
+    the quote.
     """
-    keyed = quotes.select(*scope, "q").filter("q <> ''").distinct().withColumn("_key", quote_key("q"))
-    kind = F.substring("_key", 1, 1)
-    narrow = texts.select(*scope, *unit, "variants")
-    if scope:
-        kinds = keyed.groupBy(*scope).agg(F.collect_set(kind).alias("_kinds"))
-        wanted = narrow.join(kinds, scope)
-    else:
-        wanted = narrow.withColumn("_kinds", keyed.agg(F.collect_set(kind)).scalar())
-    posted = wanted.select(
-        *scope, *unit,
-        F.explode(F.array_distinct(F.flatten(F.transform("variants", lambda t: text_keys(t, F.col("_kinds")))))).alias("_key"),
+    keyed = (
+        quotes.select(*scope, "q").filter("q <> ''").distinct().withColumn("_k", quote_key("q"))
+        .select(*scope, "q", F.col("_k.kind").alias("_kind"), F.col("_k.key").alias("_key"))
     )
-    proposed = keyed.join(posted, [*scope, "_key"]).select(*scope, "q", *unit)
+    narrow = texts.select(*scope, *unit, F.array_distinct(F.flatten(F.transform("variants", lambda t: F.split(t, " ")))).alias("_words"))
+
+    def posted(kind: str, keys: Column) -> DataFrame:
+        asked = keyed.filter(F.col("_kind") == kind)
+        wanted = narrow.join(asked.select(*scope).distinct(), scope, "left_semi") if scope else narrow.filter(asked.select("q").exists())
+        return wanted.select(*scope, *unit, F.lit(kind).alias("_kind"), F.explode(F.array_distinct(keys)).alias("_key"))
+
+    every = (
+        posted("word", F.col("_words"))
+        .unionByName(posted("three", _pieces(F.col("_words"), 3)))
+        .unionByName(posted("one", _pieces(F.col("_words"), 1)))
+    )
+    proposed = keyed.join(every, [*scope, "_kind", "_key"]).select(*scope, "q", *unit)
     places = F.transform("variants", lambda t: F.call_function("locate", F.col("q"), t))
     numbered = F.transform(places, lambda at, i: F.struct(i.alias("variant"), at.alias("at")))
     hit = F.get(F.filter(numbered, lambda x: x["at"] > 0), F.lit(0))
     return (
-        proposed.join(narrow, [*scope, *unit])
-        .filter(F.exists("variants", lambda t: F.contains(t, F.col("q"))))
-        .withColumn("_hit", hit)
-        .select(*scope, "q", *unit, F.col("_hit.variant").alias("variant"), (F.col("_hit.at") - 1).alias("start"))
+        proposed.join(texts.select(*scope, *unit, *carry, "variants"), [*scope, *unit])
+        .withColumn("_hit", hit).filter("_hit is not null")
+        .select(*scope, "q", *unit, *carry, F.col("_hit.variant").alias("variant"), (F.col("_hit.at") - 1).alias("start"))
     )
 
 
 def first_in_document(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
     """First block of the document, in reading order, that contains each quote."""
-    units = blocks.select(*DOC, "pos", "block_id", "page", "rect", "variants")
-    pairs = locate_literal(quotes, units, DOC, ["block_id"])
-    places = units.select(*BLOCK, "pos", "page", "rect")
-    return (
-        pairs.join(places, BLOCK)
-        .groupBy(*DOC, "q")
-        .agg(F.min_by(F.struct("block_id", "page", "rect", "start"), "pos").alias("found"))
-    )
+    pairs = locate_literal(quotes, blocks, DOC, ["block_id"], ("pos", "page", "rect"))
+    return pairs.groupBy(*DOC, "q").agg(F.min_by(F.struct("block_id", "page", "rect", "start"), "pos").alias("found"))
 
 
 def passage_locations(quotes: DataFrame, texts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quoteloom.functions.fuzzy import partial_ratio_udf
 from quoteloom.functions.grid import html_grid_udf
-from quoteloom.functions.text import as_col, blank, join_lines, norm, unescape
+from quoteloom.functions.text import as_col, bind, blank, join_lines, norm, unescape
 from quoteloom.operators.ordering import running_sum
 from quoteloom.vocab import BBOX_SCALE, BLOCK_ID_PATTERN, BLOCK_TYPE_BY_ITEM, BLOCK_TYPES
 
@@ -68,6 +68,10 @@ def item_text(kind: Column, grid: Column) -> Column:
 
 def cells_of_grid(grid: Column) -> Column:
     """Body cells with text, labelled by the first column of the row and the header row of the column."""
+    return bind(grid, _labelled_cells)
+
+
+def _labelled_cells(grid: Column) -> Column:
     header = F.get(grid, F.lit(0))
     body = F.transform(
         grid,
@@ -231,18 +235,26 @@ def labelled_lines(blocks: DataFrame) -> DataFrame:
     tag = F.format_string("[%s | tabla | Tabla %s]", F.col("block_id"), F.col("table_no"))
     grid_rows = F.transform(F.coalesce("grid", F.array().cast("array<array<string>>")), lambda row: F.array_join(row, " "))
     every = F.filter(F.split("text", "\n"), lambda ln: ln != "")
-    free = F.filter(every, lambda ln: ~F.array_contains(grid_rows, ln))
-    first_row = F.array_position(F.transform(every, lambda ln: F.array_contains(grid_rows, ln)), True)
-    captions = F.when(first_row > 0, (first_row - 1).cast("int")).otherwise(F.size(every))
-    caption_lines = F.transform(
-        F.slice(free, F.lit(1), captions), lambda ln: F.concat(tag, F.lit(" leyenda: "), ln))
-    note_lines = F.transform(
-        F.slice(free, captions + 1, F.size(free)), lambda ln: F.concat(tag, F.lit(" nota: "), ln))
-    cell_lines = F.transform(
-        "cells",
-        lambda c: F.concat(
-            tag, F.lit(' fila "'), c["row_label"], F.lit('" | columna "'), c["col_label"], F.lit('" = "'), c["text"], F.lit('"')
-        ),
+
+    def table_lines(tag_: Column, rows: Column, lines_: Column) -> Column:
+        free = F.filter(lines_, lambda ln: ~F.array_contains(rows, ln))
+        first_row = F.array_position(F.transform(lines_, lambda ln: F.array_contains(rows, ln)), True)
+        captions = F.when(first_row > 0, (first_row - 1).cast("int")).otherwise(F.size(lines_))
+        cell_lines = F.transform(
+            "cells",
+            lambda c: F.concat(
+                tag_, F.lit(' fila "'), c["row_label"], F.lit('" | columna "'), c["col_label"], F.lit('" = "'), c["text"], F.lit('"')
+            ),
+        )
+        return F.concat(
+            F.transform(F.slice(free, F.lit(1), captions), lambda ln: F.concat(tag_, F.lit(" leyenda: "), ln)),
+            cell_lines,
+            F.transform(F.slice(free, captions + 1, F.size(free)), lambda ln: F.concat(tag_, F.lit(" nota: "), ln)),
+        )
+
+    of_table = bind(
+        F.struct(tag.alias("tag"), grid_rows.alias("rows"), every.alias("lines")),
+        lambda x: table_lines(x["tag"], x["rows"], x["lines"]),
     )
     in_image = F.array(F.concat(tag, F.format_string(" (tabla en imagen; ver página %s en PNG)", F.col("page"))))
     figure = F.array(
@@ -254,7 +266,7 @@ def labelled_lines(blocks: DataFrame) -> DataFrame:
     )
     lines = (
         F.when(F.col("is_table") & F.col("is_image"), F.transform(in_image, unescape))
-        .when(F.col("is_table"), F.transform(F.concat(caption_lines, cell_lines, note_lines), unescape))
+        .when(F.col("is_table"), F.transform(of_table, unescape))
         .when(F.col("type") == "figura", figure)
         .otherwise(plain)
     )
@@ -318,14 +330,18 @@ def quote_fragments(fragments: DataFrame, quotes: DataFrame) -> DataFrame:
 
     def original(joined_at: Column) -> Column:
         """Place in the page text of a place in the text without breaks: two characters per break before it."""
-        passed = F.aggregate(
-            lens,
-            F.struct(F.lit(0).alias("len"), F.lit(0).alias("n")),
-            lambda acc, ln: F.when(
-                acc["len"] + ln <= joined_at, F.struct((acc["len"] + ln).alias("len"), (acc["n"] + 1).alias("n"))
-            ).otherwise(F.struct(F.lit(1 << 30).alias("len"), acc["n"].alias("n"))),
-        )
-        return joined_at + 2 * passed["n"]
+
+        def shift(at: Column) -> Column:
+            passed = F.aggregate(
+                lens,
+                F.struct(F.lit(0).alias("len"), F.lit(0).alias("n")),
+                lambda acc, ln: F.when(
+                    acc["len"] + ln <= at, F.struct((acc["len"] + ln).alias("len"), (acc["n"] + 1).alias("n"))
+                ).otherwise(F.struct(F.lit(1 << 30).alias("len"), acc["n"].alias("n"))),
+            )
+            return at + 2 * passed["n"]
+
+        return bind(joined_at, shift)
 
     direct = F.col("_at") >= 0
     spans = found.select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.functions.text import norm
+from quoteloom.functions.text import bind, norm
 from quoteloom.functions.typed import cell_text, is_null
 from quoteloom.operators.anchoring import initial_review_state, level_rank
 from quoteloom.operators.ordering import running_sum
@@ -115,17 +115,21 @@ def assemble_cells(rows: DataFrame, columns: DataFrame, anchors: DataFrame) -> D
     raw = F.coalesce(F.col("traz.evidencia")[key], F.array().cast("array<struct<pagina_pdf:int,ubicacion:string,fila_tabla:string,columna_tabla:string,cita_textual:string,leido_de_figura:boolean,bloque_id:string>>"))
     mine = F.filter(F.coalesce("_anchors", F.array().cast("array<struct<column:string,ev_idx:int,level:string,similarity:double,anchor_block:string,page:int>>")),
                     lambda a: a["column"] == key)
-    evidence = F.transform(
-        F.filter(raw, lambda e: e.isNotNull()),
-        lambda e, i: F.struct(
-            F.coalesce(e["pagina_pdf"], F.lit(0)).alias("page"), F.coalesce(e["ubicacion"], F.lit("")).alias("location"),
-            F.coalesce(e["cita_textual"], F.lit("")).alias("quote"), F.coalesce(e["leido_de_figura"], F.lit(False)).alias("figure"),
-            e["fila_tabla"].alias("table_row"), e["columna_tabla"].alias("table_col"), e["bloque_id"].alias("block_id"),
-            F.get(F.filter(F.col("_mine"), lambda a: a["ev_idx"] == i), F.lit(0)).alias("anchor"),
-        ),
-    )
-    inference = F.get(F.filter("traz.inferencias", lambda x: x["columna"] == key), F.size(F.filter("traz.inferencias", lambda x: x["columna"] == key)) - 1)
-    step = wide.withColumns({"_mine": mine}).withColumns({
+
+    def with_anchor(own: Column) -> Column:
+        return F.transform(
+            F.filter(own["raw"], lambda e: e.isNotNull()),
+            lambda e, i: F.struct(
+                F.coalesce(e["pagina_pdf"], F.lit(0)).alias("page"), F.coalesce(e["ubicacion"], F.lit("")).alias("location"),
+                F.coalesce(e["cita_textual"], F.lit("")).alias("quote"), F.coalesce(e["leido_de_figura"], F.lit(False)).alias("figure"),
+                e["fila_tabla"].alias("table_row"), e["columna_tabla"].alias("table_col"), e["bloque_id"].alias("block_id"),
+                F.get(F.filter(own["anchors"], lambda a: a["ev_idx"] == i), F.lit(0)).alias("anchor"),
+            ),
+        )
+
+    evidence = bind(F.struct(raw.alias("raw"), mine.alias("anchors")), with_anchor)
+    inference = F.try_element_at(F.filter("traz.inferencias", lambda x: x["columna"] == key), F.lit(-1))
+    step = wide.withColumns({
         "value": F.col("fila")[key],
         "evidence": evidence,
         "inference": F.when(inference.isNotNull(), F.struct(

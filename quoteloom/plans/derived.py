@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quoteloom.functions.text import words_of
 from quoteloom.operators.documents import blocks_from_items, effective_blocks
 from quoteloom.plans.registry import Tables
+from quoteloom.session import cut_lineage
 
 # kinds given to the lines of a document by their place, to exercise every kind of item
 ITEM_KINDS = ["text", "text", "text", "list", "table", "image", "chart", "equation", "interline_equation", "page_footnote",
@@ -71,6 +72,11 @@ def shown_blocks(t: Tables) -> DataFrame:
     return effective_blocks(blocks(t))
 
 
+def stored_blocks(t: Tables) -> DataFrame:
+    """Blocks as a stored table, which is what the anchoring steps read several times."""
+    return cut_lineage(shown_blocks(t))
+
+
 _KIND_SQL = "[" + ", ".join(f"'{k}'" for k in ITEM_KINDS) + f"][1 + pos % {len(ITEM_KINDS)}]"
 ITEMS = f"""
 lines AS (

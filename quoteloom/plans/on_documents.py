@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.functions.canonical import response_json, response_objects
+from quoteloom.functions.canonical import response_objects
 from quoteloom.functions.text import join_lines, norm, numbers_in, unescape, word_count
 from quoteloom.operators import anchoring, documents as docs
-from quoteloom.plans.derived import BLOCKS, EVIDENCE, ITEMS, blocks, evidence, items, pages, shown_blocks, sql_norm
+from quoteloom.plans.derived import BLOCKS, EVIDENCE, ITEMS, blocks, evidence, items, pages, shown_blocks, sql_norm, stored_blocks
 from quoteloom.plans.registry import Tables, query
-from quoteloom.sources.converter import complete_outputs, converter_items, converter_pages, rejected_outputs
+from quoteloom.sources.converter import converter_items, converter_pages, rejected_outputs
 
 
 # ------------------------------------------------------------------ blocks
@@ -225,7 +225,7 @@ def response_json_query(t: Tables) -> DataFrame:
 @query("anchor_literal", f"""WITH {EVIDENCE} SELECT project_id, doc_id, row_pos, level, CASE WHEN level IS NOT NULL THEN block_id END AS block_id,
   CASE WHEN level IS NOT NULL THEN start END AS start, CASE WHEN level IS NOT NULL THEN start + length(q) END AS "end" FROM literal""")
 def anchor_literal(t: Tables) -> DataFrame:
-    b = shown_blocks(t)
+    b = stored_blocks(t)
     a = anchoring.anchor_literal(evidence(t, b), b)
     found = F.col("level").isNotNull()
     return a.select("project_id", "doc_id", "row_pos", "level", F.when(found, F.col("block_id")).alias("block_id"),
@@ -235,14 +235,14 @@ def anchor_literal(t: Tables) -> DataFrame:
 @query("corrected_citations", f"""WITH {EVIDENCE} SELECT project_id, doc_id, row_pos, 'la cita está en ' || block_id || ', no en ' || cited AS note
 FROM literal WHERE level = 'VERIFICADA_CON_CORRECCION'""")
 def corrected_citations(t: Tables) -> DataFrame:
-    b = shown_blocks(t)
+    b = stored_blocks(t)
     return anchoring.anchor_literal(evidence(t, b), b).filter("level = 'VERIFICADA_CON_CORRECCION'").select("project_id", "doc_id", "row_pos", "note")
 
 
 @query("anchor_all_levels")
 def anchor_all_levels(t: Tables) -> DataFrame:
     """The whole cascade, approximate steps included."""
-    b = shown_blocks(t)
+    b = stored_blocks(t)
     a = anchoring.anchor(evidence(t, b), b)
     return a.select("project_id", "doc_id", "row_pos", "level", "similarity", "block_id", "page", "note")
 
@@ -252,7 +252,7 @@ quotes AS (SELECT *, {sql_norm('w[2]')} AS q FROM words)
 SELECT project_id, doc_id, pos AS row_pos, CASE WHEN q IS NULL OR q = '' THEN 'sin cita' ELSE 'celda de tabla' END AS note FROM quotes""")
 def anchor_table_cells(t: Tables) -> DataFrame:
     """Quotes of the first body cell of each table, named by its labels."""
-    b = shown_blocks(t)
+    b = stored_blocks(t)
     first = F.split("line", " ")
     lines = b.filter("is_table").withColumn("line", F.get(F.split("text", "\n"), F.lit(1)))
     ev = lines.select(
@@ -266,7 +266,7 @@ def anchor_table_cells(t: Tables) -> DataFrame:
 @query("fuzzy_near_page")
 def fuzzy_near_page(t: Tables) -> DataFrame:
     """Best approximate place of every quote that lost letters."""
-    b = shown_blocks(t).withColumn("variants", docs.anchor_variants())
+    b = stored_blocks(t).withColumn("variants", docs.anchor_variants())
     ev = evidence(t, b).withColumn("q", norm("quote"))
     quotes = ev.filter("quote <> '' and row_pos % 4 = 2").select("project_id", "doc_id", "q", F.col("page_hint").alias("near_page"))
     best = anchoring.best_near_page(quotes, b)
@@ -279,7 +279,7 @@ SELECT l.level, count(x.doc_id) AS n FROM levels l LEFT JOIN literal x ON x.leve
 
 @query("level_totals", _LITERAL_COUNTS)
 def level_totals(t: Tables) -> DataFrame:
-    b = shown_blocks(t)
+    b = stored_blocks(t)
     return anchoring.level_totals(anchoring.anchor_literal(evidence(t, b), b))
 
 
@@ -287,7 +287,7 @@ def level_totals(t: Tables) -> DataFrame:
   count(*) FILTER (level = 'VERIFICADA_CON_CORRECCION') AS "VERIFICADA_CON_CORRECCION", 0::BIGINT AS "POR_CONFIRMAR", 0::BIGINT AS "NO_VERIFICABLE"
 FROM literal GROUP BY ALL""")
 def level_summary(t: Tables) -> DataFrame:
-    b = shown_blocks(t)
+    b = stored_blocks(t)
     return anchoring.level_summary(anchoring.anchor_literal(evidence(t, b), b), ["project_id", "doc_id"])
 
 
@@ -297,7 +297,7 @@ SELECT project_id, doc_id, cell, CASE r WHEN 1 THEN 'VERIFICADA' WHEN 2 THEN 'VE
   CASE WHEN r <= 2 THEN 'PENDIENTE' ELSE 'NO_VERIFICABLE' END AS review_state FROM ranked""")
 def worst_level(t: Tables) -> DataFrame:
     """Cells of four evidences each; what no exact step finds counts as not verifiable here."""
-    b = shown_blocks(t)
+    b = stored_blocks(t)
     a = anchoring.anchor_literal(evidence(t, b), b).withColumn("level", F.coalesce("level", F.lit("NO_VERIFICABLE")))
     return anchoring.worst_level(a.withColumn("cell", F.floor(F.col("row_pos") / 4)), ["project_id", "doc_id", "cell"])
 
@@ -305,7 +305,7 @@ def worst_level(t: Tables) -> DataFrame:
 @query("attached_anchors", f"""WITH {EVIDENCE} SELECT project_id, doc_id, row_pos, CASE WHEN row_pos = max(row_pos) OVER (PARTITION BY project_id, doc_id) THEN level END AS level FROM literal""")
 def attached_anchors(t: Tables) -> DataFrame:
     """All rows of a document share their study, so only the last row takes anchors."""
-    b = shown_blocks(t)
+    b = stored_blocks(t)
     ev = evidence(t, b)
     out = anchoring.attach_anchors(ev, anchoring.anchor_literal(ev, b))
     return out.select("project_id", "doc_id", "row_pos", F.col("anchor.level").alias("level"))
@@ -314,7 +314,7 @@ def attached_anchors(t: Tables) -> DataFrame:
 @query("verified_rate", f"""WITH {EVIDENCE}, c AS (SELECT project_id, doc_id, count(*) AS quotes, count(*) FILTER (level IS NOT NULL) AS verified FROM literal WHERE NOT figure GROUP BY ALL)
 SELECT project_id, doc_id, quotes, verified, round(verified / quotes, 6) AS rate, verified / quotes >= 0.95 AS accepted FROM c""")
 def verified_rate(t: Tables) -> DataFrame:
-    b = shown_blocks(t)
+    b = stored_blocks(t)
     out = anchoring.verified_rate(anchoring.anchor_literal(evidence(t, b), b), ["project_id", "doc_id"])
     return out.withColumn("rate", F.round("rate", 6))
 
@@ -329,7 +329,7 @@ def passage_locations(t: Tables) -> DataFrame:
 @query("anchor_keys", f"""WITH {EVIDENCE} SELECT project_id, doc_id, row_pos || '|Muestra|0' AS key, cited AS block_id FROM evidence""")
 def anchor_keys(t: Tables) -> DataFrame:
     """Keys of named blocks, taken out of the evidence and merged back."""
-    b = shown_blocks(t)
+    b = stored_blocks(t)
     ev = evidence(t, b)
     merged = anchoring.merge_anchor_keys(ev.withColumn("block_id", F.lit(None).cast("string")), anchoring.anchor_keys(ev))
     return anchoring.anchor_keys(merged).select("project_id", F.col("extraction_id").alias("doc_id"), "key", "block_id")

@@ -3,26 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Fresh folder for intermediate tables, inside the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master, where no shared folder exists, falls back to a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{uuid.uuid4()}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of an intermediate result that several branches read.
+    """Intermediate result written once as a table, for several branches to read.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local master, where no
-    shared folder exists, falls back to a fresh temporary folder.
+    A written table survives lost executors, and the branches prune its columns and know its size.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = f"{shared_folder(df.sparkSession)}/part"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def local_session(cpus: str = "8", partitions: int = 8, name: str = "quoteloom") -> SparkSession:

@@ -82,7 +82,7 @@ def decision_points(findings: DataFrame, rows: DataFrame) -> DataFrame:
     joined = placed.join(values, [*EXT, "row_pos"], "left")
     in_row = F.map_contains_key("fila", F.col("column"))
     own = F.when(in_row, cell_json(F.col("fila")[F.col("column")])).otherwise(
-        F.coalesce(F.get_json_object("_traz", F.concat(F.lit("$['"), F.col("column"), F.lit("']"))), F.lit("null")))
+        F.coalesce(F.call_function("get_json_object", F.col("_traz"), F.concat(F.lit("$['"), F.col("column"), F.lit("']"))), F.lit("null")))
     return joined.select(
         *EXT, "doc_id", "finding_id", "row_pos", "study", "column",
         F.when(blind, F.col("a")).when(F.col("row_pos").isNotNull(), own).otherwise("null").alias("own_value"),

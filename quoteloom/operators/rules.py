@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoteloom.functions.text import norm, numbers_in, word_count
+from quoteloom.functions.text import bind, norm, numbers_in, word_count
 from quoteloom.functions.typed import cell_json, cell_text, is_null, is_number
 from quoteloom.operators.anchoring import evidence_of, locate_literal
 from quoteloom.operators.documents import DOC, anchor_variants
@@ -108,13 +108,13 @@ def v09_sample() -> list[Column]:
 
 def v10_transcript() -> list[Column]:
     numbers = numbers_in(text(TRANSCRIPT))
-    out = []
-    for k in (R_COL, BETA_COL):
-        v = num(k)
-        absent = ~F.exists(numbers, lambda x, v=v: F.abs(F.abs(v) - x) < 0.0005)
-        out.append(problem("V10", "E", k, F.concat(F.lit(f"{k} = "), cell_json(value(k)), F.lit(" no aparece en la transcripción")),
-                           ~missing(k) & absent))
-    return out
+
+    def check(k: str) -> Column:
+        absent = ~F.exists(numbers, lambda x: F.abs(F.abs(num(k)) - x) < 0.0005)
+        return problem("V10", "E", k, F.concat(F.lit(f"{k} = "), cell_json(value(k)), F.lit(" no aparece en la transcripción")),
+                       ~missing(k) & absent)
+
+    return [check(R_COL), check(BETA_COL)]
 
 
 def v11_single_item() -> list[Column]:
@@ -373,13 +373,19 @@ def v01_repeated_study(rows: DataFrame) -> DataFrame:
                         F.format_string("Estudio %s repetido", "_shown").alias("message"))
 
 
+def _with_several_values(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more than one distinct ``v``. Distinct values are reduced before the shuffle, so a hot key is small."""
+    return cells.select(*keys, "v").distinct().groupBy(*keys).count().filter("count > 1").drop("count")
+
+
 def v02_document_constant(rows: DataFrame, meta: DataFrame) -> DataFrame:
     """Document-level columns that change inside a document; 1 and 1.0 differ."""
     keys = F.filter("document_level", lambda k: k.isNotNull())
     cells = rows.join(meta.select("project_id", "document_level"), "project_id").select(
         "project_id", "extraction_id", cell_json(value(DOCUMENT)).alias("document"), F.col("fila"), F.explode(keys).alias("column"))
-    grouped = cells.withColumn("_v", cell_json(F.col("fila")[F.col("column")])).groupBy("project_id", "extraction_id", "document", "column")
-    return grouped.agg(F.min("_v").alias("_a"), F.max("_v").alias("_b")).filter("_a <> _b").select(
+    changing = _with_several_values(
+        cells.withColumn("v", cell_json(F.col("fila")[F.col("column")])), ["project_id", "extraction_id", "document", "column"])
+    return changing.select(
         "project_id", "extraction_id", "document", F.lit("V02").alias("rule"), F.lit("E").alias("severity"), "column",
         F.format_string("Documento %s: '%s' cambia entre filas", "document", "column").alias("message"))
 
@@ -388,10 +394,9 @@ def v20_sample_constant(rows: DataFrame) -> DataFrame:
     """Country, population, design and dates that change inside a sample."""
     entries = F.array(*[F.struct(F.lit(k).alias("column"), cell_json(value(k)).alias("v")) for k in SAMPLE_CONSTANT_KEYS])
     cells = rows.select("project_id", "extraction_id", traz("id_muestra").alias("sample"), F.explode(entries).alias("e"))
+    changing = _with_several_values(cells.select("project_id", "extraction_id", "sample", "e.*"), ["project_id", "extraction_id", "sample", "column"])
     return (
-        cells.groupBy("project_id", "extraction_id", "sample", "e.column")
-        .agg(F.min("e.v").alias("_a"), F.max("e.v").alias("_b")).filter("_a <> _b")
-        .select("project_id", "extraction_id", "sample", F.lit("V20").alias("rule"), F.lit("A").alias("severity"), "column",
+        changing.select("project_id", "extraction_id", "sample", F.lit("V20").alias("rule"), F.lit("A").alias("severity"), "column",
                 F.format_string("Muestra %s: '%s' cambia entre filas", "sample", "column").alias("message"))
     )
 
@@ -411,29 +416,33 @@ def vocabulary_ok(c: Column, allowed: Column, data_type: Column) -> Column:
 
 def schema_violations(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Types, vocabularies, required and unknown columns, driven by the codebook."""
-    cells = rows.select(*ROW, F.explode("fila").alias("key", "cell"))
-    wanted = rows.select(*ROW, "fila").join(columns.select("project_id", "key", "data_type", "required", "allowed"), "project_id")
-    v = F.when(F.map_contains_key("fila", F.col("key")), F.col("fila")[F.col("key")])
-    integer = is_number(v) & (v["num"] == F.floor(v["num"]))
-    typed = (
-        F.when(F.col("data_type") == "entero", integer)
-        .when(F.col("data_type") == "entero o null", is_null(v) | integer)
-        .when(F.col("data_type") == "número o null", is_null(v) | is_number(v))
-        .otherwise(is_null(v) | (v["kind"] == "str"))
-    )
-    given = F.map_contains_key("fila", F.col("key"))
-    found = F.array_compact(F.array(
-        F.when(~given, "missing key"),
-        F.when(given & F.col("required") & is_null(v) & ~F.col("data_type").isin(NUMERIC_TYPES), "required"),
-        F.when(given & ~F.coalesce(typed, F.lit(False)), "type"),
-        F.when(given & ~vocabulary_ok(v, F.col("allowed"), F.col("data_type")), "vocabulary"),
-    ))
-    own = wanted.select(*ROW, F.col("key").alias("column"), F.explode(found).alias("message"))
-    unknown = (
-        cells.join(columns.select("project_id", "key"), ["project_id", "key"], "left_anti")
-        .select(*ROW, F.col("key").alias("column"), F.lit("unknown column").alias("message"))
-    )
-    return own.unionByName(unknown).select(*ROW, F.lit("ESQUEMA").alias("rule"), F.lit("E").alias("severity"), "column", "message")
+    spec = F.struct("key", "data_type", "required", "allowed")
+    specs = columns.groupBy("project_id").agg(F.collect_list(spec).alias("_specs"))
+
+    def checks(s: Column, v: Column) -> Column:
+        given = F.map_contains_key("fila", s["key"])
+        integer = is_number(v) & (v["num"] == F.floor(v["num"]))
+        typed = (
+            F.when(s["data_type"] == "entero", integer)
+            .when(s["data_type"] == "entero o null", is_null(v) | integer)
+            .when(s["data_type"] == "número o null", is_null(v) | is_number(v))
+            .otherwise(is_null(v) | (v["kind"] == "str"))
+        )
+        found = F.array_compact(F.array(
+            F.when(~given, "missing key"),
+            F.when(given & s["required"] & is_null(v) & ~s["data_type"].isin(NUMERIC_TYPES), "required"),
+            F.when(given & ~F.coalesce(typed, F.lit(False)), "type"),
+            F.when(given & ~vocabulary_ok(v, s["allowed"], s["data_type"]), "vocabulary"),
+        ))
+        return F.transform(found, lambda m: F.struct(s["key"].alias("column"), m.alias("message")))
+
+    own = F.flatten(F.transform("_specs", lambda s: bind(F.col("fila")[s["key"]], lambda v: checks(s, v))))
+    unknown = F.transform(
+        F.array_except(F.map_keys("fila"), F.transform("_specs", lambda s: s["key"])),
+        lambda k: F.struct(k.alias("column"), F.lit("unknown column").alias("message")))
+    # the catalogue of a project travels as one array, so a row meets its columns without being copied per column
+    return rows.join(specs, "project_id").select(*ROW, F.explode(F.concat(own, unknown)).alias("_x")).select(
+        *ROW, F.lit("ESQUEMA").alias("rule"), F.lit("E").alias("severity"), "_x.column", "_x.message")
 
 
 def pass_gate(rows: DataFrame, violations: DataFrame) -> DataFrame:

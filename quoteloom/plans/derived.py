@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.functions.text import words_of
+from quoteloom.functions.typed import CELL_TYPE, float_cell, int_cell, text_cell
 from quoteloom.operators.documents import blocks_from_items, effective_blocks
 from quoteloom.plans.registry import Tables
+from quoteloom.schemas import EVIDENCE as EVIDENCE_TYPE
+from quoteloom.schemas import TRACE_FIELDS
 from quoteloom.session import cut_lineage
 
 # kinds given to the lines of a document by their place, to exercise every kind of item
@@ -151,3 +154,146 @@ EVIDENCE = f"""{BLOCKS}, cuts AS (
   LEFT JOIN own o ON o.project_id = e.project_id AND o.doc_id = e.doc_id AND o.row_pos = e.row_pos
   LEFT JOIN other x ON x.project_id = e.project_id AND x.doc_id = e.doc_id AND x.row_pos = e.row_pos
 )"""
+
+
+# ------------------------------------------------------------------ coded rows from lineitem
+# alias: expression both engines read; the order is that of the select list, later ones may not use earlier ones
+_YEAR = "CAST(year(l_shipdate) AS STRING)"
+_R = "CASE WHEN l_suppkey % 3 <> 0 THEN round(l_discount * 10 - 0.3, 2) END"
+_BETA = "CASE WHEN l_returnflag <> 'R' THEN round(l_tax * 20 - 0.3, 2) END"
+CODED_EXPR = {
+    "estudio": "l_linenumber",
+    "documento": "l_orderkey * 2 + l_linenumber % 2",
+    "author": "CASE l_returnflag WHEN 'A' THEN 'Ana Lopez' WHEN 'N' THEN 'Luis Ruiz; Eva Diaz' ELSE 'Amar Singh; Ben Roy; Cy Das' END",
+    "anio": "year(l_shipdate)",
+    "cita": f"""CASE WHEN l_partkey % 10 = 0 THEN 'sin formato' WHEN l_partkey % 10 = 1 THEN 'Otro (' || {_YEAR} || ')'
+        WHEN l_partkey % 10 = 2 THEN 'Lopez (1900)' WHEN l_returnflag = 'A' THEN 'LOPEZ (' || {_YEAR} || ')'
+        WHEN l_returnflag = 'N' THEN 'Ruiz y Diaz (' || {_YEAR} || 'b)' ELSE 'Singh et al. (' || {_YEAR} || ')' END""",
+    "muestra": "CASE WHEN l_quantity > 3 THEN CAST(l_quantity AS INT) END",
+    "r": _R,
+    "beta": _BETA,
+    "transcript": f"""CASE WHEN l_partkey % 4 = 0 THEN 'sin datos' ELSE 'r = ' || replace(CAST(coalesce({_R}, 0.5) AS STRING), '.', ',')
+        || ' y beta = ' || CAST(coalesce({_BETA}, 0.1) AS STRING) END""",
+    "items": "l_linenumber",
+    "items1": "l_suppkey % 5",
+    "rel_p": "CASE WHEN l_partkey % 5 <> 0 THEN round(0.6 + l_discount * 3, 2) END",
+    "rel_h": "CASE WHEN l_partkey % 6 <> 0 THEN round(0.65 + l_tax * 2, 2) END",
+    "covidence": "CASE WHEN l_partkey % 8 <> 0 THEN l_suppkey END",
+    "nivel": "CASE l_suppkey % 5 WHEN 0 THEN 'Group' WHEN 1 THEN 'Multinivel' ELSE 'Individual' END",
+    "design": "CASE l_partkey % 3 WHEN 0 THEN 'Cross sectional study' WHEN 1 THEN 'Randomised controlled trial' ELSE 'Longitudinal' END",
+    "include": """CASE l_partkey % 7 WHEN 0 THEN 'No' WHEN 1 THEN 'SI' WHEN 2 THEN 'PLS' WHEN 3 THEN 'SEM latente' WHEN 4 THEN 'Multinivel'
+        WHEN 5 THEN 'Experimental' ELSE 'Organizacional' END""",
+    "direction": "CASE l_linenumber % 3 WHEN 0 THEN 'HP' WHEN 1 THEN 'Relación negativa' ELSE 'PH' END",
+    "valid": "CASE l_linenumber % 2 WHEN 0 THEN 'Si' ELSE 'No' END",
+    "scales": "CASE l_suppkey % 3 WHEN 0 THEN 'No indica' WHEN 1 THEN 'AFC de la escala' ELSE 'solo alfa' END",
+    "valid_cfa": "CASE l_partkey % 2 WHEN 0 THEN 'Si' ELSE 'No' END",
+    "cfa": "CASE l_partkey % 5 WHEN 0 THEN 'Si' ELSE 'No' END",
+    "start_date": "CASE WHEN l_partkey % 9 = 0 THEN 'No indica' ELSE substr(CAST(l_shipdate AS STRING), 1, 7) END",
+    "end_date": "CASE WHEN l_partkey % 6 = 0 THEN 'No indica' ELSE CAST(year(l_shipdate) + l_linenumber % 3 - 1 AS STRING) END",
+    "conclusion": "CASE l_linenumber % 4 WHEN 0 THEN 'La felicidad CAUSA desempeño' WHEN 1 THEN 'pendiente de revisar' ELSE 'se asocian' END",
+    "happiness": "CASE l_suppkey % 4 WHEN 0 THEN 'Satisfacción laboral' WHEN 1 THEN 'Orientación hedónica' WHEN 2 THEN 'Bienestar' ELSE 'Compromiso' END",
+    "family": "CASE l_partkey % 2 WHEN 0 THEN 'Hedónica' ELSE 'Eudaimónica' END",
+    "country": "CASE l_returnflag WHEN 'A' THEN 'China' WHEN 'N' THEN 'India' ELSE 'Chile' END",
+    "population": "l_linestatus",
+    # trace
+    "sample": "CAST(l_suppkey AS STRING)",
+    "via": "CASE l_linenumber % 2 WHEN 0 THEN 'Covidence' ELSE 'Otros métodos' END",
+    "st_muestra": "CASE WHEN l_partkey % 2 = 0 THEN 'No indica' END",
+    "st_r": "CASE WHEN l_partkey % 3 = 0 THEN 'No indica (no significativo)' END",
+    "st_rel_p": "CASE WHEN l_partkey % 10 = 0 THEN 'No aplica' WHEN l_partkey % 5 = 0 THEN 'No indica' END",
+    "st_rel_h": "CASE WHEN l_partkey % 12 = 0 THEN 'No aplica' END",
+    "ev_muestra": "l_partkey % 3 <> 0",
+    "ev_r": "l_partkey % 4 <> 0",
+    "quote_muestra": "'n = ' || CAST(CAST(l_quantity AS INT) AS STRING) || ' personas'",
+    "method": """CASE l_suppkey % 4 WHEN 0 THEN 'Pearson observado' WHEN 1 THEN 'Correlación entre compuestos PLS'
+        WHEN 2 THEN 'Correlación entre variables latentes CB-SEM' END""",
+    "technique": "CASE l_partkey % 4 WHEN 0 THEN 'Regresión' WHEN 1 THEN 'PLS' WHEN 2 THEN 'CB-SEM latente' END",
+    "effect": "CASE l_linenumber % 2 WHEN 0 THEN 'simple' ELSE 'parcial' END",
+    "r_derived": "CASE WHEN l_partkey % 9 = 0 THEN 0.25 END",
+    "r_imputed": f"CASE WHEN l_partkey % 4 = 0 THEN round(0.98 * coalesce({_BETA}, 0) + 0.05, 3) END",
+    "zero": "l_partkey % 13 = 0",
+    "others": "l_partkey % 17 = 0",
+    "chosen_set": "CASE l_partkey % 3 WHEN 0 THEN 'Principal' WHEN 1 THEN 'Sensibilidad' ELSE 'Narrativo' END",
+    "motive": "'Condición ' || CAST(1 + l_suppkey % 11 AS STRING) || ': razón'",
+    "warned": "l_suppkey % 2 = 0",
+    "inferred": "l_partkey % 6 = 5",
+    "disputed": "l_partkey % 8 = 7",
+}
+ROW_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"
+CODED = f"""coded AS (
+  SELECT l_linestatus AS project_id, CAST(l_orderkey AS STRING) AS extraction_id,
+    row_number() OVER (PARTITION BY l_linestatus, l_orderkey ORDER BY {ROW_ORDER}) - 1 AS row_pos, {", ".join(f"{e} AS {a}" for a, e in CODED_EXPR.items())}
+  FROM lineitem
+)"""
+
+
+def coded_wide(t: Tables) -> DataFrame:
+    """Flat coded rows: the order is the extraction, its line status the project."""
+    rn = f"row_number() OVER (PARTITION BY l_linestatus, l_orderkey ORDER BY {ROW_ORDER}) - 1 AS row_pos"
+    return t.read("lineitem").selectExpr(
+        "l_linestatus AS project_id", "CAST(l_orderkey AS STRING) AS extraction_id", rn, *[f"{e} AS {a}" for a, e in CODED_EXPR.items()])
+
+
+# column of the coding: flat alias and kind
+FILA = {
+    "Estudio": ("estudio", int_cell), "Documento": ("documento", int_cell), "Author": ("author", text_cell), "Año": ("anio", int_cell),
+    "Cita": ("cita", text_cell), "Muestra": ("muestra", int_cell), "Correlación Feli 1 - JP": ("r", float_cell),
+    "Beta Fel 1- JP": ("beta", float_cell), "Correlacion o Beta felicidad 1 - JP": ("transcript", text_cell), "# Ítems": ("items", int_cell),
+    "Items instrumento1": ("items1", int_cell), "Fiabilidad Alfa - Omega (desempeño)": ("rel_p", float_cell),
+    "Fiabilidad Alfa - Omega (felicidad)": ("rel_h", float_cell), "Covidence #": ("covidence", int_cell), "Nivel": ("nivel", text_cell),
+    "Study design": ("design", text_cell), "Incluir en meta análisi": ("include", text_cell),
+    "Direccionalidad de la relación": ("direction", text_cell), "Validez?": ("valid", text_cell), "Validez de las escalas": ("scales", text_cell),
+    "Validez CFA": ("valid_cfa", text_cell), "CFA": ("cfa", text_cell), "Start date": ("start_date", text_cell), "End date": ("end_date", text_cell),
+    "Conclusion": ("conclusion", text_cell), "Tipo de felicidad real": ("happiness", text_cell), "Hedónica/eudaimónica": ("family", text_cell),
+    "Pais": ("country", text_cell), "Población": ("population", text_cell),
+}
+
+
+def coded(t: Tables, wide: DataFrame | None = None) -> DataFrame:
+    """The same rows as codings: typed values and trace."""
+    w = coded_wide(t) if wide is None else wide
+    fila = F.create_map(*[x for key, (alias, kind) in FILA.items() for x in (F.lit(key), kind(F.col(alias)).cast(CELL_TYPE))])
+    states = F.map_from_entries(F.array_compact(F.array(*[
+        F.when(F.col(a).isNotNull(), F.struct(F.lit(k).alias("k"), F.col(a).alias("v")))
+        for k, a in (("Muestra", "st_muestra"), ("Correlación Feli 1 - JP", "st_r"), ("Fiabilidad Alfa - Omega (desempeño)", "st_rel_p"),
+                     ("Fiabilidad Alfa - Omega (felicidad)", "st_rel_h"))])))
+    proof = F.array(F.struct(
+        F.lit(3).alias("pagina_pdf"), F.lit("Tabla 2").alias("ubicacion"), F.lit("SWB").alias("fila_tabla"), F.lit(None).cast("string").alias("columna_tabla"),
+        F.col("quote_muestra").alias("cita_textual"), F.lit(False).alias("leido_de_figura"), F.lit("p03-b01").alias("bloque_id"))).cast(f"array<{EVIDENCE_TYPE}>")
+    proofs = F.map_from_entries(F.array_compact(F.array(*[
+        F.when(F.col(a), F.struct(F.lit(k).alias("k"), proof.alias("v"))) for k, a in (("Muestra", "ev_muestra"), ("Correlación Feli 1 - JP", "ev_r"))])))
+    some = F.array(F.struct(F.lit("otro").alias("descripcion"), F.lit("0.1").alias("valor"), F.lit("p. 2").alias("evidencia")))
+    inferences = F.array_compact(F.array(F.when(F.col("inferred"), F.struct(
+        F.lit("Muestra (fila 1)").alias("columna"), F.col("sample").alias("valor"), F.lit("regla 4").alias("regla_aplicada"), F.lit("por contexto").alias("razonamiento")))))
+    disputes = F.array_compact(F.array(F.when(F.col("disputed"), F.struct(
+        F.lit("Nivel").alias("columna"), F.lit("Tabla 1").alias("fuente_1"), F.lit("texto").alias("fuente_2"), F.col("nivel").alias("valor_adoptado")))))
+    warnings = F.array_compact(F.array(F.when(F.col("warned"), F.lit("Lenguaje CAUSAL en la conclusión"))))
+    given = {
+        "id_muestra": F.col("sample"), "via_de_identificacion": F.col("via"), "estado_del_dato": states, "evidencia": proofs, "metodo_obtencion_r": F.col("method"),
+        "r_derivado": F.col("r_derived"), "r_imputado_desde_beta": F.col("r_imputed"), "tipo_de_efecto": F.col("effect"), "tecnica_del_beta": F.col("technique"),
+        "sensibilidad_r_cero": F.col("zero"), "conjunto_sugerido": F.col("chosen_set"), "motivo_decision_inclusion": F.col("motive"),
+        "otros_coeficientes": F.when(F.col("others"), some).otherwise(F.array().cast("array<struct<descripcion:string,valor:string,evidencia:string>>")),
+        "inferencias": inferences, "discrepancias_en_el_articulo": disputes, "advertencias_pendientes": warnings,
+        "confianza": F.lit("alta"), "extractor": F.lit("uno"), "fecha_extraccion": F.lit("2026-10-05"), "verificador": F.lit("dos"),
+    }
+    parts = [given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in TRACE_FIELDS.items()]
+    return w.select("project_id", "extraction_id", F.col("extraction_id").alias("doc_id"), "row_pos", fila.alias("fila"), F.struct(*parts).alias("traz"))
+
+
+def codebook_columns(t: Tables) -> DataFrame:
+    """A catalogue for the coded rows, one per project found in the data."""
+    numeric = {"Muestra": "entero o null", "Covidence #": "entero o null", "# Ítems": "entero", "Items instrumento1": "entero", "Estudio": "entero",
+               "Documento": "entero", "Año": "entero"}
+    rows = []
+    for i, (key, (_, kind)) in enumerate(FILA.items(), 1):
+        data_type = numeric.get(key, "número o null" if kind is float_cell else "texto")
+        allowed = ["SI", "No", "PLS", "Otro: (texto)"] if key == "Incluir en meta análisi" else (["Group", "Multinivel", "Individual"] if key == "Nivel" else None)
+        rows.append((key, key, chr(64 + i) if i <= 26 else "A" + chr(38 + i), i, data_type, key in ("Cita", "Author"), allowed,
+                     key in ("Muestra", "Correlación Feli 1 - JP", "Nivel"), "Documento" if key in ("Pais", "Año", "Author", "Study design") else "Efecto",
+                     data_type in ("entero", "entero o null", "número o null")))
+    fixed = t.spark.createDataFrame(
+        rows, "key string, header string, letter string, position int, data_type string, required boolean, allowed array<string>, "
+              "needs_evidence boolean, level string, is_numeric boolean")
+    projects = t.read("lineitem").select(F.col("l_linestatus").alias("project_id")).distinct()
+    every = F.array(*[F.lit(r[0]) for r in rows])
+    return projects.select("project_id", F.explode(every).alias("key")).join(fixed, "key")

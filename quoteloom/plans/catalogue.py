@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quoteloom.plans import on_coded, on_documents, on_matrix  # noqa: F401
+from quoteloom.plans import on_coded, on_documents, on_library, on_matrix  # noqa: F401
 from quoteloom.plans.registry import QUERIES, SQL
 
 

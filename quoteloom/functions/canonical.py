@@ -53,11 +53,9 @@ def json_candidate(response: Column | str) -> Column:
 
 
 def response_json(response: Column | str) -> Column:
-    """JSON text of a model response, or null. The Arrow decoder sees only what the built-in parser refuses."""
-    candidate = json_candidate(response)
-    plain = F.try_parse_json(candidate).isNotNull()
-    rest = leading_json_udf(F.when(candidate.isNotNull() & ~plain, candidate))
-    return F.when(plain, candidate).otherwise(rest)
+    """JSON text of a model response, or null. The built-in parsers pass over text behind the value, so the end of the
+    value comes from the Arrow decoder."""
+    return leading_json_udf(json_candidate(response))
 
 
 def response_objects(response: Column | str) -> Column:

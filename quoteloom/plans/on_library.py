@@ -166,7 +166,7 @@ def isolation_breaches(t: Tables) -> DataFrame:
 _ROLE = "CASE event_type WHEN 'view' THEN 'extractor' WHEN 'click' THEN 'auditor' WHEN 'error' THEN 'ciego' ELSE 'conciliador' END"
 _CALLS_EXPR = ["CAST(user_id % 5 AS STRING) AS project_id", "CAST(user_id AS STRING) AS extraction_id", f"{_ROLE} AS role",
                "CASE WHEN event_id % 3 = 0 THEN 'ligero' WHEN event_id % 3 = 1 THEN 'grande' END AS model", "CAST(floor(value) AS INT) AS input",
-               "CAST(floor(value * 2) AS INT) AS cache_write", "CAST(event_id % 100 AS INT) AS cache_read", "1 AS output", "value / 1024 AS cost_usd", "floor(value) / 4 AS seconds"]
+               "CAST(floor(value * 2) AS INT) AS cache_write", "CAST(event_id % 100 AS INT) AS cache_read", "1 AS output", "floor(value) / 8 AS cost_usd", "floor(value) / 4 AS seconds"]
 CALLS = f"calls AS (SELECT {', '.join(_CALLS_EXPR)} FROM events)"
 
 
@@ -187,10 +187,10 @@ EXTRACTIONS = """x AS (SELECT CAST(user_id % 5 AS STRING) AS project_id, CAST(us
 
 
 @query("usage_by_role", f"""WITH {CALLS} SELECT project_id, extraction_id, role, count(*) AS calls, sum(input)::BIGINT AS input, sum(cache_write)::BIGINT AS cache_write, sum(cache_read)::BIGINT AS cache_read, sum(output)::BIGINT AS output,
-  round(sum(cost_usd), 2) AS cost_usd, CAST(round_even(sum(seconds), 1) AS DOUBLE) AS seconds, count(*) FILTER (model = 'ligero') AS light_calls FROM calls GROUP BY ALL""")
+  CAST(round_even(sum(cost_usd), 4) AS DOUBLE) AS cost_usd, CAST(round_even(sum(seconds), 1) AS DOUBLE) AS seconds, count(*) FILTER (model = 'ligero') AS light_calls FROM calls GROUP BY ALL""")
 def usage_by_role(t: Tables) -> DataFrame:
     out = usage.usage_by_role(_calls(t))
-    return out.withColumns({"cost_usd": F.round("cost_usd", 2), "light_calls": F.coalesce(F.try_element_at("models", F.lit("ligero")), F.lit(0))}).drop("models")
+    return out.withColumn("light_calls", F.coalesce(F.try_element_at("models", F.lit("ligero")), F.lit(0))).drop("models")
 
 
 @query("extraction_totals", f"""WITH {CALLS} SELECT project_id, extraction_id, sum(input + cache_write + cache_read + output)::BIGINT AS tokens FROM calls GROUP BY ALL""")
@@ -402,7 +402,7 @@ def not_one_active(t: Tables) -> DataFrame:
 
 
 @query("header_notes", f"""WITH {_BOOKS}, e AS (SELECT *, unnest(range(1, 7)) AS i FROM b) SELECT project_id, codebook_id, k[i] AS key, sha256(concat_ws(chr(10), 'A. ' || k[i], '', 'PARA QUÉ SIRVE',
-  'Columna el registro de trazabilidad (id muestra) que está vacía', '', 'CÓMO LLENARLA', 'usar metodo_r o id_muestra', CASE WHEN i = 3 THEN 'Valores permitidos: a; b' END, '', 'TIPO DE DATO Y NIVEL',
+  'Columna trazabilidad.id_muestra que es null', '', 'CÓMO LLENARLA', 'usar metodo_r o id_muestra', CASE WHEN i = 3 THEN 'Valores permitidos: a; b' END, '', 'TIPO DE DATO Y NIVEL',
   CASE WHEN i = 1 THEN 'entero' ELSE 'texto' END || '; obligatoria; nivel Documento', '', 'SI EL DATO NO ESTÁ', 'No indica', '', 'EJEMPLO (Kumar, 2022, verificado)', 'celda vacía', '',
   'Nota: el registro de trazabilidad es la hoja Trazabilidad que genera la skill (página, ubicación y cita de cada dato).')) AS note_hash FROM e WHERE NOT (n_chars % 7 = 0 AND i = 1)""")
 def header_notes(t: Tables) -> DataFrame:
@@ -479,11 +479,17 @@ def stream_review(t: Tables) -> DataFrame:
     return drain(stateful.review_stream(stream, cells(t), columns(t))).select("project_id", "study", "key", "seq", "action", "refusal")
 
 
-@query("stream_idle")
+_LATEST = "(SELECT epoch_us(max(ts)) // 1000 FROM events)"
+
+
+@query("stream_idle", f"""SELECT 'p' AS project_id, user_id || '@' || substr(CAST(ts AS STRING), 1, 10) AS extraction_id, epoch_us(max(ts)) // 1000 AS last_seen FROM events
+GROUP BY ALL HAVING bool_and(event_type <> 'purchase') AND epoch_us(max(ts)) // 1000 + 1800000 <= {_LATEST} - 60000""")
 def stream_idle(t: Tables) -> DataFrame:
-    """Runs of users without an event for half an hour, where a purchase ends a run."""
-    progress = t.stream("events").select(F.lit("p").alias("project_id"), F.col("user_id").cast("string").alias("extraction_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("finished"))
-    return drain(stateful.idle_stream(progress))
+    """A run is a user's day; a purchase ends it, and half an hour without events leaves it idle."""
+    run = F.concat(F.col("user_id").cast("string"), F.lit("@"), F.substring(F.col("ts").cast("string"), 1, 10))
+    progress = t.stream("events").select(
+        F.lit("p").alias("project_id"), run.alias("extraction_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("finished"))
+    return drain(stateful.idle_stream(progress)).select("project_id", "extraction_id", F.unix_millis("last_seen").alias("last_seen"))
 
 
 @query("stream_log_monitor", f"WITH {_LOG} SELECT origen, count(*) AS lines, count(*) FILTER (nivel = 'ERROR') AS errors FROM g GROUP BY ALL")

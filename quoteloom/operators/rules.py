@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoteloom.functions.text import bind, norm, numbers_in, word_count
+from quoteloom.functions.text import norm, numbers_in, word_count
 from quoteloom.functions.typed import cell_json, cell_text, is_null, is_number
 from quoteloom.operators.anchoring import evidence_of, locate_literal
 from quoteloom.operators.documents import DOC, anchor_variants
@@ -24,12 +24,23 @@ from quoteloom.vocab import (
 )
 
 ROW = ["project_id", "extraction_id", "doc_id", "row_pos"]
+RULE_KEYS = list(dict.fromkeys([
+    STUDY, DOCUMENT, "Author", "Cita", "Año", INCLUDE, TRANSCRIPT, *NUMERIC_RULE_KEYS, "Nivel", "Direccionalidad de la relación", "Validez?",
+    "Validez de las escalas", "Validez CFA", "CFA", "Start date", "End date", "Conclusion", "Tipo de felicidad real", "Hedónica/eudaimónica",
+    *SAMPLE_CONSTANT_KEYS,
+]))
 VIOLATION = "struct<rule:string,severity:string,column:string,message:string>"
 
 
 # ------------------------------------------------------------------ access to one row
 def value(key: str) -> Column:
-    return F.col("fila")[key]
+    """Value of a column named by a rule; :func:`with_values` puts it there."""
+    return F.col(f"`v:{key}`")
+
+
+def with_values(rows: DataFrame) -> DataFrame:
+    """Looks every column a rule names up once; what a query does not use is pruned."""
+    return rows.withColumns({f"v:{k}": F.col("fila")[k] for k in RULE_KEYS})
 
 
 def num(key: str) -> Column:
@@ -265,7 +276,7 @@ def row_violations(rows: DataFrame, names: list[str] | None = None) -> DataFrame
     """Violations of the row rules, in one pass without a shuffle."""
     chosen = [ROW_RULES[n] for n in (names or list(ROW_RULES))]
     checks = [c for rule in chosen for c in rule()]
-    prepared = rows.withColumn("_tree", inclusion())
+    prepared = with_values(rows).withColumn("_tree", inclusion())
     return prepared.select(*ROW, F.explode(F.array_compact(F.array(*checks))).alias("v")).select(*ROW, "v.*")
 
 
@@ -354,7 +365,7 @@ def v13_evidence(rows: DataFrame, meta: DataFrame) -> DataFrame:
 
 def v25_happiness_type(rows: DataFrame, types: DataFrame) -> DataFrame:
     """Kind of happiness against the correspondence of the codebook; ``types``: project_id, type, family."""
-    own = rows.select(*ROW, text("Tipo de felicidad real").alias("type"), text("Hedónica/eudaimónica").alias("given"))
+    own = with_values(rows).select(*ROW, text("Tipo de felicidad real").alias("type"), text("Hedónica/eudaimónica").alias("given"))
     wrong = own.join(types, ["project_id", "type"]).filter(
         ~F.startswith("type", F.lit("Orientación")) & ~F.col("family").eqNullSafe(F.col("given")))
     return wrong.select(*ROW, F.lit("V25").alias("rule"), F.lit("A").alias("severity"), F.lit("Tipo de felicidad real").alias("column"),
@@ -366,7 +377,7 @@ def v01_repeated_study(rows: DataFrame) -> DataFrame:
     study = cell_json(value(STUDY))
     w = Window.partitionBy("project_id", "extraction_id", "_study").orderBy("row_pos")
     again = (
-        rows.select(*ROW, study.alias("_study"), cell_text(value(STUDY)).alias("_shown"))
+        with_values(rows).select(*ROW, study.alias("_study"), cell_text(value(STUDY)).alias("_shown"))
         .withColumn("_n", F.row_number().over(w)).filter("_n > 1 and not (_shown <=> 'PENDIENTE_EQUIPO')")
     )
     return again.select(*ROW, F.lit("V01").alias("rule"), F.lit("E").alias("severity"), F.lit(STUDY).alias("column"),
@@ -381,7 +392,7 @@ def _with_several_values(cells: DataFrame, keys: list[str]) -> DataFrame:
 def v02_document_constant(rows: DataFrame, meta: DataFrame) -> DataFrame:
     """Document-level columns that change inside a document; 1 and 1.0 differ."""
     keys = F.filter("document_level", lambda k: k.isNotNull())
-    cells = rows.join(meta.select("project_id", "document_level"), "project_id").select(
+    cells = with_values(rows).join(meta.select("project_id", "document_level"), "project_id").select(
         "project_id", "extraction_id", cell_json(value(DOCUMENT)).alias("document"), F.col("fila"), F.explode(keys).alias("column"))
     changing = _with_several_values(
         cells.withColumn("v", cell_json(F.col("fila")[F.col("column")])), ["project_id", "extraction_id", "document", "column"])
@@ -393,7 +404,7 @@ def v02_document_constant(rows: DataFrame, meta: DataFrame) -> DataFrame:
 def v20_sample_constant(rows: DataFrame) -> DataFrame:
     """Country, population, design and dates that change inside a sample."""
     entries = F.array(*[F.struct(F.lit(k).alias("column"), cell_json(value(k)).alias("v")) for k in SAMPLE_CONSTANT_KEYS])
-    cells = rows.select("project_id", "extraction_id", traz("id_muestra").alias("sample"), F.explode(entries).alias("e"))
+    cells = with_values(rows).select("project_id", "extraction_id", traz("id_muestra").alias("sample"), F.explode(entries).alias("e"))
     changing = _with_several_values(cells.select("project_id", "extraction_id", "sample", "e.*"), ["project_id", "extraction_id", "sample", "column"])
     return (
         changing.select("project_id", "extraction_id", "sample", F.lit("V20").alias("rule"), F.lit("A").alias("severity"), "column",
@@ -416,33 +427,27 @@ def vocabulary_ok(c: Column, allowed: Column, data_type: Column) -> Column:
 
 def schema_violations(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Types, vocabularies, required and unknown columns, driven by the codebook."""
-    spec = F.struct("key", "data_type", "required", "allowed")
-    specs = columns.groupBy("project_id").agg(F.collect_list(spec).alias("_specs"))
-
-    def checks(s: Column, v: Column) -> Column:
-        given = F.map_contains_key("fila", s["key"])
-        integer = is_number(v) & (v["num"] == F.floor(v["num"]))
-        typed = (
-            F.when(s["data_type"] == "entero", integer)
-            .when(s["data_type"] == "entero o null", is_null(v) | integer)
-            .when(s["data_type"] == "número o null", is_null(v) | is_number(v))
-            .otherwise(is_null(v) | (v["kind"] == "str"))
-        )
-        found = F.array_compact(F.array(
-            F.when(~given, "missing key"),
-            F.when(given & s["required"] & is_null(v) & ~s["data_type"].isin(NUMERIC_TYPES), "required"),
-            F.when(given & ~F.coalesce(typed, F.lit(False)), "type"),
-            F.when(given & ~vocabulary_ok(v, s["allowed"], s["data_type"]), "vocabulary"),
-        ))
-        return F.transform(found, lambda m: F.struct(s["key"].alias("column"), m.alias("message")))
-
-    own = F.flatten(F.transform("_specs", lambda s: bind(F.col("fila")[s["key"]], lambda v: checks(s, v))))
-    unknown = F.transform(
-        F.array_except(F.map_keys("fila"), F.transform("_specs", lambda s: s["key"])),
-        lambda k: F.struct(k.alias("column"), F.lit("unknown column").alias("message")))
-    # the catalogue of a project travels as one array, so a row meets its columns without being copied per column
-    return rows.join(specs, "project_id").select(*ROW, F.explode(F.concat(own, unknown)).alias("_x")).select(
-        *ROW, F.lit("ESQUEMA").alias("rule"), F.lit("E").alias("severity"), "_x.column", "_x.message")
+    spec = columns.select("project_id", "key", "data_type", "required", "allowed", F.lit(True).alias("_known"))
+    cells = rows.select(*ROW, F.explode("fila").alias("key", "v")).join(spec, ["project_id", "key"], "left")
+    v, data_type = F.col("v"), F.col("data_type")
+    integer = is_number(v) & (v["num"] == F.floor(v["num"]))
+    typed = (
+        F.when(data_type == "entero", integer)
+        .when(data_type == "entero o null", is_null(v) | integer)
+        .when(data_type == "número o null", is_null(v) | is_number(v))
+        .otherwise(is_null(v) | F.coalesce(v["kind"] == "str", F.lit(False)))
+    )
+    found = F.when(F.col("_known").isNull(), F.array(F.lit("unknown column"))).otherwise(F.array_compact(F.array(
+        F.when(F.col("required") & is_null(v) & ~data_type.isin(NUMERIC_TYPES), "required"),
+        F.when(~F.coalesce(typed, F.lit(False)), "type"),
+        F.when(~vocabulary_ok(v, F.col("allowed"), data_type), "vocabulary"),
+    )))
+    of_cells = cells.select(*ROW, F.col("key").alias("column"), F.explode(found).alias("message"))
+    # keys the row lacks: the key list of a project travels as one array
+    keys = columns.groupBy("project_id").agg(F.collect_list("key").alias("_keys"))
+    absent = rows.join(keys, "project_id").select(*ROW, F.explode(F.array_except("_keys", F.map_keys("fila"))).alias("column"))
+    own = of_cells.unionByName(absent.withColumn("message", F.lit("missing key")))
+    return own.select(*ROW, F.lit("ESQUEMA").alias("rule"), F.lit("E").alias("severity"), "column", "message")
 
 
 def pass_gate(rows: DataFrame, violations: DataFrame) -> DataFrame:

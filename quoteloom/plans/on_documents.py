@@ -265,11 +265,11 @@ def anchor_table_cells(t: Tables) -> DataFrame:
 
 @query("fuzzy_near_page")
 def fuzzy_near_page(t: Tables) -> DataFrame:
-    """Best approximate place of every quote that lost letters."""
+    """Best approximate place of every quote that stands nowhere in its document as written."""
     b = stored_blocks(t).withColumn("variants", docs.anchor_variants())
-    ev = evidence(t, b).withColumn("q", norm("quote"))
-    quotes = ev.filter("quote <> '' and row_pos % 4 = 2").select("project_id", "doc_id", "q", F.col("page_hint").alias("near_page"))
-    best = anchoring.best_near_page(quotes, b)
+    quotes = evidence(t, b).select("project_id", "doc_id", norm("quote").alias("q"), F.col("page_hint").alias("near_page")).filter("q <> ''")
+    found = anchoring.first_in_document(quotes.select("project_id", "doc_id", "q"), b)
+    best = anchoring.best_near_page(quotes.join(found, ["project_id", "doc_id", "q"], "left_anti"), b)
     return best.select("project_id", "doc_id", "q", "near_page", "best.block_id", F.round("best.score", 4).alias("score"))
 
 

@@ -510,3 +510,24 @@ def coded_output_json(t: Tables) -> DataFrame:
 UNION ALL SELECT project_id, extraction_id, row_pos, estudio, 'Correlación Feli 1 - JP', quote_muestra FROM coded WHERE ev_r""")
 def coded_evidence(t: Tables) -> DataFrame:
     return evidence_of(coded(t)).select("project_id", "extraction_id", "row_pos", "study", "column", "quote")
+
+
+@query("extraction_summary", f"""WITH {_FINDINGS}, agreed AS (SELECT project_id, extraction_id, CAST(round_even(count(*) FILTER (equal) / count(*), 3) AS DOUBLE) AS agreement FROM fields GROUP BY ALL),
+p AS (SELECT project_id, extraction_id, count(*) AS pending FROM findings GROUP BY ALL),
+er AS (SELECT project_id, extraction_id, count(*) AS errors FROM coded WHERE muestra IS NULL AND include <> 'No' GROUP BY ALL),
+x AS (SELECT project_id, extraction_id, bool_or(CAST(extraction_id AS BIGINT) % 2 = 0) AS done, count(*) AS n, string_agg(DISTINCT CAST(estudio AS STRING), ',' ORDER BY CAST(estudio AS STRING)) AS studies FROM coded GROUP BY project_id, extraction_id)
+SELECT x.project_id, x.extraction_id, CASE WHEN done THEN 'COMPLETADA' ELSE 'FALLIDA' END AS state, CASE WHEN done THEN studies ELSE '' END AS studies, agreement, n AS verified,
+  coalesce(pending, 0) AS pending, coalesce(errors, 0) AS errors, CAST(n * 0.5 AS DOUBLE) AS cost_usd
+FROM x LEFT JOIN agreed a ON a.project_id = x.project_id AND a.extraction_id = x.extraction_id LEFT JOIN p ON p.project_id = x.project_id AND p.extraction_id = x.extraction_id
+  LEFT JOIN er ON er.project_id = x.project_id AND er.extraction_id = x.extraction_id""")
+def extraction_summary(t: Tables) -> DataFrame:
+    """Every order as an extraction; one verified anchor and half a dollar per coded row."""
+    rows = coded(t)
+    ext = ["project_id", "extraction_id"]
+    done = F.when(F.col("extraction_id").cast("bigint") % 2 == 0, "COMPLETADA").otherwise("FALLIDA")
+    extractions = rows.select(*ext).distinct().withColumn("state", done)
+    anchors = rows.select(*ext, F.lit("VERIFICADA").alias("level"))
+    use = rows.select(*ext, F.lit(0.5).alias("cost_usd"))
+    agreed = compare.agreement(compare.compare_codings(rows, _blind(t)))
+    out = reconcile.extraction_summary(extractions, rows, anchors, agreed, _findings(t), rules.row_violations(rows, ["V09"]), use)
+    return out.select(*ext, "state", F.array_join("studies", ",").alias("studies"), "agreement", F.col("VERIFICADA").alias("verified"), "pending", "errors", "cost_usd")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import cuckoo, pii, reputation
+from quoteloom.llm import cuckoo, pii, reputation, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,43 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)), 4).alias("top_score"))
 
 
+@query
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of ``documents``: three-word shingles, two bits."""
+    return simhash.near_duplicates(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows of 13 words in every document."""
+    found = winnow.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), hexed(F.array_join(ids, ",")).alias("items_sha256"),
+        contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
+
+
+def contaminated(n_words: F.Column, n_hit: F.Column) -> F.Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL["op6_decontamination"] = f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+iw AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[p : p + least(len(ws), 13) - 1], ' ') AS w
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS p FROM iw WHERE len(ws) > 0)),
+pos AS (SELECT doc_id, n, p, array_to_string(ws[p : p + n - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM dw, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)),
+hit AS (SELECT doc_id, item_id, p, n FROM pos JOIN win USING (n, w)),
+places AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
 @query
 def op8_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every url of ``pages``. The labelled outcome of a page is that of the label row with its number: good is quality 1 and not toxic."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import cuckoo, pii, reputation, simhash, winnow
+from quoteloom.llm import cuckoo, lines, pii, reputation, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)), 4).alias("top_score"))
 
 
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` without the lines of templates that recur across documents."""
+    return lines.deduplicated(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "text", "lines_dropped", "templates_dropped")
+
+
 @query
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of ``documents``: three-word shingles, two bits."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import cuckoo, lines, pii, reputation, simhash, winnow
+from quoteloom.llm import cuckoo, lines, pii, quality, reputation, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +46,13 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.deduplicated(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "text", "lines_dropped", "templates_dropped")
 
 
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities of low quality and toxicity of every document, and whether it is rejected."""
+    return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
+        F.col("id").alias("doc_id"), F.round("low_quality", 6).alias("low_quality"), F.round("toxic", 6).alias("toxic"), "rejected")
+
+
 @query
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of ``documents``: three-word shingles, two bits."""

@@ -21,9 +21,11 @@ LABELLERS = {
 }
 #: Buckets of the hashed features, and at most about so many labelled rows to fit on (a sample by hash beyond that).
 DIMENSIONS, TRAIN_ROWS = 1 << 17, 12_000
+#: Words from which the measures of a text tell something.
+LONG = 20
 #: A document is rejected when the scorer gives a target at least this probability.
-THRESHOLD = 0.5
-ROUNDS, RATE, DECAY = 120, 0.08, 1e-4
+THRESHOLD = 0.3
+ROUNDS, RIDGE, SHRINK = 60, 1.0, 10.0
 
 STOP_WORDS = (
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were her all she "
@@ -80,7 +82,7 @@ def measures(r: Read) -> np.ndarray:
 
 def votes_of(r: Read) -> tuple[np.ndarray, np.ndarray]:
     """Votes of the heuristic labellers, a column each: (low_quality, toxic)."""
-    m, long = measures(r), r.words >= 20
+    m, long = measures(r), r.words >= LONG
     either = lambda bad, good: np.where(bad, 1, np.where(good, 2, 0))
     low = np.stack([
         either(long & (m[:, 0] > 0.5), long & (m[:, 0] < 0.2)), either(long & (m[:, 1] > 0.06), long & (m[:, 1] < 0.02)),
@@ -107,13 +109,14 @@ def features_of(r: Read, target: str) -> tuple[np.ndarray, np.ndarray]:
             parts.append(_mixed(code))
         owner, values = np.tile(r.owner, len(parts)), np.concatenate(parts)
     else:
-        m = measures(r)
+        m, long = measures(r), r.words >= LONG
         steps = np.minimum(np.floor(m * np.array([10, 50, 20, 20, 50])), 15).astype(np.uint64)
-        code = steps * np.uint64(64) + np.arange(m.shape[1], dtype=np.uint64)
-        both = (steps[:, :1] * np.uint64(64) + steps[:, 2:3]) * np.uint64(64) + np.uint64(40)
-        values = _mixed(np.concatenate([code, both], axis=1).ravel() + np.uint64(1))
-        owner = np.repeat(np.arange(r.n), m.shape[1] + 1)
-        owner, values = owner[r.words[owner] > 0], values[r.words[owner] > 0]
+        kind = np.arange(m.shape[1], dtype=np.uint64)
+        votes = votes_of(r)[0].astype(np.uint64)
+        code = np.concatenate([steps * np.uint64(64) + kind, votes * np.uint64(64) + kind + np.uint64(32)], axis=1)
+        # a text too short to measure has one feature, that it is short
+        owner = np.concatenate([np.repeat(np.flatnonzero(long), code.shape[1]), np.flatnonzero(~long & (r.words > 0))])
+        values = _mixed(np.concatenate([code[long].ravel(), np.full(int((~long & (r.words > 0)).sum()), 63, np.uint64)]) + np.uint64(1))
     pair = np.unique(owner * DIMENSIONS + (values % np.uint64(DIMENSIONS)).astype(np.int64)) if len(owner) else np.zeros(0, np.int64)
     return pair // DIMENSIONS, pair % DIMENSIONS
 
@@ -145,9 +148,9 @@ class LabelModel:
 def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns and how many documents have them (at most 3 to the number of labellers)."""
     k = votes.shape[1]
-    # before any data: a vote is right four times in five; the given labels forty times in forty-one, and that is held to
-    weight = np.where(np.arange(k) == k - 1, 4000.0, 10.0)
-    right = np.where(np.arange(k) == k - 1, 40 / 41, 0.8)
+    # before any data: a vote is right four times in five; given labels 999 times in 1000, and that is held to
+    weight = np.where(np.arange(k) == k - 1, 1e9, 10.0)
+    right = np.where(np.arange(k) == k - 1, 0.999, 0.8)
     prior = np.empty((k, 2, 3))
     for j in range(k):
         prior[j, 0] = weight[j] * np.array([0.5, 0.5 * (1 - right[j]), 0.5 * right[j]])
@@ -161,36 +164,61 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> Label
                 at = votes[:, j] == v
                 chances[j, 0, v] += (counts * (1 - p))[at].sum()
                 chances[j, 1, v] += (counts * p)[at].sum()
-        # whether a document has a given label says nothing about its class
-        silent = chances[k - 1, :, 0].sum() / chances[k - 1].sum()
-        spoken = chances[k - 1, :, 1:] / chances[k - 1, :, 1:].sum(axis=1, keepdims=True)
-        chances = chances / chances.sum(axis=2, keepdims=True)
-        chances[k - 1] = np.concatenate([np.full((2, 1), silent), (1 - silent) * spoken], axis=1)
+        # that a labeller abstains says nothing about the class: most do so for want of words or labels
+        silent = chances[:, :, 0].sum(axis=1) / chances.sum(axis=(1, 2))
+        spoken = chances[:, :, 1:] / chances[:, :, 1:].sum(axis=2, keepdims=True)
+        chances = np.concatenate([np.broadcast_to(silent[:, None, None], (k, 2, 1)), (1 - silent)[:, None, None] * spoken], axis=2)
         model = LabelModel(float(np.clip((counts * p).sum() / max(counts.sum(), 1), 1e-4, 0.5)), np.clip(chances, 1e-6, 1))
     return model
 
 
 def fit_scorer(rows: list[np.ndarray], aims: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on hashed presence features towards soft labels; Adam on the full sample."""
-    w, b = np.zeros(DIMENSIONS), 0.0
+    """Ridge logistic regression on hashed presence features towards soft labels, by L-BFGS on the whole sample.
+
+    A feature counts by its shrunken log ratio of shares among bad and good rows, so what was seen in a row or two weighs little.
+    """
     if not len(aims):
-        return w, -5.0
-    sizes = np.array([len(r) for r in rows])
-    owner, at = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows).astype(np.int64)
-    m, v, mb, vb = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0.0, 0.0
-    b = float(np.log((aims.mean() + 1e-3) / (1 - aims.mean() + 1e-3)))
-    n = len(aims)
-    for i in range(1, ROUNDS + 1):
-        z = np.bincount(owner, w[at], n) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - aims) / n
-        g = np.bincount(at, err[owner], DIMENSIONS) + DECAY * w / np.sqrt(n)
-        gb = err.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        c1, c2 = 1 - 0.9**i, 1 - 0.999**i
-        w -= RATE * (m / c1) / (np.sqrt(v / c2) + 1e-6)
-        b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
-    return w, b
+        return np.zeros(DIMENSIONS), -5.0
+    owner, at, n = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64), len(aims)
+    in_bad, seen, share = np.bincount(at, aims[owner], DIMENSIONS), np.bincount(at, minlength=DIMENSIONS), float(np.clip(aims.mean(), 1e-3, 1 - 1e-3))
+    odds = (in_bad + SHRINK * share) / share, (seen - in_bad + SHRINK * (1 - share)) / (1 - share)
+    scale = np.log(odds[0] / np.maximum(odds[1], 1e-9))
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(owner, (x[:-1] * scale)[at], n) + x[-1]
+        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - aims
+        grad = np.append(scale * np.bincount(at, err[owner], DIMENSIONS) + RIDGE * x[:-1], err.sum())
+        return float((np.logaddexp(0, z) - aims * z).sum() + RIDGE / 2 * (x[:-1] @ x[:-1])), grad
+
+    x = np.zeros(DIMENSIONS + 1)
+    x[-1] = np.log((aims.mean() + 1e-3) / (1 - aims.mean() + 1e-3))
+    f, g = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(ROUNDS):
+        d, tail = g.copy(), []
+        for s, y in reversed(past):
+            c = s @ d / (s @ y)
+            d -= c * y
+            tail.append(c)
+        d *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.abs(g).sum()))
+        for (s, y), c in zip(past, reversed(tail), strict=True):
+            d += s * (c - y @ d / (s @ y))
+        step, down = 1.0, g @ d
+        while step > 1e-8:
+            after, slope = loss(x - step * d)
+            if after <= f - 1e-4 * step * down:
+                break
+            step /= 2
+        else:
+            break
+        s, y = -step * d, slope - g
+        if s @ y > 1e-10:
+            past = [*past[-9:], (s, y)]
+        done = f - after < 1e-6 * max(1.0, abs(f))
+        x, f, g = x - step * d, after, slope
+        if done:
+            break
+    return x[:-1] * scale, float(x[-1])
 
 
 def _voted(docs: DataFrame) -> DataFrame:

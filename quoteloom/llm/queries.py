@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import cuckoo, lines, pii, quality, reputation, simhash, winnow
+from quoteloom.llm import cuckoo, extraction, lines, packing, pii, quality, reputation, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,6 +90,12 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` as byte tokens in sequences of the permitted lengths."""
+    return packing.packed(table(spark, folder, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id").drop("row")
+
+
 @query
 def op8_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every url of ``pages``. The labelled outcome of a page is that of the label row with its number: good is quality 1 and not toxic."""
@@ -151,3 +157,10 @@ SQL["op9_exact_dedup"] = f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t"""
+
+
+@query
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page of ``pages``."""
+    return extraction.extracted(table(spark, folder, "pages")).select(
+        F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))

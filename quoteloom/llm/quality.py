@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.llm.base import map_batches
@@ -241,14 +243,13 @@ def _patterns(voted: DataFrame, target: str) -> tuple[np.ndarray, np.ndarray]:
     return votes, np.array([r["n"] for r in rows], float)
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``id``, ``low_quality``, ``toxic`` (probabilities by the scorers) and ``rejected`` of every row.
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Callable[[Column], Column]:
+    """A function of a text column that gives ``low_quality``, ``toxic`` (probabilities) and ``rejected`` as a struct.
 
     ``labels``: doc_id, quality (1 good), toxic (1 toxic), covering some documents; one labeller among the others. Votes and
     their patterns cover all documents; the scorers are fitted on at most about ``train_rows`` rows, those with given labels if
     there are any, chosen by hash. A text without words is scored by the bias alone and a null text is such a text; null labels
-    abstain; of several labels of a document the worst counts; rows that repeat an id are scored one by one; empty tables give
-    an empty one.
+    abstain; of several labels of a document the worst counts; empty tables give a scorer that rejects nothing.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     given = labels.groupBy(F.col("doc_id").alias("id")).agg(
@@ -284,15 +285,29 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         w, b = fit_scorer([np.frombuffer(r[f"f_{t}"], np.int32) for r in fitted], models[t].posterior(votes))
         scorers[t] = w.astype(np.float32), b
 
-    def score(ids, texts):
+    @F.pandas_udf("struct<low_quality: double, toxic: double, rejected: boolean>")
+    def score(texts: pd.Series) -> pd.DataFrame:
         out = {t: [] for t in TARGETS}
-        for r in _chunks(texts):
+        for r in _chunks(texts.tolist()):
             for t in TARGETS:
                 w, b = scorers[t]
                 owner, at = features_of(r, t)
                 z = np.bincount(owner, w[at].astype(np.float64), r.n) + b
                 out[t].append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-        low, toxic = (np.concatenate(out[t]) for t in TARGETS)
-        return ids, pa.array(low), pa.array(toxic), pa.array((low >= THRESHOLD) | (toxic >= THRESHOLD))
+        frame = pd.DataFrame({t: np.concatenate(out[t]) if out[t] else [] for t in TARGETS})
+        return frame.assign(rejected=(frame["low_quality"] >= THRESHOLD) | (frame["toxic"] >= THRESHOLD))
+
+    return score
+
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``id``, ``low_quality``, ``toxic`` and ``rejected`` of every row; rows that repeat an id are scored one by one."""
+    score = scorer(docs, labels, id_col, text_col, train_rows)
+    return docs.select(F.col(id_col).alias("id"), score(F.col(text_col)).alias("s")).select("id", "s.*")
+
 
-    return map_batches(named, score, f"id {named.schema['id'].dataType.simpleString()}, low_quality double, toxic double, rejected boolean")
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns; rows are not shuffled."""
+    score = scorer(docs, labels, id_col, text_col, train_rows)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_ql_row"))
+    return whole.withColumn("_ql_s", score(F.col("_ql_row")[text_col])).filter("not _ql_s.rejected").select(*(F.col("_ql_row")[c].alias(c) for c in docs.columns))

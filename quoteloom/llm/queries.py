@@ -97,11 +97,7 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), hexed(F.array_join(ids, ",")).alias("items_sha256"),
-        contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
-
-
-def contaminated(n_words: F.Column, n_hit: F.Column) -> F.Column:
-    return (n_hit > 0) & (20 * n_hit >= n_words)
+        winnow.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
 
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

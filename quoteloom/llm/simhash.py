@@ -209,3 +209,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(distinct.filter("node is not null"), radius))
     classes = distinct.join(roots, "node", "left").select(F.col("print").alias("fingerprint"), F.coalesce("root", "node").alias("component_id"))
     return marked.join(classes, "fingerprint").select("id", "fingerprint", "component_id")
+
+
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose id is their component's: one document of each group; rows that repeat that id stay together."""
+    firsts = near_duplicates(docs, id_col, text_col, shingle, radius).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_ql_id")).distinct()
+    return docs.join(firsts, docs[id_col].eqNullSafe(F.col("_ql_id")), "left_semi")

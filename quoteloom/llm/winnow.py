@@ -215,6 +215,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.coalesce("_items", F.array().cast(f"array<{kind}>")).alias("items"), spans.alias("spans"))
 
 
+def contaminated(n_words: Column, n_hit: Column) -> Column:
+    """Hit, and a twentieth of the words or more."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    found = contamination(docs, benchmark, id_col, text_col, item_col, item_text).filter(contaminated(F.col("n_words"), F.col("n_hit")))
+    bad = found.select(F.col("id").alias("_ql_id")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_ql_id")), "left_anti")
+
+
 def merged(runs: Column) -> Column:
     """Overlapping or touching runs (s, e) joined, in order."""
     kind = "array<struct<s: bigint, e: bigint>>"

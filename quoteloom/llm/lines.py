@@ -22,7 +22,7 @@ FIELDS = 8
 #: A template recurs when it stands in at least so many documents and documents times tokens reach the weight: a short line
 #: meets itself by chance, a long one does not.
 MIN_DOCS, MIN_WEIGHT = 2, 20
-_VARIABLE = re.compile(r"\S*[0-9]\S*")
+_VARIABLE, _DIGIT = re.compile(r"\S*[0-9]\S*"), re.compile("[0-9]")
 MARK = "<*>"
 
 
@@ -31,20 +31,27 @@ def allowed(n_tokens: int) -> int:
     return min(2, n_tokens // 5)
 
 
-def parsed(line: str, depth: int = DEPTH) -> tuple[int, int, int, list[int]] | None:
-    """(tokens, leaf, key, hashes of the fields) of a line; None for a blank one. Tokens that hold a digit count as variable."""
-    masked = _VARIABLE.sub(MARK, line) if any(c.isdigit() for c in line) else line
-    tokens = masked.split()
+def tokens_of(line: str) -> list[str]:
+    """Tokens of a line; those that hold a digit are variable."""
+    return (_VARIABLE.sub(MARK, line) if _DIGIT.search(line) else line).split()
+
+
+def key_of(tokens: list[str]) -> int:
+    return _signed(xxhash.xxh64_intdigest(" ".join(tokens)))
+
+
+def parsed(tokens: list[str], depth: int = DEPTH) -> tuple[int, list[int]]:
+    """(leaf, hashes of the fields) of a line's tokens."""
     n = len(tokens)
-    if not n:
-        return None
-    rest = tokens[depth:]
-    leaf = xxhash.xxh64_intdigest(f"{n} " + " ".join(tokens[:depth]))
-    key = xxhash.xxh64_intdigest(" ".join(tokens))
-    m = min(FIELDS, len(rest))
-    cuts = [len(rest) * i // m for i in range(m + 1)] if m else []
-    fields = [xxhash.xxh32_intdigest(" ".join(rest[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return n, leaf, key, fields
+    leaf = _signed(xxhash.xxh64_intdigest(f"{n} " + " ".join(tokens[:depth])))
+    m = min(FIELDS, n - depth)
+    if m <= 0:
+        return leaf, []
+    rest, digest = tokens[depth:], xxhash.xxh32_intdigest
+    if m < FIELDS:
+        return leaf, [digest(x) for x in rest]
+    cuts = [(n - depth) * i // m for i in range(m + 1)]
+    return leaf, [digest(" ".join(rest[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _signed(x: int) -> int:
@@ -52,26 +59,28 @@ def _signed(x: int) -> int:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``docs``: id, text. One row per document and distinct masked line: id, n (tokens), leaf, key, fields, lines (their numbers)."""
+    """``docs``: id, text. One row per document and distinct masked line that isn't blank: id, n (tokens), leaf, key, fields."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(ids, texts):
-        out = []
-        for t in texts:
-            seen: dict[tuple[int, int], list] = {}
-            for i, line in enumerate((t or "").split("\n")):
-                p = parsed(line)
-                if p:
-                    row = seen.get((p[1], p[2]))
-                    if row is None:
-                        seen[p[1], p[2]] = [p[0], _signed(p[1]), _signed(p[2]), p[3], [i]]
-                    else:
-                        row[4].append(i)
-            out.append([dict(zip(("n", "leaf", "key", "fields", "lines"), r, strict=True)) for r in seen.values()])
-        return ids, out
-
-    kind = docs.schema["id"].dataType.simpleString()
-    per = map_batches(docs, run, f"id {kind}, rows array<struct<n: int, leaf: long, key: long, fields: array<long>, lines: array<int>>>")
-    return per.select("id", F.explode("rows").alias("r")).select("id", "r.*")
+        who, n, leaves, keys, sizes, fields = [], [], [], [], [0], []
+        for i, t in zip(ids, texts, strict=True):
+            seen = set()
+            for line in (t or "").split("\n"):
+                tokens = tokens_of(line)
+                if tokens and (key := key_of(tokens)) not in seen:
+                    seen.add(key)
+                    leaf, f = parsed(tokens)
+                    who.append(i)
+                    n.append(len(tokens))
+                    leaves.append(leaf)
+                    keys.append(key)
+                    fields += f
+                    sizes.append(len(fields))
+        values = pa.array(np.array(fields, np.uint32).view(np.int32))
+        return who, n, leaves, keys, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
+
+    return map_batches(docs, run, f"id {kind}, n int, leaf long, key long, fields array<int>")
 
 
 def _template_links(distinct: DataFrame) -> DataFrame:
@@ -118,6 +127,9 @@ def _template_links(distinct: DataFrame) -> DataFrame:
 def templates(occ: DataFrame) -> DataFrame:
     """``leaf``, ``key``, ``root`` of the lines that share a template with another line; the root names the template."""
     distinct = occ.groupBy("leaf", "key").agg(F.first("n").alias("n"), F.first("fields").alias("fields"))
+    # most leaves hold one line and need no look
+    shared = occ.groupBy("leaf").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).filter("_a != _b").select("leaf")
+    distinct = distinct.join(shared, "leaf", "left_semi")
     # a node is leaf and key in one number; both are kept, so equal numbers of two leaves stay apart
     found = cut_lineage(_template_links(distinct))
     node = lambda k: F.struct(F.col("leaf").alias("leaf"), F.col(k).alias("key"))
@@ -166,7 +178,7 @@ def _without(joined: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 out.append((None, 0))
                 continue
             gone, lines = set(ks), t.split("\n")
-            kept = [x for x in lines if not ((p := parsed(x)) and _signed(p[2]) in gone)]
+            kept = [x for x in lines if not ((tokens := tokens_of(x)) and key_of(tokens) in gone)]
             out.append(("\n".join(kept), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n"])
 

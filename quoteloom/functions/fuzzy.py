@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quoteloom.vocab import LABEL_THRESHOLD
+
 _MAX_WINDOWS = 1 << 15
 
 
@@ -182,20 +184,15 @@ def partial_ratio_udf(needles: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
-
-
 @F.pandas_udf(T.BooleanType())
 def labels_match_udf(cells: pd.Series, row_label: pd.Series, col_label: pd.Series) -> pd.Series:
-    """Whether one of the row's candidate cells carries both labels, each by at least 90."""
+    """Whether one of the row's candidate cells carries both labels, each by at least the label threshold."""
     seen: dict[tuple[str, str], bool] = {}
 
     def close(x: str, y: str) -> bool:
         key = (x, y)
         if key not in seen:
-            seen[key] = ratio(x, y) >= 90.0
+            seen[key] = ratio(x, y) >= LABEL_THRESHOLD
         return seen[key]
 
     out = []

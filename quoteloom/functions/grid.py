@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -9,6 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The largest spans that the standard for HTML gives a meaning to; a browser clamps larger ones to them.
+MAX_ACROSS, MAX_DOWN = 1000, 65534
+#: Places that spans of one table may claim; its own text is far smaller than that.
+MAX_PLACES = 5_000_000
+
+
+def _span(given: str | None, most: int) -> int:
+    """Leading digits of a span attribute; 1 where there are none or they say nothing."""
+    digits = re.match(r"\s*\+?(\d{1,9})", given or "")
+    return min(most, max(1, int(digits[1]))) if digits else 1
+
+
 class _Cells(HTMLParser):
     """Collects, per ``tr``, the cells as (text pieces, rowspan, colspan)."""
 
@@ -23,7 +36,7 @@ class _Cells(HTMLParser):
             self.depth = 0
         elif tag in ("td", "th") and self.rows:
             a = dict(attrs)
-            self.rows[-1].append(([], int(a.get("rowspan") or 1), int(a.get("colspan") or 1)))
+            self.rows[-1].append(([], _span(a.get("rowspan"), MAX_DOWN), _span(a.get("colspan"), MAX_ACROSS)))
             self.depth = 1
 
     def handle_endtag(self, tag: str) -> None:
@@ -36,14 +49,20 @@ class _Cells(HTMLParser):
             self.rows[-1][-1][0].append(piece)
 
 
-def html_grid(html: str) -> list[list[str]]:
-    """Every cell repeated over the rows and columns it spans; missing places are empty."""
+def html_grid(html: str) -> list[list[str]] | None:
+    """Every cell repeated over the rows and columns it spans; missing places are empty.
+
+    A table whose spans claim over MAX_PLACES places has no grid, like one without rows.
+    """
     parser = _Cells()
     parser.feed(html)
+    if sum(down * across for cells in parser.rows for _, down, across in cells) > MAX_PLACES:
+        return None
     placed: dict[tuple[int, int], str] = {}
     width, height = 0, len(parser.rows)
     for r, cells in enumerate(parser.rows):
         c = 0
+        height = max([height, *(r + down for _, down, _ in cells)])
         for pieces, down, across in cells:
             while (r, c) in placed:
                 c += 1
@@ -51,7 +70,6 @@ def html_grid(html: str) -> list[list[str]]:
             for dr in range(down):
                 for dc in range(across):
                     placed[(r + dr, c + dc)] = text
-            height = max(height, r + down)
             width = max(width, c + across)
             c += across
     return [[placed.get((r, c), "") for c in range(width)] for r in range(height)]

@@ -67,13 +67,26 @@ def blank(c: Column | str) -> Column:
     return F.coalesce(as_col(c), F.lit("")).rlike(r"(?U)^[\s\x1c-\x1f]*$")
 
 
+def number_text(c: Column | str) -> Column:
+    """Shortest text of a double: plain decimals from 1e-4 up to 1e16, outside of that a mantissa and an exponent of two digits."""
+    c = as_col(c)
+    raw = c.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(raw.try_cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", ".0")
+    mantissa = F.regexp_replace(F.substring_index(raw, "E", 1), r"\.0$", "")
+    power = F.substring_index(raw, "E", -1)
+    digits = F.regexp_replace(power, "^-", "")
+    exponent = F.concat(F.when(F.startswith(power, F.lit("-")), "-").otherwise("+"), F.when(F.char_length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits))
+    size = F.abs(c)
+    return F.when(~F.contains(raw, F.lit("E")), raw).when((size >= 1e-4) & (size < 1e16), plain).otherwise(F.concat(mantissa, F.lit("e"), exponent))
+
+
 def json_value_text(kind: Column | str, num: Column | str, txt: Column | str) -> Column:
     """JSON text of a typed cell value; 1 and 1.0 stay different."""
     kind, num, txt = as_col(kind), as_col(num), as_col(txt)
     quoted = F.to_json(F.array(txt))
     return (
-        F.when(kind == "int", num.cast("bigint").cast("string"))
-        .when(kind == "float", num.cast("string"))
+        F.when(kind == "int", F.coalesce(txt, num.cast("bigint").cast("string")))
+        .when(kind == "float", number_text(num))
         .when(kind == "bool", txt)
         .when(kind == "str", F.substr(quoted, F.lit(2), F.char_length(quoted) - 2))
         .when(kind == "other", txt)
@@ -106,8 +119,10 @@ def readable(c: Column | str) -> Column:
 def natural_key(c: Column | str) -> Column:
     """Sort key in which digit runs compare as numbers and letters without case."""
     runs = F.regexp_extract_all(F.lower(as_col(c)), F.lit(r"\d+|\D+"), F.lit(0))
+    # a run's length goes before it, so runs of any length compare as numbers
+    sized = lambda r: F.concat(F.lpad(F.char_length(r).cast("string"), 10, "0"), r)
     stripped = F.transform(
         runs,
-        lambda r: F.when(r.rlike(r"^\d+$"), F.lpad(F.regexp_replace(r, r"^0+(?=\d)", ""), 20, "0")).otherwise(r),
+        lambda r: F.when(r.rlike(r"^\d+$"), sized(F.regexp_replace(r, r"^0+(?=\d)", ""))).otherwise(r),
     )
     return F.array_join(stripped, "")

@@ -160,7 +160,7 @@ def _norm_parts(parts: Column) -> Column:
     """norm() of each string of an array in one call."""
     mark = "\x01"
     return F.when(
-        F.size(parts) > 0, F.transform(F.split(norm(F.array_join(parts, mark)), mark), lambda x: F.trim(x))
+        F.size(parts) > 0, F.transform(F.split(norm(F.array_join(F.transform(parts, lambda p: F.translate(p, mark, " ")), mark)), mark), lambda x: F.trim(x))
     )
 
 

@@ -62,6 +62,20 @@ def agreement(compared: DataFrame) -> DataFrame:
     )
 
 
+def agreement_of(a: DataFrame, b: DataFrame, row_fields: list[str] | None = None, trace_fields: list[str] | None = None) -> DataFrame:
+    """Agreement of two codings without a row per field: equal fields are counted inside the joined row, both row counts
+    come from the same join, and one aggregate follows."""
+    ca = critical_cells(a, row_fields, trace_fields).select(*EXTRACTION, "row_pos", F.col("cells").alias("_a"))
+    cb = critical_cells(b, row_fields, trace_fields).select(*EXTRACTION, "row_pos", F.col("cells").alias("_b"))
+    pairs = F.arrays_zip("_a", "_b")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    equal = F.when(both, F.size(F.filter(pairs, lambda p: F.coalesce(cells_equal(p["_a"]["cell"], p["_b"]["cell"]), F.lit(False))))).otherwise(0)
+    sums = ca.join(cb, [*EXTRACTION, "row_pos"], "full_outer").groupBy(*EXTRACTION).agg(
+        F.sum(F.when(both, F.size("_a")).otherwise(0)).alias("_fields"), F.sum(equal).alias("_equal"), F.count("_a").alias("_na"), F.count("_b").alias("_nb"))
+    hits = F.col("_equal") + F.when(F.col("_na") == F.col("_nb"), 1).otherwise(0)
+    return sums.select(*EXTRACTION, (F.col("_fields") + 1).alias("total"), hits.alias("hits"), F.bround(hits / (F.col("_fields") + 1), 3).alias("agreement"))
+
+
 def low_agreement(agreements: DataFrame, threshold: float = AGREEMENT_THRESHOLD) -> DataFrame:
     """Extractions under the threshold with the notice they carry into the matrix."""
     return agreements.filter(F.col("agreement") < threshold).withColumn(
@@ -78,7 +92,7 @@ def two_decimals(c: Column) -> Column:
 
 def gold_comparison(coding: DataFrame, gold: DataFrame) -> DataFrame:
     """Agreement of a coding with a verified example."""
-    return agreement(compare_codings(coding, gold))
+    return agreement_of(coding, gold)
 
 
 def congruence(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -170,15 +170,15 @@ def image_pages(blocks: DataFrame) -> DataFrame:
     )
 
 
-def rect_check(blocks: DataFrame, clips: DataFrame, ok_from: float = 90.0) -> DataFrame:
-    """Similarity of each text block with the text clipped at its rectangle and at a shifted control."""
+def rect_check(blocks: DataFrame, clips: DataFrame, ok_from: float = 90.0, head_chars: int | None = None) -> DataFrame:
+    """Similarity of each text block, or its first ``head_chars`` characters, with the text clipped at its rectangle and at a shifted control."""
     plain = norm(F.regexp_replace("text", r"</?su[bp]>|\$[^$]*\$", " "))
     texts = (
         blocks.filter(~F.col("type").isin("figura", "tabla"))
         .select(*BLOCK, "type", plain.alias("_plain"))
         .join(clips.select(*BLOCK, norm("clip").alias("_clip"), norm("shifted").alias("_shifted")), BLOCK, "left")
     )
-    head = F.substr(F.col("_plain"), F.lit(1), F.lit(300))
+    head = F.col("_plain") if head_chars is None else F.substr(F.col("_plain"), F.lit(1), F.lit(head_chars))
 
     def score(other: str) -> Column:
         return F.when(F.coalesce(F.col(other), F.lit("")) == "", 0.0).otherwise(partial_ratio_udf(head, F.col(other)))

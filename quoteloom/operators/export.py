@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,37 +13,48 @@ from quoteloom.operators.ordering import running_sum
 from quoteloom.vocab import MISSING_CODES, STUDY
 
 ROW = ["project_id", "extraction_id", "row_pos"]
-COMMENT_LIMIT = 1500
-NOTE_LIMIT = 3000
+#: Rows that the file format of a sheet holds.
+SHEET_ROWS = 1 << 20
 
 
 # ------------------------------------------------------------------ places in the sheet
-def _place_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("study", kind="stable")
-    taken: set[int] = set()
-    free, slots = 2, []
-    for origin in pdf["origin_row"]:
-        if pd.isna(origin) or int(origin) in taken:
-            while free in taken:
-                free += 1
-            origin = free
-        slots.append(int(origin))
-        taken.add(int(origin))
-    return pdf.assign(sheet_row=slots)
+def _filled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one project by sheet row, seen from the sheet: each row number from 2 goes to the earliest study that waits for it.
+
+    Studies without a row of their own, or whose row an earlier study names too, wait from the start; every other one begins to
+    wait at its own row. A study that gets a row it did not name leaves that row's owner waiting for a later one.
+    """
+    if len(pdf) >= SHEET_ROWS:
+        raise ValueError(f"project {pdf['project_id'].iloc[0]}: {len(pdf)} rows do not fit a sheet")
+    pdf = pdf.sort_values("study", kind="stable").reset_index(drop=True)
+    owner = pdf["origin_row"].dropna().drop_duplicates()
+    joins = {int(row): study for study, row in owner.items()}
+    waiting = sorted(set(pdf.index) - set(owner.index))
+    rows = pd.Series({study: row for row, study in joins.items() if row < 2}, dtype="int64")
+    row, named = 2, sorted(r for r in joins if r >= 2)
+    for nxt in [*named, None]:
+        while waiting and (nxt is None or row < nxt):
+            rows[heapq.heappop(waiting)] = row
+            row += 1
+        if nxt is not None:
+            heapq.heappush(waiting, joins[nxt])
+            rows[heapq.heappop(waiting)] = nxt
+            row = nxt + 1
+    return pdf.assign(sheet_row=rows.reindex(pdf.index))
 
 
 def place_inherited(rows: DataFrame) -> DataFrame:
-    """Sheet row of each inherited row: its original one, or the next free from 2 when missing or taken.
+    """Sheet row of each inherited row: its original one, or the next free from 2 when missing or taken, by study.
 
-    Projects whose original rows are all present and distinct are placed by projection. Only the others need the
-    ordered pass; its input is two numbers per row, and a sheet holds at most 2**20 rows.
+    Projects whose original rows are all present and distinct are placed by projection. The others are ordered in one task
+    each: two numbers per row, and no more rows than a sheet's file format holds, which is checked.
     """
     narrow = rows.select("project_id", "study", F.col("origin_row").cast("bigint").alias("origin_row"))
     slots = narrow.groupBy("project_id", "origin_row").agg(F.count("*").alias("_n"))
     clash = slots.filter("_n > 1 or origin_row is null").select("project_id").distinct()
     simple = narrow.join(clash, "project_id", "left_anti").withColumn("sheet_row", F.col("origin_row"))
     hard = narrow.join(clash, "project_id", "left_semi").groupBy("project_id").applyInPandas(
-        _place_group, "project_id string, study bigint, origin_row bigint, sheet_row bigint")
+        _filled, "project_id string, study bigint, origin_row bigint, sheet_row bigint")
     return simple.unionByName(hard)
 
 
@@ -116,8 +129,8 @@ def audit_of_studies(audit: DataFrame, studies: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ comments and fills
-def evidence_comment(evidence: Column) -> Column:
-    """Comment text of a cell from its evidence, in order."""
+def evidence_comment(evidence: Column, limit: int | None = None) -> Column:
+    """Comment text of a cell from its evidence, in order; a sink that renders short comments gives a limit."""
 
     def one(e: Column) -> Column:
         def part(prefix: str, c: Column) -> Column:
@@ -129,10 +142,11 @@ def evidence_comment(evidence: Column) -> Column:
             F.when(F.coalesce(e["leido_de_figura"], F.lit(False)), " | leído de figura").otherwise(""),
             F.lit('\n"'), F.coalesce(e["cita_textual"], F.lit("")), F.lit('"'))
 
-    return F.substring(F.array_join(F.transform(evidence, one), "\n"), 1, COMMENT_LIMIT)
+    text = F.array_join(F.transform(evidence, one), "\n")
+    return text if limit is None else F.substring(text, 1, limit)
 
 
-def cell_comments(rows: DataFrame, columns: DataFrame) -> DataFrame:
+def cell_comments(rows: DataFrame, columns: DataFrame, comment_limit: int | None = None, note_limit: int | None = None) -> DataFrame:
     """Comment and fill inputs of each cell: evidence text, or the code of a missing value, then the reasons why.
 
     Reasons (inferences, then discrepancies) are appended to the comment of their own cell.
@@ -141,7 +155,7 @@ def cell_comments(rows: DataFrame, columns: DataFrame) -> DataFrame:
     key = F.col("key")
     evidence = F.col("traz.evidencia")[key]
     v = F.col("fila")[key]
-    comment = F.when(F.size(evidence) > 0, evidence_comment(evidence)).when(is_null(v), F.col("traz.estado_del_dato")[key])
+    comment = F.when(F.size(evidence) > 0, evidence_comment(evidence, comment_limit)).when(is_null(v), F.col("traz.estado_del_dato")[key])
     none = F.array().cast("array<string>")
     inferred = F.transform(
         F.filter("traz.inferencias", lambda x: F.get(F.split(x["columna"], r" \("), F.lit(0)) == key),
@@ -152,7 +166,8 @@ def cell_comments(rows: DataFrame, columns: DataFrame) -> DataFrame:
     why = F.concat(F.coalesce(inferred, none), F.coalesce(conflicting, none))
     step = base.withColumns({"_comment": comment, "_why": why})
     before = F.coalesce(F.concat(F.col("_comment"), F.lit("\n\n")), F.lit(""))
-    with_why = F.substring(F.concat(before, F.array_join("_why", "\n")), 1, NOTE_LIMIT)
+    with_why = F.concat(before, F.array_join("_why", "\n"))
+    with_why = with_why if note_limit is None else F.substring(with_why, 1, note_limit)
     full = F.when(F.size("_why") > 0, with_why).otherwise(F.col("_comment"))
     return step.select(
         *ROW, cell_text(F.col("fila")[STUDY]).alias("study"), "key", "position", full.alias("comment"),

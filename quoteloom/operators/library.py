@@ -62,11 +62,6 @@ def legal_move(prev: Column, new: Column) -> Column:
     return F.when(new == "ERROR", prev != "EXCLUIDO").when(new == "EXCLUIDO", prev.isin(EXCLUDABLE)).otherwise(allowed)
 
 
-def legal_from_error(new: Column, failed_step: Column, has_document: Column, queued_from: Column) -> Column:
-    """Ways out of ERROR: retry of the failed step, or reset."""
-    return new.isin("EXCLUIDO") | (new == failed_step) | (new == reset_target(has_document, queued_from))
-
-
 def illegal_moves(events: DataFrame) -> DataFrame:
     """State events that do not follow the table, or exclude without a reason.
 

@@ -133,10 +133,13 @@ def judged_decisions(points: DataFrame, decisions: DataFrame, rows: DataFrame, b
 
 
 def apply_decisions(rows: DataFrame, judged: DataFrame) -> DataFrame:
-    """Rows with the accepted changes; the evidence of a changed column becomes that of the decision."""
+    """Rows with the accepted changes; the evidence of a changed column becomes that of the decision.
+
+    Of several changes to a cell that of the finding with the largest number stands.
+    """
     latest = (
         judged.filter("outcome = 'changed'").groupBy(*EXT, "row_pos", "column")
-        .agg(F.max_by(F.struct("value", "evidence"), "finding_id").alias("_c"))
+        .agg(F.max_by(F.struct("value", "evidence"), F.struct(F.regexp_extract("finding_id", r"(\d+)$", 1).try_cast("decimal(38,0)"), F.col("finding_id"))).alias("_c"))
     )
     per_row = latest.groupBy(*EXT, "row_pos").agg(F.map_from_entries(F.collect_list(F.struct("column", "_c"))).alias("_changes"))
     joined = rows.join(per_row, [*EXT, "row_pos"], "left")
@@ -197,18 +200,18 @@ def gate(old_rows: DataFrame, new_rows: DataFrame, judged: DataFrame, violations
 
 
 # ------------------------------------------------------------------ attempts, routing, escalation
-def attempt_status(attempts: DataFrame, limit: int = 3) -> DataFrame:
+def attempt_status(attempts: DataFrame, limit: int = 3, shown: int | None = None) -> DataFrame:
     """Iterations and state of each extraction from its validator runs; ``attempts``: iteration, errors (array)."""
     last = attempts.groupBy(*EXT).agg(F.max("iteration").alias("iterations"), F.max_by("errors", "iteration").alias("last_errors"))
     n = F.size("last_errors")
     return last.select(
         *EXT, "iterations", n.alias("errors"),
         F.when(n == 0, "valid").when(F.col("iterations") >= limit, "FALLIDA").otherwise("retry").alias("status"),
-        F.array_join(F.slice("last_errors", 1, 10), " | ").alias("first_errors"),
+        F.array_join(F.col("last_errors") if shown is None else F.slice("last_errors", 1, shown), " | ").alias("first_errors"),
     )
 
 
-def route_blind_coder(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+def route_blind_coder(blocks: DataFrame, lines: DataFrame, light_chars: int = LIGHT_MAX_CHARS, light_tables: int = LIGHT_MAX_TABLES) -> DataFrame:
     """Model level for the blind coder by signs of complexity, first that applies.
 
     Text length and design terms are reduced per line, so no document text is put together.
@@ -223,8 +226,8 @@ def route_blind_coder(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     joined = shape.join(body, doc, "left")
     reason = (
         F.when(F.col("_images") > 0, "tablas o figuras en imagen")
-        .when(F.col("chars") > LIGHT_MAX_CHARS, "artículo largo")
-        .when(F.col("_tables") > LIGHT_MAX_TABLES, f"más de {LIGHT_MAX_TABLES} tablas")
+        .when(F.col("chars") > light_chars, "artículo largo")
+        .when(F.col("_tables") > light_tables, f"más de {light_tables} tablas")
         .when(F.col("_term").isNotNull(), F.concat(F.lit("diseño complejo ('"), F.col("_term"), F.lit("')")))
         .otherwise("artículo sin señales de complejidad")
     )
@@ -233,16 +236,6 @@ def route_blind_coder(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     return out.select(*doc, F.when(light, "ligero").otherwise("especializado").alias("level"), "reason")
 
 
-def route_field(field: Column | str) -> Column:
-    """Model level of the reconciler for a field: critical fields go to the specialised one."""
-    critical = [*CRITICAL_ROW_FIELDS, *CRITICAL_TRACE_FIELDS, ROW_COUNT_FIELD]
-    return F.when(as_col(field).isin(critical), "especializado").otherwise("ligero")
-
-
-def route_role(role: Column | str) -> Column:
-    return F.when(as_col(role).isin("extractor", "auditor"), "especializado")
-
-
 def escalate(light: DataFrame, specialised: DataFrame, agreements: DataFrame, threshold: float = AGREEMENT_THRESHOLD) -> DataFrame:
     """Blind coding to use per extraction: the light one unless unreadable or in low agreement.
 

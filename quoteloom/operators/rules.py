@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteloom.functions.text import norm, numbers_in, word_count
-from quoteloom.functions.typed import cell_json, cell_text, is_null, is_number
+from quoteloom.functions.typed import cell_json, cell_text, is_null, is_number, value_key
 from quoteloom.operators.anchoring import evidence_of, locate_literal
 from quoteloom.operators.documents import DOC, anchor_variants
 from quoteloom.vocab import (
@@ -330,7 +330,7 @@ def _not_literal(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     joined = q.join(t, same, "left").filter(~F.coalesce(F.contains(F.col("t.text_norm"), F.col("q.q")), F.lit(False)))
     return joined.select(
         *[F.col(f"q.{c}") for c in ROW], F.lit("V23").alias("rule"), F.lit("E").alias("severity"), F.col("q.column").alias("column"),
-        F.format_string("Cita de '%s' no se encuentra literal en el PDF: %s", F.col("q.column"), F.substring("q.quote", 1, 80)).alias("message"),
+        F.format_string("Cita de '%s' no se encuentra literal en el PDF: %s", F.col("q.column"), F.col("q.quote")).alias("message"),
     )
 
 
@@ -374,7 +374,7 @@ def v25_happiness_type(rows: DataFrame, types: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ rules about groups of rows
 def v01_repeated_study(rows: DataFrame) -> DataFrame:
-    study = cell_json(value(STUDY))
+    study = value_key(value(STUDY))
     w = Window.partitionBy("project_id", "extraction_id", "_study").orderBy("row_pos")
     again = (
         with_values(rows).select(*ROW, study.alias("_study"), cell_text(value(STUDY)).alias("_shown"))
@@ -393,7 +393,7 @@ def v02_document_constant(rows: DataFrame, meta: DataFrame) -> DataFrame:
     """Document-level columns that change inside a document; 1 and 1.0 differ."""
     keys = F.filter("document_level", lambda k: k.isNotNull())
     cells = with_values(rows).join(meta.select("project_id", "document_level"), "project_id").select(
-        "project_id", "extraction_id", cell_json(value(DOCUMENT)).alias("document"), F.col("fila"), F.explode(keys).alias("column"))
+        "project_id", "extraction_id", value_key(value(DOCUMENT)).alias("document"), F.col("fila"), F.explode(keys).alias("column"))
     changing = _with_several_values(
         cells.withColumn("v", cell_json(F.col("fila")[F.col("column")])), ["project_id", "extraction_id", "document", "column"])
     return changing.select(
@@ -403,7 +403,7 @@ def v02_document_constant(rows: DataFrame, meta: DataFrame) -> DataFrame:
 
 def v20_sample_constant(rows: DataFrame) -> DataFrame:
     """Country, population, design and dates that change inside a sample."""
-    entries = F.array(*[F.struct(F.lit(k).alias("column"), cell_json(value(k)).alias("v")) for k in SAMPLE_CONSTANT_KEYS])
+    entries = F.array(*[F.struct(F.lit(k).alias("column"), value_key(value(k)).alias("v")) for k in SAMPLE_CONSTANT_KEYS])
     cells = with_values(rows).select("project_id", "extraction_id", traz("id_muestra").alias("sample"), F.explode(entries).alias("e"))
     changing = _with_several_values(cells.select("project_id", "extraction_id", "sample", "e.*"), ["project_id", "extraction_id", "sample", "column"])
     return (

@@ -273,12 +273,12 @@ _AGREEMENT = f"""{_PAIRS}, agreed AS (SELECT project_id, extraction_id, count(*)
 
 @query("agreement", f"WITH {_AGREEMENT} SELECT project_id, extraction_id, total, hits, CAST(round_even(hits / total, 3) AS DOUBLE) AS agreement FROM agreed")
 def agreement(t: Tables) -> DataFrame:
-    return compare.agreement(compare.compare_codings(coded(t), _blind(t)))
+    return compare.agreement_of(coded(t), _blind(t))
 
 
 @query("low_agreement", f"""WITH {_AGREEMENT} SELECT project_id, extraction_id, total, hits FROM agreed WHERE round(hits / total, 3) < 0.95""")
 def low_agreement(t: Tables) -> DataFrame:
-    low = compare.low_agreement(compare.agreement(compare.compare_codings(coded(t), _blind(t))), 0.95)
+    low = compare.low_agreement(compare.agreement_of(coded(t), _blind(t)), 0.95)
     return low.filter(F.col("notice").startswith("Acuerdo extractor-codificador ciego de 0.")).select("project_id", "extraction_id", "total", "hits")
 
 
@@ -481,7 +481,7 @@ UNION ALL SELECT b.project_id, b.extraction_id, count(*), 'ligero' FROM blind b
 WHERE round(hits / total, 3) >= 0.95 GROUP BY b.project_id, b.extraction_id""")
 def escalated_coding(t: Tables) -> DataFrame:
     rows, light = coded(t), _blind(t)
-    chosen = reconcile.escalate(light, rows, compare.agreement(compare.compare_codings(rows, light)), 0.95)
+    chosen = reconcile.escalate(light, rows, compare.agreement_of(rows, light), 0.95)
     return chosen.groupBy("project_id", "extraction_id", "coder_level").agg(F.count("*").alias("rows"))
 
 
@@ -528,6 +528,6 @@ def extraction_summary(t: Tables) -> DataFrame:
     extractions = rows.select(*ext).distinct().withColumn("state", done)
     anchors = rows.select(*ext, F.lit("VERIFICADA").alias("level"))
     use = rows.select(*ext, F.lit(0.5).alias("cost_usd"))
-    agreed = compare.agreement(compare.compare_codings(rows, _blind(t)))
+    agreed = compare.agreement_of(rows, _blind(t))
     out = reconcile.extraction_summary(extractions, rows, anchors, agreed, _findings(t), rules.row_violations(rows, ["V09"]), use)
     return out.select(*ext, "state", F.array_join("studies", ",").alias("studies"), "agreement", F.col("VERIFICADA").alias("verified"), "pending", "errors", "cost_usd")

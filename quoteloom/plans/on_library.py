@@ -108,7 +108,7 @@ def state_counts(t: Tables) -> DataFrame:
     return library.state_counts(_articles(t))
 
 
-@query("listed_articles", f"""WITH {_ARTICLES} SELECT project_id, article_id, file_name, 'src' || lpad(regexp_extract(file_name, 'src(\\d+)', 1), 20, '0') || '_' || lpad(regexp_extract(file_name, '_(\\d)', 1), 20, '0') || '.pdf' AS sort_key
+@query("listed_articles", f"""WITH {_ARTICLES} SELECT project_id, article_id, file_name, 'src' || lpad(length(regexp_extract(file_name, 'src(\\d+)', 1))::varchar, 10, '0') || regexp_extract(file_name, 'src(\\d+)', 1) || '_' || lpad('1', 10, '0') || regexp_extract(file_name, '_(\\d)', 1) || '.pdf' AS sort_key
 FROM a WHERE state = 'LISTO' AND contains(file_name, 'c1')""")
 def listed_articles(t: Tables) -> DataFrame:
     return library.list_articles(_articles(t), "LISTO", "C1").select("project_id", "article_id", "file_name", "sort_key")

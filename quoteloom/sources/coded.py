@@ -30,10 +30,6 @@ def coded_rows(outputs: DataFrame, tolerant: bool = False) -> DataFrame:
     return rows.select("project_id", "extraction_id", "doc_id", "row_pos", fila_of(F.col("_item")).alias("fila"), traz_of(F.col("_item")).alias("traz"))
 
 
-def unreadable_outputs(outputs: DataFrame) -> DataFrame:
-    return outputs.withColumn("_text", response_json("content")).filter("_text is null").drop("_text")
-
-
 def fila_of(item: Column) -> Column:
     values = F.try_variant_get(item, "$.fila", "map<string,variant>")
     return F.transform_values(values, lambda _, v: variant_cell(v))

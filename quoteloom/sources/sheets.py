@@ -29,9 +29,10 @@ def matching_sheets(raw: DataFrame, columns: DataFrame) -> DataFrame:
     return good.groupBy("project_id").agg(F.min("sheet").alias("sheet"))
 
 
-def mismatch_report(differences: DataFrame, first: int = 8) -> DataFrame:
-    """One text per sheet with its first differences."""
-    listed = F.slice(F.array_sort(F.collect_list(F.struct("position", "problem"))), 1, first)
+def mismatch_report(differences: DataFrame, first: int | None = None) -> DataFrame:
+    """One text per sheet with its differences, or the first of them."""
+    listed = F.array_sort(F.collect_list(F.struct("position", "problem")))
+    listed = listed if first is None else F.slice(listed, 1, first)
     return differences.groupBy("project_id", "sheet").agg(F.array_join(F.transform(listed, lambda x: x["problem"]), "; ").alias("report"))
 
 
@@ -51,7 +52,7 @@ def typed_text(name: str):
     """Cell of a sheet text: whole numbers, numbers, else text."""
     t = F.col(name)
     return (
-        F.when(t.rlike(r"^-?\d{1,15}$"), int_cell(t.try_cast("double")))
+        F.when(t.rlike(r"^-?\d+$"), int_cell(t))
         .when(t.rlike(r"^-?\d*\.\d+$"), float_cell(t.try_cast("double")))
         .otherwise(text_cell(t))
     )

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from quoteloom.operators.usage import level_rank
+from quoteloom.session import cut_lineage
 from quoteloom.vocab import MAX_DELIVERY_ATTEMPTS, OUTBOX_BATCH
 
 Handler = Callable[[DataFrame], DataFrame]
-EVENT_NAMES = ["ArticuloCargado", "LibroPublicado", "ExtraccionCompletada"]
 
 
 # ------------------------------------------------------------------ outbox
@@ -49,6 +49,22 @@ def deliver(events: DataFrame, handlers: dict[str, Handler]) -> DataFrame:
     return out
 
 
+def delivered_apart(events: DataFrame, handlers: dict[str, Handler], folder: str) -> None:
+    """Writes the outcomes of a batch, each handler by itself: one that raises fails its own events, with its message."""
+    others = events.filter(~F.col("name").isin(list(handlers)))
+    others.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")).write.mode("overwrite").parquet(folder)
+    for name, handler in handlers.items():
+        own = route(events, name)
+        if own.isEmpty():
+            continue
+        try:
+            # kept aside first, so that a handler that fails halfway leaves no outcome twice
+            outcome = cut_lineage(handler(own).select("id", "ok", "error"))
+        except Exception as e:  # noqa: BLE001 - whatever a handler raises is the outcome of its events
+            outcome = own.select("id", F.lit(False).alias("ok"), F.lit(f"{type(e).__name__}: {e}"[:2000]).alias("error"))
+        outcome.write.mode("append").parquet(folder)
+
+
 def start_outbox(events: DataFrame, handlers: dict[str, Handler], outcomes_path: str, checkpoint: str, retries: int = MAX_DELIVERY_ATTEMPTS,
                  once: bool = False) -> StreamingQuery:
     """Delivers each micro-batch, retries its failures, and appends every outcome to a table.
@@ -61,10 +77,9 @@ def start_outbox(events: DataFrame, handlers: dict[str, Handler], outcomes_path:
         open_ = batch
         for attempt in range(retries):
             folder = f"{outcomes_path}/batch={_}/attempt={attempt}"
-            deliver(open_, handlers).write.mode("overwrite").parquet(folder)
+            # a batch that starts over after a crash finds attempts of its first run: each is replaced, by nothing if not needed
+            delivered_apart(open_, handlers, folder)
             failed = spark.read.parquet(folder).filter("not ok").select("id")
-            if failed.isEmpty():
-                break
             open_ = batch.join(failed, "id", "left_semi")
 
     writer = events.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)

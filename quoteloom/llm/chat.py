@@ -78,7 +78,8 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     path = best.withColumn("node", F.col("leaf"))
     for table in tables:
         up = table.filter("up is not null").select("tree", "node", "up")
-        path = path.union(path.join(up, ["tree", "node"]).select("tree", "leaf", "rank", "branch_score", F.col("up").alias("node")))
+        # each round reads the path twice, so it is a table
+        path = cut_lineage(path.union(path.join(up, ["tree", "node"]).select("tree", "leaf", "rank", "branch_score", F.col("up").alias("node"))))
     return path.join(depths.select("tree", "node", "depth"), ["tree", "node"]).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
 
 

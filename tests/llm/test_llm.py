@@ -259,18 +259,40 @@ def test_simhash_against_all_pairs(spark):
     linked = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 2]
     assert {i: r["fingerprint"] & (1 << 64) - 1 for i, r in got.items()} == prints
     assert {i: r["component_id"] for i, r in got.items()} == classes(prints, linked)
-    kept = sorted(r["doc_id"] for r in simhash.kept(docs(spark, rows)).collect())
-    assert sorted(set(kept)) == sorted(set(classes(prints, linked).values()))
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     assert simhash.near_duplicates(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_similar_documents_against_all_pairs(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 60, 300])))) for i in range(120)]
+    for i in range(120, 320):
+        t = rows[rng.randrange(120)][1].split()
+        for _ in range(rng.randrange(max(1, len(t) // 25))):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, "  ".join(t)))
+    rows += [(900, None), (901, " \n"), (None, "lone")]
+    sets = {i: frozenset(zip(*((t or "").split()[j:] for j in range(5)), strict=False)) or ((t or "").split() and frozenset([(t or "",)])) or frozenset() for i, t in rows if i is not None}
+    text = {i: " ".join((t or "").split()) for i, t in rows if i is not None}
+    want = [(i, j) for i in sets for j in sets if i < j and (text[i] == text[j] or (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and sets[i]))]
+    got = {r["id"]: r["component_id"] for r in simhash.similar(docs(spark, rows)).collect()}
+    true = classes(sets, want)
+    linked = [(i, j) for i, j in want if got[i] == got[j]]
+    assert len(linked) >= 0.95 * len(want) > 50
+    assert all(true[i] == true[c] for i, c in got.items() if i is not None) and got[None] is None
+    kept = simhash.kept(docs(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted({c for c in got.values() if c is not None})
+    assert kept.columns == docs(spark, []).columns and simhash.kept(docs(spark, [])).count() == 0
+    assert simhash.kept(docs(spark, ODD)).count() == 5
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
 def test_bit_sliced_distances(radius):
     rng = random.Random(radius)
     prints = [rng.getrandbits(64) for _ in range(70)]
     prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7))) for p in prints]
-    sliced = simhash.Sliced(prints)
+    sliced = simhash.Sliced(np.array(prints, np.uint64).view(np.uint8).reshape(-1, 8))
     for q in prints[:40]:
         full = [f for _, f, _ in sliced.runs]
         assert sorted(sliced.near(q, radius, full)) == [i for i, p in enumerate(prints) if (p ^ q).bit_count() <= radius]

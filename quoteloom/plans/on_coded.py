@@ -9,7 +9,7 @@ from quoteloom.functions.typed import CELL_TYPE, cell_json, float_cell, int_cell
 from quoteloom.operators import compare, reconcile, rules
 from quoteloom.operators.anchoring import evidence_of
 from quoteloom.plans.derived import BLOCKS, CODED, EVIDENCE, coded, coded_wide, codebook_columns, evidence, shown_blocks, sql_norm, stored_blocks
-from quoteloom.plans.registry import Tables, query
+from quoteloom.plans.registry import SQL, Tables, query
 from quoteloom.session import cut_lineage
 from quoteloom.sources.coded import coded_rows
 
@@ -155,10 +155,7 @@ def rule_v23_words(t: Tables) -> DataFrame:
 WHERE (happiness IN ('Satisfacción laboral', 'Bienestar') AND family <> 'Hedónica')""")
 def rule_v25(t: Tables) -> DataFrame:
     rows = coded(t)
-    pairs = F.array(*[F.struct(F.lit(a).alias("type"), F.lit(b).alias("family")) for a, b in (
-        ("Satisfacción laboral", "Hedónica"), ("Bienestar", "Hedónica"), ("Orientación hedónica", "Hedónica"))])
-    types = rows.select("project_id").distinct().select("project_id", F.explode(pairs).alias("p")).select("project_id", "p.*")
-    return rules.v25_happiness_type(rows, types).select(*OUT)
+    return rules.v25_happiness_type(rows, _types(rows)).select(*OUT)
 
 
 _SCHEMA_SQL = f"""WITH {CODED}, bad AS (
@@ -193,6 +190,28 @@ def schema_gate_passed(t: Tables) -> DataFrame:
     return passed.groupBy("project_id", "extraction_id").agg(F.count("*").alias("rows"))
 
 
+def _types(rows: DataFrame) -> DataFrame:
+    """Happiness types of every project and the family each belongs to."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("type"), F.lit(b).alias("family")) for a, b in (
+        ("Satisfacción laboral", "Hedónica"), ("Bienestar", "Hedónica"), ("Orientación hedónica", "Hedónica"))])
+    return rows.select("project_id").distinct().select("project_id", F.explode(pairs).alias("p")).select("project_id", "p.*")
+
+
+_GROUP_SQL = [SQL["rule_v01"], SQL["rule_v02"], SQL["rule_v13"], f"""SELECT *, 'V20' AS rule, 'A' AS severity FROM ({SQL["rule_v20"]})""", SQL["rule_v22"], SQL["rule_v25"]]
+_PASSED = [f"""SELECT project_id, extraction_id, rule, severity, "column" FROM ({s})""" for s in (*ROW_SQL.values(), *_GROUP_SQL)]
+
+
+@query("validated_rows", f"""{_SCHEMA_SQL}, found AS ({" UNION ALL ".join(_PASSED)}),
+every AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.project_id = f.project_id AND b.extraction_id = f.extraction_id)
+  UNION ALL SELECT project_id, extraction_id, 'ESQUEMA', 'E', c FROM bad)
+SELECT project_id, extraction_id, rule, severity, "column", count(*) AS n FROM every GROUP BY ALL""")
+def validated_rows(t: Tables) -> DataFrame:
+    """All rules as one gate: an extraction with schema faults shows only those."""
+    rows = cut_lineage(_untidy(t))
+    found = rules.validate(rows, codebook_columns(t), _types(rows))
+    return found.groupBy("project_id", "extraction_id", "rule", "severity", "column").agg(F.count("*").alias("n"))
+
+
 _V = f"({' UNION ALL '.join(f'(SELECT * FROM ({s}))' for s in ROW_SQL.values())})"
 
 

@@ -160,7 +160,9 @@ EVIDENCE = f"""{BLOCKS}, cuts AS (
 # alias: expression both engines read; the order is that of the select list, later ones may not use earlier ones
 _YEAR = "CAST(year(l_shipdate) AS STRING)"
 _R = "CASE WHEN l_suppkey % 3 <> 0 THEN round(l_discount * 10 - 0.3, 2) END"
-_BETA = "CASE WHEN l_returnflag <> 'R' THEN round(l_tax * 20 - 0.3, 2) END"
+# a coefficient under a thousandth here and there
+_TINY = "l_returnflag <> 'R' AND l_partkey % 29 = 0"
+_BETA = f"CASE WHEN {_TINY} THEN 0.0005 WHEN l_returnflag <> 'R' THEN round(l_tax * 20 - 0.3, 2) END"
 CODED_EXPR = {
     "estudio": "l_linenumber",
     "documento": "l_orderkey * 2 + l_linenumber % 2",
@@ -173,7 +175,7 @@ CODED_EXPR = {
     "r": _R,
     "beta": _BETA,
     "transcript": f"""CASE WHEN l_partkey % 4 = 0 THEN 'sin datos' ELSE 'r = ' || replace(CAST(coalesce({_R}, 0.5) AS STRING), '.', ',')
-        || ' y beta = ' || CAST(coalesce({_BETA}, 0.1) AS STRING) END""",
+        || ' y beta = ' || CASE WHEN {_TINY} THEN '0.0005' ELSE CAST(coalesce({_BETA}, 0.1) AS STRING) END END""",
     "items": "l_linenumber",
     "items1": "l_suppkey % 5",
     "rel_p": "CASE WHEN l_partkey % 5 <> 0 THEN round(0.6 + l_discount * 3, 2) END",

@@ -13,17 +13,21 @@ from quoteloom.plans.registry import SQL, Tables, query
 from quoteloom.session import cut_lineage
 from quoteloom.sources.coded import coded_rows
 
-OUT = ["project_id", "extraction_id", "row_pos", "rule", "severity", "column"]
+OUT = ["project_id", "extraction_id", "row_pos", "rule", "severity", "column", "message"]
 
 
 # ------------------------------------------------------------------ row rules
-def _sql(rule: str, severity: str, checks: list[tuple[str, str]], cte: str = CODED, source: str = "coded") -> str:
-    """Violations of one rule from (column, condition) pairs."""
-    parts = [f"""SELECT project_id, extraction_id, row_pos, '{rule}' AS rule, '{severity}' AS severity, '{col}' AS "column" FROM {source} WHERE {cond}"""
-             for col, cond in checks]
+def _sql(rule: str, severity: str, checks: list[tuple[str, str, str]], cte: str = CODED, source: str = "coded") -> str:
+    """Violations of one rule from (column, condition, message expression) triples."""
+    parts = [f"""SELECT project_id, extraction_id, row_pos, '{rule}' AS rule, '{severity}' AS severity, '{col}' AS "column", {said} AS message FROM {source} WHERE {cond}"""
+             for col, cond, said in checks]
     return f"WITH {cte} " + " UNION ALL ".join(parts)
 
 
+def _say(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 _SURNAME = "CASE l WHEN 'Ana Lopez' THEN 'lopez' WHEN 'Luis Ruiz; Eva Diaz' THEN 'ruiz' ELSE 'singh' END".replace("l WHEN", "author WHEN", 1)
 _FORM = "CASE WHEN contains(cita, 'et al.') THEN 3 WHEN contains(cita, ' y ') THEN 2 ELSE 1 END"
 _AUTHORS = "CASE author WHEN 'Ana Lopez' THEN 1 WHEN 'Luis Ruiz; Eva Diaz' THEN 2 ELSE 3 END"
@@ -40,36 +44,50 @@ _ALLOWED = "(beta IS NOT NULL AND abs(beta) <= 0.5 AND technique = 'Regresión'
 _COEF = "coalesce(r, beta)"
 _DATES = "list_filter([start_date, end_date], lambda x: x <> 'No indica')"
 
+_NAME = "CASE author WHEN 'Ana Lopez' THEN 'Lopez' WHEN 'Luis Ruiz; Eva Diaz' THEN 'Ruiz' ELSE 'Singh' END"
+_EXPECTED = "CASE WHEN cond = 6 THEN 'Principal' WHEN cond IN (5, 7, 8, 9, 10) THEN 'Sensibilidad' ELSE 'Narrativo' END"
+_R_COL, _BETA_COL, _REL_P, _REL_H = "Correlación Feli 1 - JP", "Beta Fel 1- JP", "Fiabilidad Alfa - Omega (desempeño)", "Fiabilidad Alfa - Omega (felicidad)"
+_LACKS = {k: _say(f"'{k}' es null sin código en estado_del_dato") for k in (_REL_P, _REL_H, "Muestra", _R_COL, _BETA_COL)}
 ROW_SQL = {
-    "V03": _sql("V03", "E", [("Cita", f"NOT {_VALID}"), ("Cita", f"{_VALID} AND lower(regexp_extract(cita, '^([^ ]+)', 1)) <> {_SURNAME}"),
-                             ("Cita", f"{_VALID} AND TRY_CAST(regexp_extract(cita, '\\((\\d{{4}})', 1) AS INT) <> anio"),
-                             ("Cita", f"{_VALID} AND {_FORM} <> {_AUTHORS}")]),
-    "V06": _sql("V06", "E", [("Fiabilidad Alfa - Omega (desempeño)", "rel_p IS NULL AND st_rel_p IS NULL"),
-                             ("Fiabilidad Alfa - Omega (felicidad)", "rel_h IS NULL AND st_rel_h IS NULL"),
-                             ("Muestra", "muestra IS NULL AND st_muestra IS NULL"), ("Correlación Feli 1 - JP", "r IS NULL AND st_r IS NULL"),
-                             ("Beta Fel 1- JP", "beta IS NULL"), ("Covidence #", "covidence IS NULL AND via = 'Covidence'")]),
-    "V09": _sql("V09", "E", [("Muestra", "muestra IS NULL AND include <> 'No'")]),
-    "V10": _sql("V10", "E", [(c, f"{a} IS NOT NULL AND len(list_filter({_NUMBERS}, lambda x: abs(abs({a}) - x) < 0.0005)) = 0")
-                             for c, a in (("Correlación Feli 1 - JP", "r"), ("Beta Fel 1- JP", "beta"))]),
-    "V11": _sql("V11", "E", [("Fiabilidad Alfa - Omega (desempeño)", "items = 1 AND NOT (rel_p IS NULL AND st_rel_p IS NOT DISTINCT FROM 'No aplica')"),
-                             ("Fiabilidad Alfa - Omega (felicidad)", "items1 = 1 AND NOT (rel_h IS NULL AND st_rel_h IS NOT DISTINCT FROM 'No aplica')")]),
-    "V12": _sql("V12", "E", [("Incluir en meta análisi", "include <> cat"),
-                             ("Incluir en meta análisi", "include = cat AND NOT starts_with(motive, 'Condición ' || cond || ':')")], _TREE_CTE, "chosen"),
-    "V14": _sql("V14", "E", [("Beta Fel 1- JP", f"r_imputed IS NOT NULL AND NOT {_ALLOWED}"),
-                             ("Beta Fel 1- JP", f"r_imputed IS NOT NULL AND {_ALLOWED} AND abs(r_imputed - (0.98 * beta + CASE WHEN beta >= 0 THEN 0.05 ELSE 0 END)) > 0.001")]),
-    "V15": _sql("V15", "A", [("Correlación Feli 1 - JP", f"{_COEF} < 0 AND contains(direction, 'HP')"),
-                             ("Correlación Feli 1 - JP", f"{_COEF} > 0 AND contains(direction, 'Relación negativa')")]),
-    "V16": _sql("V16", "A", [("Validez?", "(valid = 'Si') = (scales = 'No indica')")]),
-    "V17": _sql("V17", "A", [("CFA", "(valid_cfa = 'Si' OR cfa = 'Si') AND NOT regexp_matches(scales, '(?i)AFC|CFA|confirmator')")]),
-    "V18": _sql("V18", "A", [("Start date", f"len({_DATES}) = 2 AND start_date > end_date"),
-                             ("Start date", f"len(list_filter({_DATES}, lambda x: CAST(substr(x, 1, 4) AS INT) > anio)) > 0")]),
-    "V19": _sql("V19", "A", [("Fiabilidad Alfa - Omega (desempeño)", "rel_p < 0.7"), ("Fiabilidad Alfa - Omega (felicidad)", "rel_h < 0.7")]),
-    "V21": _sql("V21", "A", [("Conclusion", "design = 'Cross sectional study' AND regexp_matches(conclusion, '(?i)\\bcaus|provoca|efecto causal') AND NOT warned")]),
-    "V26": _sql("V26", "A", [("Beta Fel 1- JP", "abs(beta) > 1")]),
-    "V27": _sql("V27", "E", [("conjunto_sugerido", "chosen_set <> CASE WHEN cond = 6 THEN 'Principal' WHEN cond IN (5, 7, 8, 9, 10) THEN 'Sensibilidad' ELSE 'Narrativo' END")],
+    "V03": _sql("V03", "E", [("Cita", f"NOT {_VALID}", "'Cita con formato inválido: ' || cita"),
+                             ("Cita", f"{_VALID} AND lower(regexp_extract(cita, '^([^ ]+)', 1)) <> {_SURNAME}",
+                              f"'Cita ''' || cita || ''' no empieza con el apellido del primer autor ''' || {_NAME} || ''''"),
+                             ("Cita", f"{_VALID} AND TRY_CAST(regexp_extract(cita, '\\((\\d{{4}})', 1) AS INT) <> anio", "'Año de la Cita distinto de Año'"),
+                             ("Cita", f"{_VALID} AND {_FORM} <> {_AUTHORS}", f"'Cita no sigue la regla del número de autores (' || {_AUTHORS} || ' autores)'")]),
+    "V06": _sql("V06", "E", [(_REL_P, "rel_p IS NULL AND st_rel_p IS NULL", _LACKS[_REL_P]), (_REL_H, "rel_h IS NULL AND st_rel_h IS NULL", _LACKS[_REL_H]),
+                             ("Muestra", "muestra IS NULL AND st_muestra IS NULL", _LACKS["Muestra"]), (_R_COL, "r IS NULL AND st_r IS NULL", _LACKS[_R_COL]),
+                             (_BETA_COL, "beta IS NULL", _LACKS[_BETA_COL]),
+                             ("Covidence #", "covidence IS NULL AND via = 'Covidence'", "'Covidence # vacío pero via_de_identificacion = Covidence'")]),
+    "V09": _sql("V09", "E", [("Muestra", "muestra IS NULL AND include <> 'No'", "'Muestra null exige Incluir = No'")]),
+    "V10": _sql("V10", "E", [(c, f"{a} IS NOT NULL AND len(list_filter({_NUMBERS}, lambda x: abs(abs({a}) - x) < 0.0005)) = 0",
+                              f"'{c} = ' || CAST({a} AS VARCHAR) || ' no aparece en la transcripción'") for c, a in ((_R_COL, "r"), (_BETA_COL, "beta"))]),
+    "V11": _sql("V11", "E", [(_REL_P, "items = 1 AND NOT (rel_p IS NULL AND st_rel_p IS NOT DISTINCT FROM 'No aplica')",
+                              "'Desempeño de un ítem: la fiabilidad debe ser null con estado No aplica'"),
+                             (_REL_H, "items1 = 1 AND NOT (rel_h IS NULL AND st_rel_h IS NOT DISTINCT FROM 'No aplica')",
+                              "'Felicidad de un ítem: la fiabilidad debe ser null con estado No aplica'")]),
+    "V12": _sql("V12", "E", [("Incluir en meta análisi", "include <> cat", "'Incluir = ' || include || ' pero el árbol da ' || cat || ' (condición ' || cond || ')'"),
+                             ("Incluir en meta análisi", "include = cat AND NOT starts_with(motive, 'Condición ' || cond || ':')",
+                              "'motivo_decision_inclusion debe empezar con ''Condición ' || cond || ':'''")], _TREE_CTE, "chosen"),
+    "V14": _sql("V14", "E", [(_BETA_COL, f"r_imputed IS NOT NULL AND NOT {_ALLOWED}", "'r_imputado_desde_beta no permitido para este beta'"),
+                             (_BETA_COL, f"r_imputed IS NOT NULL AND {_ALLOWED} AND abs(r_imputed - (0.98 * beta + CASE WHEN beta >= 0 THEN 0.05 ELSE 0 END)) > 0.001",
+                              "'r_imputado_desde_beta no coincide con Peterson y Brown'")]),
+    "V15": _sql("V15", "A", [(_R_COL, f"{_COEF} < 0 AND contains(direction, 'HP')", "'Coeficiente negativo con HP'"),
+                             (_R_COL, f"{_COEF} > 0 AND contains(direction, 'Relación negativa')", "'Coeficiente positivo con Relación negativa'")]),
+    "V16": _sql("V16", "A", [("Validez?", "(valid = 'Si') = (scales = 'No indica')", "'Validez? y Validez de las escalas no son coherentes'")]),
+    "V17": _sql("V17", "A", [("CFA", "(valid_cfa = 'Si' OR cfa = 'Si') AND NOT regexp_matches(scales, '(?i)AFC|CFA|confirmator')",
+                              "'CFA = Si pero Validez de las escalas no menciona AFC'")]),
+    "V18": _sql("V18", "A", [("Start date", f"len({_DATES}) = 2 AND start_date > end_date", "'Start date posterior a End date'"),
+                             ("Start date", f"len(list_filter({_DATES}, lambda x: CAST(substr(x, 1, 4) AS INT) > anio)) > 0",
+                              "'Fecha de recolección posterior al año de publicación'")]),
+    "V19": _sql("V19", "A", [(c, f"{a} < 0.7", f"'{c} = ' || CAST({a} AS VARCHAR) || ' menor a 0.70: confirmar'") for c, a in ((_REL_P, "rel_p"), (_REL_H, "rel_h"))]),
+    "V21": _sql("V21", "A", [("Conclusion", "design = 'Cross sectional study' AND regexp_matches(conclusion, '(?i)\\bcaus|provoca|efecto causal') AND NOT warned",
+                              "'Diseño transversal con lenguaje causal en Conclusion; anotarlo en advertencias_pendientes'")]),
+    "V26": _sql("V26", "A", [(_BETA_COL, "abs(beta) > 1", "'|Beta| > 1: confirmar que es estandarizado'")]),
+    "V27": _sql("V27", "E", [("conjunto_sugerido", f"chosen_set <> {_EXPECTED}", f"'conjunto_sugerido = ' || chosen_set || ', esperado ' || {_EXPECTED}")],
                 _TREE_CTE, "chosen"),
-    "V28": _sql("V28", "A", [("Correlación Feli 1 - JP", "effect = 'simple' AND abs(r - beta) > 0.05")]),
-    "V29": _sql("V29", "E", [("Correlación Feli 1 - JP", "r_derived IS NOT NULL AND technique IN ('CB-SEM latente', 'PLS') AND method IS DISTINCT FROM 'Pearson observado'")]),
+    "V28": _sql("V28", "A", [(_R_COL, "effect = 'simple' AND abs(r - beta) > 0.05", "'Efecto simple con r = ' || CAST(r AS VARCHAR) || ' y Beta = ' || CAST(beta AS VARCHAR) || ': revisar'")]),
+    "V29": _sql("V29", "E", [(_R_COL, "r_derived IS NOT NULL AND technique IN ('CB-SEM latente', 'PLS') AND method IS DISTINCT FROM 'Pearson observado'",
+                              "'r_derivado no puede provenir de un beta latente'")]),
 }
 
 
@@ -92,7 +110,7 @@ def row_rules_all(t: Tables) -> DataFrame:
 @query("rule_v01", f"""WITH {CODED}, n AS (SELECT *, row_number() OVER (PARTITION BY project_id, extraction_id, estudio ORDER BY row_pos) AS k FROM coded)
 SELECT project_id, extraction_id, row_pos, 'V01' AS rule, 'E' AS severity, 'Estudio' AS "column", 'Estudio ' || estudio || ' repetido' AS message FROM n WHERE k > 1""")
 def rule_v01(t: Tables) -> DataFrame:
-    return rules.v01_repeated_study(coded(t)).select(*OUT, "message")
+    return rules.v01_repeated_study(coded(t)).select(*OUT)
 
 
 _DOC_LEVEL = {"Pais": "country", "Año": "CAST(anio AS STRING)", "Author": "author", "Study design": "design"}
@@ -108,7 +126,7 @@ def rule_v02(t: Tables) -> DataFrame:
 @query("rule_v13", f"""WITH {CODED}, bad AS (
   SELECT *, 'Muestra' AS c FROM coded WHERE muestra IS NOT NULL AND NOT ev_muestra UNION ALL
   SELECT *, 'Correlación Feli 1 - JP' FROM coded WHERE r IS NOT NULL AND NOT ev_r UNION ALL SELECT *, 'Nivel' FROM coded)
-SELECT project_id, extraction_id, row_pos, 'V13' AS rule, 'E' AS severity, c AS "column" FROM bad""")
+SELECT project_id, extraction_id, row_pos, 'V13' AS rule, 'E' AS severity, c AS "column", '''' || c || ''' tiene valor sin evidencia' AS message FROM bad""")
 def rule_v13(t: Tables) -> DataFrame:
     return rules.v13_evidence(coded(t), rules.codebook_meta(codebook_columns(t))).select(*OUT)
 
@@ -117,12 +135,12 @@ _SAMPLE = {"Pais": "country", "Población": "population", "Study design": "desig
 
 
 @query("rule_v20", f"""WITH {CODED}, v AS ({" UNION ALL ".join(f"SELECT project_id, extraction_id, sample, '{k}' AS c, {e} AS v FROM coded" for k, e in _SAMPLE.items())})
-SELECT project_id, extraction_id, sample, c AS "column" FROM v GROUP BY ALL HAVING count(DISTINCT v) > 1""")
+SELECT project_id, extraction_id, sample, c AS "column", 'Muestra ' || sample || ': ''' || c || ''' cambia entre filas' AS message FROM v GROUP BY ALL HAVING count(DISTINCT v) > 1""")
 def rule_v20(t: Tables) -> DataFrame:
-    return rules.v20_sample_constant(coded(t)).select("project_id", "extraction_id", "sample", "column")
+    return rules.v20_sample_constant(coded(t)).select("project_id", "extraction_id", "sample", "column", "message")
 
 
-@query("rule_v22", f"""WITH {CODED} SELECT project_id, extraction_id, row_pos, 'V22' AS rule, 'A' AS severity, 'Conclusion' AS "column" FROM coded
+@query("rule_v22", f"""WITH {CODED} SELECT project_id, extraction_id, row_pos, 'V22' AS rule, 'A' AS severity, 'Conclusion' AS "column", 'Posible nota de trabajo en ''Conclusion''' AS message FROM coded
 WHERE regexp_matches(conclusion, '(?i)revisar|preguntar|no es claro|pendiente|\\?\\?')""")
 def rule_v22(t: Tables) -> DataFrame:
     return rules.v22_working_notes(coded(t)).select(*OUT)
@@ -151,7 +169,7 @@ def rule_v23_words(t: Tables) -> DataFrame:
     return rules.v23_long_quotes(rows).groupBy("extraction_id", "row_pos", "rule", "severity", "column").agg(F.count("*").alias("n"))
 
 
-@query("rule_v25", f"""WITH {CODED} SELECT project_id, extraction_id, row_pos, 'V25' AS rule, 'A' AS severity, 'Tipo de felicidad real' AS "column" FROM coded
+@query("rule_v25", f"""WITH {CODED} SELECT project_id, extraction_id, row_pos, 'V25' AS rule, 'A' AS severity, 'Tipo de felicidad real' AS "column", 'Tipo ' || happiness || ' corresponde a Hedónica, no a ' || family AS message FROM coded
 WHERE (happiness IN ('Satisfacción laboral', 'Bienestar') AND family <> 'Hedónica')""")
 def rule_v25(t: Tables) -> DataFrame:
     rows = coded(t)

@@ -4,10 +4,12 @@ import random
 
 from pyspark.sql import functions as F
 
-from quoteloom.functions.typed import cells_equal, variant_cell
-from quoteloom.operators import compare, export, library, matrix, review, rules
+from quoteloom.functions.typed import cell_text, cells_equal, int_cell, variant_cell
+from quoteloom.operators import compare, export, library, matrix, reconcile, review, rules
 from quoteloom.operators.ordering import carry_last, running_sum
+from quoteloom.schemas import EVIDENCE, TRACE
 from quoteloom.sources.coded import coded_rows
+from quoteloom.sources.sheets import typed_text
 from quoteloom.streaming import stateful
 from quoteloom.streaming.run import drain
 from quoteloom.session import shared_folder
@@ -86,14 +88,10 @@ def test_slots_equal_a_sequential_pass(spark):
     rows = [(p, s, rng.choice([None, s + 2, rng.randrange(2, 30)])) for p in ("A", "B") for s in range(1, 25)] + [("C", s, s + 1) for s in range(1, 20)]
     got = {(r.project_id, r.study): r.sheet_row for r in export.place_inherited(spark.createDataFrame(rows, "project_id string, study long, origin_row int")).collect()}
     for p in "ABC":
-        taken, free = set(), 2
-        for _, s, o in sorted((r for r in rows if r[0] == p), key=lambda r: r[1]):
-            if o is None or o in taken:
-                while free in taken:
-                    free += 1
-                o = free
-            taken.add(o)
-            assert got[p, s] == o
+        used: list[int] = []
+        for _, study, origin in sorted((r for r in rows if r[0] == p), key=lambda r: r[1]):
+            used.append(origin if origin and origin not in used else min(set(range(2, 100)) - set(used)))
+            assert got[p, study] == used[-1]
 
 
 def test_lifecycle_stream_equals_batch(spark):
@@ -116,7 +114,8 @@ def test_coded_rows_and_double_coding(spark):
     ca, cb = coded_rows(spark.createDataFrame([("P", "E", "D", a)], ddl)), coded_rows(spark.createDataFrame([("P", "E", "D", b)], ddl), tolerant=True)
     diffs = compare.compare_codings(ca, cb).filter("not equal").collect()
     assert {(r.row_pos, r.field, r.a, r.b) for r in diffs} == {(None, "número de filas", "2", "1"), (0, "tipo_de_efecto", '"simple"', '"parcial"')}
-    assert compare.agreement(compare.compare_codings(ca, cb)).first().agreement == round(20 / 22, 3)
+    assert compare.agreement(compare.compare_codings(ca, cb)).first() == compare.agreement_of(ca, cb).first()
+    assert compare.agreement_of(ca, cb).first().agreement == round(20 / 22, 3)
 
 
 def test_vocabulary(spark):
@@ -129,3 +128,33 @@ def test_upsert_keeps_the_last_of_a_batch(spark):
     old = spark.createDataFrame([("P", 1, "old"), ("P", 2, "old")], "project_id string, study int, v string")
     new = spark.createDataFrame([("P", 2, "n1", 1), ("P", 2, "n2", 2), ("P", 3, "n3", 3)], "project_id string, study int, v string, o int")
     assert {(r.study, r.v) for r in matrix.upsert(old, new, ["project_id", "study"], "o").collect()} == {(1, "old"), (2, "n2"), (3, "n3")}
+
+
+def _coded(spark, rows):
+    """Rows of (study as JSON, sample, country) with document 7 or 7.0."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_pos int, study string, document string, sample string, country string")
+    cell = lambda c: variant_cell(F.parse_json(c)).cast(CELL)
+    fila = F.create_map(F.lit("Estudio"), cell("study"), F.lit("Documento"), cell("document"), F.lit("Pais"), cell("country"))
+    return df.select(F.lit("P").alias("project_id"), F.lit("E").alias("extraction_id"), F.lit("D").alias("doc_id"), "row_pos", fila.alias("fila"), F.struct(F.col("sample").alias("id_muestra")).alias("traz"))
+
+
+def test_group_rules_compare_values(spark):
+    rows = _coded(spark, [("1", "7", "s", "3"), ("1.0", "7.0", "s", "3.0"), ("12345678901234567", "8", "t", '"a"'), ("12345678901234568", "8", "t", '"b"')])
+    assert [(r.row_pos, r.message) for r in rules.v01_repeated_study(rows).collect()] == [(1, "Estudio 1.0 repetido")]
+    assert [r.sample for r in rules.v20_sample_constant(rows).collect()] == ["t"]
+    meta = spark.createDataFrame([("P", ["Pais"])], "project_id string, document_level array<string>")
+    assert {r.document for r in rules.v02_document_constant(rows, meta).collect()} == {"7", "8"}
+
+
+def test_large_whole_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([("12345678901234567",), ("123456789012345678901234567890",), ("-00012345678901234567",), ("7",)], "t string")
+    assert [r.x for r in df.select(cell_text(typed_text("t")).alias("x")).collect()] == ["12345678901234567", "123456789012345678901234567890", "-12345678901234567", "7"]
+    assert df.select(cells_equal(int_cell(F.lit(9007199254740993)), int_cell(F.lit(9007199254740992))).alias("e")).first().e is False
+
+
+def test_the_finding_with_the_largest_number_decides(spark):
+    rows = spark.createDataFrame([("P", "E", 0, {"Muestra": ("int", 1.0, None)})], f"project_id string, extraction_id string, row_pos int, fila map<string,{CELL}>")
+    rows = rows.withColumn("traz", F.lit(None).cast(TRACE))
+    judged = spark.createDataFrame([("P", "E", f"A|{n}", 0, "Muestra", "changed", ("int", float(n), None)) for n in range(1, 13)],
+                                   f"project_id string, extraction_id string, finding_id string, row_pos int, column string, outcome string, value {CELL}").withColumn("evidence", F.lit(None).cast(EVIDENCE))
+    assert reconcile.apply_decisions(rows, judged).first().fila["Muestra"]["num"] == 12.0

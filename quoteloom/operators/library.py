@@ -9,6 +9,7 @@ from quoteloom.functions.text import as_col, blank, natural_key
 from quoteloom.vocab import ARTICLE_MOVES, ARTICLE_STATES, EXCLUDABLE, INTERMEDIATE, QUEUEABLE
 
 ARTICLE = ["project_id", "article_id"]
+SALTS = 8
 
 
 def fingerprint(content: Column | str) -> Column:
@@ -28,7 +29,10 @@ def mark_duplicates(files: DataFrame, catalogue: DataFrame | None = None) -> Dat
         firsts = firsts.join(before, key, "left")
     else:
         firsts = firsts.withColumn("_before", F.lit(None).cast("string"))
-    joined = files.join(firsts, key)
+    # copies of one file are dealt over SALTS tasks, each with its own copy of the small row they look up
+    salt = F.pmod(F.xxhash64("arrival", "file_name"), F.lit(SALTS)).cast("int")
+    salted = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = files.withColumn("_salt", salt).join(salted, [*key, "_salt"])
     own = F.col("_before").isNull() & (F.col("arrival") == F.col("_first.arrival")) & (F.col("file_name") == F.col("_first.file_name"))
     return joined.select(
         *files.columns, F.when(own, "loaded").otherwise("duplicate").alias("outcome"),

@@ -194,13 +194,18 @@ def reserve_studies(requests: DataFrame, starts: DataFrame) -> DataFrame:
     return numbered.join(starts, "project_id").withColumn("study", F.col("next_study") + F.col("_n") - 1).drop("_n", "next_study")
 
 
-def page_of_rows(rows: DataFrame, page: int = 1, size: int = 100, document: int | None = None) -> DataFrame:
-    """One page by study, with the total of the filter on every row."""
-    if page < 1 or not 1 <= size <= 500:
+def page_of_rows(rows: DataFrame, page: int = 1, size: int = 100, document: int | None = None, after: int | None = None, max_size: int | None = None) -> DataFrame:
+    """One page by study, with the total of the filter on every row.
+
+    With ``after``, the last study of the page before, the page is found by that key and no earlier row is kept; a page number
+    keeps all rows before it. ``max_size`` refuses larger pages.
+    """
+    if page < 1 or size < 1 or (max_size is not None and size > max_size):
         raise ValueError("page or size out of range")
     chosen = rows if document is None else rows.filter(F.col("document") == document)
     total = chosen.agg(F.count("*"))
-    return chosen.orderBy("study").offset((page - 1) * size).limit(size).withColumn("total", total.scalar())
+    ordered = chosen.orderBy("study").offset((page - 1) * size) if after is None else chosen.filter(F.col("study") > after).orderBy("study")
+    return ordered.limit(size).withColumn("total", total.scalar())
 
 
 def row_by_study(rows: DataFrame, project_id: str, study: int) -> DataFrame:

@@ -225,12 +225,17 @@ def page_of_rows(t: Tables) -> DataFrame:
 
 @query("cell_lookup", f"""WITH {CELLS} SELECT project_id, study, key, v FROM cells WHERE project_id = (SELECT project_id FROM m WHERE study = 4) AND study = 4 AND key = 'Fecha'""")
 def cell_lookup(t: Tables) -> DataFrame:
-    c = cells(t)
-    project = wide(t).filter("study = 4").select("project_id")
-    found = c.join(project, "project_id", "left_semi").filter("study = 4 and key = 'Fecha'")
+    project = wide(t).filter("study = 4").select("project_id").first()
+    found = matrix.cell_by_key(cells(t), project.project_id if project else "", 4, "Fecha")
     return found.select("project_id", "study", "key", cell_text(F.col("value")).alias("v"))
 
 
+@query("next_page_of_rows", f"""WITH {ORDERS} SELECT project_id, study, document, (SELECT count(*) FROM m) AS total FROM m WHERE study > 700 ORDER BY study LIMIT 600""")
+def next_page_of_rows(t: Tables) -> DataFrame:
+    """The page behind a study, found by key; longer than a screen."""
+    return matrix.page_of_rows(wide(t), size=600, after=700).select("project_id", "study", "document", "total")
+
+
 @query("outdated_rows", f"""WITH {ORDERS} SELECT project_id, study, study % 11 = 0 OR (origin = 'EXTRAIDA' AND study % 3 <> 1) AS outdated FROM m""")
 def outdated_rows(t: Tables) -> DataFrame:
     rows = wide(t).withColumns({"codebook_id": F.concat(F.lit("v"), (F.col("study") % 3).cast("string")), "outdated": F.col("study") % 11 == 0})

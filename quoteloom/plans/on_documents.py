@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.functions.canonical import response_objects
@@ -94,19 +94,43 @@ def image_pages(t: Tables) -> DataFrame:
     return docs.image_pages(blocks(t)).withColumn("pages", F.array_join("pages", ","))
 
 
-@query("rect_check")
+# a clip keeps the head of the plain text and loses its last characters to a sign that no text holds: of n characters k lost, the best
+# window is the head alone, which differs by k from n, so the score is 100 (1 - k / (2 n - k))
+_PLAIN = sql_norm(r"regexp_replace(text, '</?su[bp]>|\$[^$]*\$', ' ', 'g')")
+_SCORE = "round_even(100.0 * (1.0 - {k} / (2.0 * n - {k})), 1)"
+_RECTS = f"""cut AS (SELECT lang AS project_id, doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents),
+parts AS (SELECT *, unnest(range(0, (len(ws) + 29) // 30)) AS pos FROM cut), texts AS (SELECT project_id, doc_id, pos, array_to_string(ws[pos * 30 + 1 : pos * 30 + 30], ' ') AS text FROM parts),
+plain AS (SELECT *, {_PLAIN} AS p FROM texts WHERE pos % 7 <> 3), sized AS (SELECT *, length(p) AS n, length(p) // (6 + pos % 5) AS k1, length(p) // 2 AS k2 FROM plain),
+checked AS (SELECT project_id, CAST(doc_id AS VARCHAR) AS doc_id, 'b' || pos AS block_id, 'parrafo' AS type, CASE WHEN n > 0 THEN {_SCORE.format(k="k1")} END AS similarity,
+  CASE WHEN n = 0 THEN 'SIN_TEXTO' WHEN 100.0 * (1.0 - k1 / (2.0 * n - k1)) >= 90.0 THEN 'OK' ELSE 'REVISAR' END AS state, CASE WHEN n > 0 THEN {_SCORE.format(k="k2")} END AS control_similarity FROM sized)"""
+
+
+def _checked(t: Tables) -> DataFrame:
+    """Whole documents as blocks of thirty words, one in seven of them a table."""
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    parts = t.documents.select(F.col("lang").alias("project_id"), F.col("doc_id").cast("string").alias("doc_id"), words.alias("ws")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 30).cast("int"))).alias("pos"))
+    b = parts.select("project_id", "doc_id", F.concat(F.lit("b"), F.col("pos").cast("string")).alias("block_id"), F.when(F.col("pos") % 7 == 3, "tabla").otherwise("parrafo").alias("type"),
+                     F.array_join(F.slice("ws", F.col("pos") * 30 + 1, F.lit(30)), " ").alias("text"), "pos")
+    plain = norm(F.regexp_replace("text", r"</?su[bp]>|\$[^$]*\$", " "))
+
+    def clip(lost: Column) -> Column:
+        return F.concat(F.substr(plain, F.lit(1), F.char_length(plain) - lost), F.repeat(F.lit("¬"), lost))
+
+    n = F.char_length(plain)
+    return docs.rect_check(b, b.select("project_id", "doc_id", "block_id", clip(F.floor(n / (6 + F.col("pos") % 5)).cast("int")).alias("clip"), clip(F.floor(n / 2).cast("int")).alias("shifted")))
+
+
+@query("rect_check", f"WITH {_RECTS} SELECT * FROM checked")
 def rect_check(t: Tables) -> DataFrame:
-    """Blocks against clips of their own page: the next line stands for the shifted control."""
-    b = blocks(t)
-    clips = b.select("project_id", "doc_id", "block_id", F.replace("text", F.lit("e"), F.lit("é")).alias("clip"), F.reverse("text").alias("shifted"))
-    return docs.rect_check(b, clips)
+    """Blocks against clips of known similarity."""
+    return _checked(t)
 
 
-@query("rect_check_counts")
+@query("rect_check_counts", f"""WITH {_RECTS} SELECT project_id, doc_id, count(*) FILTER (state = 'OK') AS "OK", count(*) FILTER (state = 'REVISAR') AS "REVISAR",
+  count(*) FILTER (state = 'SIN_TEXTO') AS "SIN_TEXTO" FROM checked GROUP BY ALL""")
 def rect_check_counts(t: Tables) -> DataFrame:
-    b = blocks(t)
-    clips = b.select("project_id", "doc_id", "block_id", F.col("text").alias("clip"), F.lit("").alias("shifted"))
-    return docs.rect_check_counts(docs.rect_check(b, clips))
+    return docs.rect_check_counts(_checked(t))
 
 
 # ------------------------------------------------------------------ text

@@ -47,19 +47,22 @@ def linear(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
 def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables of jumps of 1, 2, 4, … replies up, and per node its depth and the sum of scores from the root.
 
-    Each table is the one before joined to itself, so a path of n replies takes log2(n) joins, keyed by message.
+    Each table is the one before joined to itself, so a path of n replies takes log2(n) joins, keyed by message. A message
+    that has reached its root is looked up by others but takes no further part.
     """
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_is"))
-    level = cut_lineage(nodes.join(known, ["tree", "parent"], "left").select(
+    first = cut_lineage(nodes.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("_is"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")))
-    tables, rows = [], level.count()
-    while (1 << len(tables)) <= max(rows, 1) and level.filter("up is not null").limit(1).count():
-        tables.append(level)
-        next_ = level.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("total").alias("_t"))
-        level = cut_lineage(level.join(next_, ["tree", "up"], "left").select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total")))
-    # what still has replies above after that many doublings hangs on a cycle and has no root
-    return tables, level.filter("up is null").select("tree", "node", "depth", "total")
+    done, open_ = first.filter("up is null"), first.filter("up is not null")
+    tables, rows = [], first.count()
+    # what is still open after that many doublings hangs on a cycle and has no root
+    while (1 << len(tables)) <= rows and open_.limit(1).count():
+        tables.append(open_.select("tree", "node", "up"))
+        state = open_.union(done).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("total").alias("_t"))
+        level = cut_lineage(open_.join(state, ["tree", "up"]).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("total") + F.col("_t")).alias("total")))
+        done, open_ = done.union(level.filter("up is null")), level.filter("up is not null")
+    return tables, done.select("tree", "node", "depth", "total")
 
 
 def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
@@ -75,11 +78,11 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     leaves = depths.join(answered, ["tree", "node"], "left_anti").withColumn("branch_score", F.col("total") / F.col("depth"))
     order = Window.partitionBy("tree").orderBy(F.desc("branch_score"), F.desc("depth"), "node")
     best = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep).select("tree", F.col("node").alias("leaf"), "rank", "branch_score")
-    path = best.withColumn("node", F.col("leaf"))
-    for table in tables:
-        up = table.filter("up is not null").select("tree", "node", "up")
-        # each round reads the path twice, so it is a table
-        path = cut_lineage(path.union(path.join(up, ["tree", "node"]).select("tree", "leaf", "rank", "branch_score", F.col("up").alias("node"))))
+    path = cut_lineage(best.withColumn("node", F.col("leaf")))
+    for up in tables:
+        # each round doubles the known end of every path; only what it adds is written
+        added = path.join(up, ["tree", "node"]).select("tree", "leaf", "rank", "branch_score", F.col("up").alias("node"))
+        path = path.union(cut_lineage(added))
     return path.join(depths.select("tree", "node", "depth"), ["tree", "node"]).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
 
 

@@ -15,6 +15,7 @@ from quoteloom.plans.registry import Tables
 from quoteloom.schemas import EVIDENCE as EVIDENCE_TYPE
 from quoteloom.schemas import TRACE_FIELDS
 from quoteloom.session import cut_lineage
+from quoteloom.vocab import FUZZY_THRESHOLD
 
 # kinds given to the lines of a document by their place, to exercise every kind of item
 ITEM_KINDS = ["text", "text", "text", "list", "table", "image", "chart", "equation", "interline_equation", "page_footnote",
@@ -110,11 +111,12 @@ BLOCKS = f"""{ITEMS}, numbered AS (
 
 # ------------------------------------------------------------------ evidence: one quote per block
 def evidence(t: Tables, blks: DataFrame) -> DataFrame:
-    """A quote from each block: as it is, cited in the next block of the page, with letters lost, or reversed."""
+    """A quote from each block: as it is, cited in the next block of the page, with its end lost to a sign no text holds, or all of that sign."""
     words = words_of("text_norm")
     cut = F.when(F.size(words) >= 6, F.array_join(F.slice(words, 3, 6), " ")).otherwise(F.col("text_norm"))
-    way = F.col("pos") % 4
-    quote = F.when(way == 2, F.replace(cut, F.lit("e"), F.lit(""))).when(way == 3, F.reverse(cut)).otherwise(cut)
+    way, n = F.col("pos") % 4, F.char_length(cut)
+    lost = F.least(n, F.floor(n / (5 + F.col("pos") % 24)).cast("int") + 1)
+    quote = F.when(way == 2, F.concat(F.substr(cut, F.lit(1), n - lost), F.repeat(F.lit("¬"), lost))).when(way == 3, F.repeat(F.lit("¬"), n)).otherwise(cut)
     cited = (
         F.when(way == 1, F.format_string("p%02d-b%02d", F.col("page"), F.col("ord") % 4 + 1))
         .when(way == 3, "p99-b99").otherwise(F.col("block_id"))
@@ -131,7 +133,7 @@ EVIDENCE = f"""{BLOCKS}, cuts AS (
   FROM blocks
 ), evidence AS (
   SELECT project_id, doc_id, pos AS row_pos, page, is_image AS figure,
-    {sql_norm("CASE pos % 4 WHEN 2 THEN replace(cut, 'e', '') WHEN 3 THEN reverse(cut) ELSE cut END")} AS q,
+    {sql_norm("CASE pos % 4 WHEN 2 THEN left(cut, length(cut) - least(length(cut), length(cut) // (5 + pos % 24) + 1)) || repeat('¬', least(length(cut), length(cut) // (5 + pos % 24) + 1)) WHEN 3 THEN repeat('¬', length(cut)) ELSE cut END")} AS q,
     CASE pos % 4 WHEN 1 THEN printf('p%02d-b%02d', page, ord % 4 + 1) WHEN 3 THEN 'p99-b99' ELSE block_id END AS cited
   FROM cuts
 ), variants AS (
@@ -156,6 +158,33 @@ EVIDENCE = f"""{BLOCKS}, cuts AS (
 )"""
 
 
+# a quote of n characters whose first h are some text's and whose others are no text's: h characters agree at best. Where the
+# text is longer, a window inside it is as long as the quote, and one at an end of it reaches from there to the h; where it is not
+# longer, the h alone are one
+ANCHORED = f"""{EVIDENCE}, heads AS (
+  SELECT *, length(q) AS n, length(replace(q, '¬', '')) AS h FROM literal WHERE level IS NULL AND q <> ''
+), scored AS (
+  SELECT project_id, doc_id, row_pos, q, block_id, pos, page AS at_page, 100.0 * (1.0 - (total - 2.0 * h) / total) AS score FROM (
+    SELECT e.project_id, e.doc_id, e.row_pos, e.q, e.h, v.block_id, v.pos, v.page,
+      CASE WHEN length(v.t) < n THEN length(v.t) + h WHEN length(v.t) = n THEN n + h
+        ELSE n + h + least(n - h, strpos(v.t, left(e.q, h)) - 1, strpos(reverse(v.t), reverse(left(e.q, h))) - 1) END AS total
+    FROM heads e JOIN pages_of p ON p.project_id = e.project_id AND p.doc_id = e.doc_id AND p.row_pos = e.row_pos
+    JOIN variants v ON v.project_id = e.project_id AND v.doc_id = e.doc_id AND v.page BETWEEN p.page - 1 AND p.page + 1 AND contains(v.t, left(e.q, h)) WHERE h > 0)
+), best AS (
+  SELECT project_id, doc_id, row_pos, arg_max(block_id, (score, -pos)) AS block_id, arg_max(at_page, (score, -pos)) AS page, max(score) AS score FROM scored GROUP BY ALL
+), anchored AS (
+  SELECT l.project_id, l.doc_id, l.row_pos, l.q, l.figure, CASE WHEN l.level IS NOT NULL THEN l.level WHEN b.score >= {FUZZY_THRESHOLD} OR (l.figure AND c.is_image) THEN 'POR_CONFIRMAR' ELSE 'NO_VERIFICABLE' END AS level,
+    CASE WHEN l.level IS NOT NULL THEN 100.0 ELSE round_even(coalesce(b.score, 0.0), 1) END AS similarity,
+    CASE WHEN l.level IS NOT NULL THEN l.block_id WHEN b.score >= {FUZZY_THRESHOLD} THEN b.block_id ELSE coalesce(c.block_id, b.block_id) END AS block_id,
+    CASE WHEN l.level IS NOT NULL THEN l.page WHEN b.score >= {FUZZY_THRESHOLD} THEN b.page ELSE coalesce(c.page, b.page) END AS page,
+    CASE WHEN l.level = 'VERIFICADA' THEN '' WHEN l.level IS NOT NULL THEN 'la cita está en ' || l.block_id || ', no en ' || l.cited WHEN b.score >= {FUZZY_THRESHOLD} THEN 'coincidencia aproximada'
+      WHEN l.figure AND c.is_image THEN 'leído de figura: verificar a mano' ELSE '' END AS note
+  FROM literal l LEFT JOIN best b ON b.project_id = l.project_id AND b.doc_id = l.doc_id AND b.row_pos = l.row_pos
+  LEFT JOIN blocks c ON c.project_id = l.project_id AND c.doc_id = l.doc_id AND c.block_id = l.cited
+)"""
+ANCHORED = ANCHORED.replace(", heads AS (", ", pages_of AS (SELECT project_id, doc_id, row_pos, page FROM evidence), heads AS (", 1)
+
+
 # ------------------------------------------------------------------ coded rows from lineitem
 # alias: expression both engines read; the order is that of the select list, later ones may not use earlier ones
 _YEAR = "CAST(year(l_shipdate) AS STRING)"

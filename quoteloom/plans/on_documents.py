@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quoteloom.functions.canonical import response_objects
 from quoteloom.functions.text import join_lines, norm, numbers_in, unescape, word_count
 from quoteloom.operators import anchoring, documents as docs
-from quoteloom.plans.derived import BLOCKS, EVIDENCE, ITEMS, blocks, evidence, items, pages, shown_blocks, sql_norm, stored_blocks
+from quoteloom.plans.derived import ANCHORED, BLOCKS, EVIDENCE, ITEMS, blocks, evidence, items, pages, shown_blocks, sql_norm, stored_blocks
 from quoteloom.plans.registry import Tables, query
 from quoteloom.sources.converter import converter_items, converter_pages, rejected_outputs
 
@@ -263,7 +263,7 @@ def corrected_citations(t: Tables) -> DataFrame:
     return anchoring.anchor_literal(evidence(t, b), b).filter("level = 'VERIFICADA_CON_CORRECCION'").select("project_id", "doc_id", "row_pos", "note")
 
 
-@query("anchor_all_levels")
+@query("anchor_all_levels", f"WITH {ANCHORED} SELECT project_id, doc_id, row_pos, level, similarity, block_id, page, note FROM anchored")
 def anchor_all_levels(t: Tables) -> DataFrame:
     """The whole cascade, approximate steps included."""
     b = stored_blocks(t)
@@ -287,7 +287,8 @@ def anchor_table_cells(t: Tables) -> DataFrame:
     return a.select("project_id", "doc_id", "row_pos", F.when(F.col("note") == "", "sin cita").otherwise(F.col("note")).alias("note"))
 
 
-@query("fuzzy_near_page")
+@query("fuzzy_near_page", f"""WITH {ANCHORED}, x AS (SELECT s.*, p.page AS near_page FROM scored s JOIN pages_of p ON p.project_id = s.project_id AND p.doc_id = s.doc_id AND p.row_pos = s.row_pos)
+SELECT project_id, doc_id, q, near_page, arg_max(block_id, (score, -pos)) AS block_id, round(max(score), 4) AS score FROM x GROUP BY project_id, doc_id, q, near_page""")
 def fuzzy_near_page(t: Tables) -> DataFrame:
     """Best approximate place of every quote that stands nowhere in its document as written."""
     b = stored_blocks(t).withColumn("variants", docs.anchor_variants())
@@ -297,33 +298,32 @@ def fuzzy_near_page(t: Tables) -> DataFrame:
     return best.select("project_id", "doc_id", "q", "near_page", "best.block_id", F.round("best.score", 4).alias("score"))
 
 
-_LITERAL_COUNTS = f"""WITH {EVIDENCE}, levels AS (SELECT unnest(['VERIFICADA', 'VERIFICADA_CON_CORRECCION', 'POR_CONFIRMAR', 'NO_VERIFICABLE']) AS level)
-SELECT l.level, count(x.doc_id) AS n FROM levels l LEFT JOIN literal x ON x.level = l.level GROUP BY ALL"""
+_LEVEL_COUNTS = f"""WITH {ANCHORED}, levels AS (SELECT unnest(['VERIFICADA', 'VERIFICADA_CON_CORRECCION', 'POR_CONFIRMAR', 'NO_VERIFICABLE']) AS level)
+SELECT l.level, count(x.doc_id) AS n FROM levels l LEFT JOIN anchored x ON x.level = l.level GROUP BY ALL"""
 
 
-@query("level_totals", _LITERAL_COUNTS)
+@query("level_totals", _LEVEL_COUNTS)
 def level_totals(t: Tables) -> DataFrame:
     b = stored_blocks(t)
-    return anchoring.level_totals(anchoring.anchor_literal(evidence(t, b), b))
+    return anchoring.level_totals(anchoring.anchor(evidence(t, b), b))
 
 
-@query("level_summary", f"""WITH {EVIDENCE} SELECT project_id, doc_id, count(*) FILTER (level = 'VERIFICADA') AS "VERIFICADA",
-  count(*) FILTER (level = 'VERIFICADA_CON_CORRECCION') AS "VERIFICADA_CON_CORRECCION", 0::BIGINT AS "POR_CONFIRMAR", 0::BIGINT AS "NO_VERIFICABLE"
-FROM literal GROUP BY ALL""")
+@query("level_summary", f"""WITH {ANCHORED} SELECT project_id, doc_id, count(*) FILTER (level = 'VERIFICADA') AS "VERIFICADA",
+  count(*) FILTER (level = 'VERIFICADA_CON_CORRECCION') AS "VERIFICADA_CON_CORRECCION", count(*) FILTER (level = 'POR_CONFIRMAR') AS "POR_CONFIRMAR", count(*) FILTER (level = 'NO_VERIFICABLE') AS "NO_VERIFICABLE"
+FROM anchored GROUP BY ALL""")
 def level_summary(t: Tables) -> DataFrame:
     b = stored_blocks(t)
-    return anchoring.level_summary(anchoring.anchor_literal(evidence(t, b), b), ["project_id", "doc_id"])
+    return anchoring.level_summary(anchoring.anchor(evidence(t, b), b), ["project_id", "doc_id"])
 
 
-@query("worst_level", f"""WITH {EVIDENCE}, ranked AS (SELECT project_id, doc_id, row_pos // 4 AS cell,
-  max(CASE level WHEN 'VERIFICADA' THEN 1 WHEN 'VERIFICADA_CON_CORRECCION' THEN 2 ELSE 4 END) AS r FROM literal GROUP BY ALL)
-SELECT project_id, doc_id, cell, CASE r WHEN 1 THEN 'VERIFICADA' WHEN 2 THEN 'VERIFICADA_CON_CORRECCION' ELSE 'NO_VERIFICABLE' END AS level,
-  CASE WHEN r <= 2 THEN 'PENDIENTE' ELSE 'NO_VERIFICABLE' END AS review_state FROM ranked""")
+@query("worst_level", f"""WITH {ANCHORED}, ranked AS (SELECT project_id, doc_id, row_pos // 4 AS cell,
+  max(CASE level WHEN 'VERIFICADA' THEN 1 WHEN 'VERIFICADA_CON_CORRECCION' THEN 2 WHEN 'POR_CONFIRMAR' THEN 3 ELSE 4 END) AS r FROM anchored GROUP BY ALL)
+SELECT project_id, doc_id, cell, CASE r WHEN 1 THEN 'VERIFICADA' WHEN 2 THEN 'VERIFICADA_CON_CORRECCION' WHEN 3 THEN 'POR_CONFIRMAR' ELSE 'NO_VERIFICABLE' END AS level,
+  CASE WHEN r <= 2 THEN 'PENDIENTE' WHEN r = 3 THEN 'POR_CONFIRMAR' ELSE 'NO_VERIFICABLE' END AS review_state FROM ranked""")
 def worst_level(t: Tables) -> DataFrame:
-    """Cells of four evidences each; what no exact step finds counts as not verifiable here."""
+    """Cells of four evidences each."""
     b = stored_blocks(t)
-    a = anchoring.anchor_literal(evidence(t, b), b).withColumn("level", F.coalesce("level", F.lit("NO_VERIFICABLE")))
-    return anchoring.worst_level(a.withColumn("cell", F.floor(F.col("row_pos") / 4)), ["project_id", "doc_id", "cell"])
+    return anchoring.worst_level(anchoring.anchor(evidence(t, b), b).withColumn("cell", F.floor(F.col("row_pos") / 4)), ["project_id", "doc_id", "cell"])
 
 
 @query("attached_anchors", f"""WITH {EVIDENCE} SELECT project_id, doc_id, row_pos, CASE WHEN row_pos = max(row_pos) OVER (PARTITION BY project_id, doc_id) THEN level END AS level FROM literal""")
@@ -335,11 +335,11 @@ def attached_anchors(t: Tables) -> DataFrame:
     return out.select("project_id", "doc_id", "row_pos", F.col("anchor.level").alias("level"))
 
 
-@query("verified_rate", f"""WITH {EVIDENCE}, c AS (SELECT project_id, doc_id, count(*) AS quotes, count(*) FILTER (level IS NOT NULL) AS verified FROM literal WHERE NOT figure GROUP BY ALL)
+@query("verified_rate", f"""WITH {ANCHORED}, c AS (SELECT project_id, doc_id, count(*) AS quotes, count(*) FILTER (starts_with(level, 'VERIFICADA')) AS verified FROM anchored WHERE NOT figure GROUP BY ALL)
 SELECT project_id, doc_id, quotes, verified, round(verified / quotes, 6) AS rate, verified / quotes >= 0.95 AS accepted FROM c""")
 def verified_rate(t: Tables) -> DataFrame:
     b = stored_blocks(t)
-    out = anchoring.verified_rate(anchoring.anchor_literal(evidence(t, b), b), ["project_id", "doc_id"])
+    out = anchoring.verified_rate(anchoring.anchor(evidence(t, b), b), ["project_id", "doc_id"])
     return out.withColumn("rate", F.round("rate", 6))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quoteloom.operators import library, norms, usage
 from quoteloom.plans.on_matrix import _ACTS, actions, cells, columns
+from quoteloom.plans.derived import ANCHORED
 from quoteloom.plans.registry import Tables, query
 from quoteloom.session import shared_folder
 from quoteloom.sources import codebooks as codebook_files
@@ -535,7 +536,8 @@ def pending_events(t: Tables) -> DataFrame:
     return ev.pending_events(state).select("id")
 
 
-@query("unverifiable_feed")
+@query("unverifiable_feed", f"""WITH {ANCHORED} SELECT project_id, doc_id AS extraction_id, CAST(doc_id AS BIGINT) AS study, 'Muestra' AS "column", 0 AS ev_idx
+FROM anchored WHERE level = 'NO_VERIFICABLE'""")
 def unverifiable_feed(t: Tables) -> DataFrame:
     """Citations without a place, read from a stored stream of anchors."""
     from quoteloom.operators.anchoring import anchor

@@ -38,7 +38,6 @@ RAISE, LOWER, WINDOW = 0.25, 0.3, 48
 MIN_SCORE = 0.5
 
 # Possessive runs: each pattern passes once over a text whatever the text holds.
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")

@@ -108,16 +108,6 @@ class Sliced:
                     mask ^= low
                     yield at + low.bit_length() - 1
 
-    def first_near(self, query: int, radius: int, before: int) -> int | None:
-        """The first lane within the radius among the ``before`` first ones."""
-        for at, full, planes in self.runs:
-            if at >= before:
-                return None
-            mask = within(planes, full, query, radius) & ((1 << (before - at)) - 1)
-            if mask:
-                return at + (mask & -mask).bit_length() - 1
-        return None
-
 
 def _numbers(raw: np.ndarray) -> list[int]:
     width, data = raw.shape[1], raw.tobytes()
@@ -146,22 +136,6 @@ def group_links(raw: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def nearest_links(raw: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """For each position the first earlier one among its nearest, by radii that double up to ``radius``: at most one link each."""
-    n, prints = len(raw), _numbers(raw)
-    if n == 2:
-        return [(0, 1)] if (prints[0] ^ prints[1]).bit_count() <= radius else []
-    sliced, out = Sliced(raw), []
-    for x in range(1, n):
-        if sliced.first_near(prints[x], radius, x) is not None:
-            for r in (radius // 8, radius // 4, radius // 2, radius):
-                q = sliced.first_near(prints[x], r, x)
-                if q is not None:
-                    out.append((q, x))
-                    break
-    return out
-
-
 def bucket_keys(print_: Column, radius: int, spare: int = 2) -> Column:
     """Keys of a fingerprint: ``radius + spare`` pieces of bits, every choice of ``spare`` of them.
 
@@ -244,10 +218,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 # ------------------------------------------------------------------ by a similarity of shingle sets
-#: Wide fingerprints for the similarity of shingle sets: 256 bits, TABLES samples of SAMPLED bits as bucket keys. In a bucket
-#: the first 64 bits are compared, up to a distance that sets of a similarity of 0.8 hardly pass (mean 10 bits, deviation 3).
-WIDE, TABLES, SAMPLED, NEAR_RADIUS = 256, 72, 22, 20
-_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Shingles that stand in so many of about SAMPLE documents come last in the order of every set, so that prefixes rarely hold
+#: them. Any order gives the same links; the sample and the limit only decide how evenly the work is spread.
+SAMPLE, HOT_DOCS, HOT_LIMIT = 4096, 5, 1 << 16
 
 
 def _shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -255,68 +228,132 @@ def _shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def wide_print(shingles: np.ndarray) -> bytes:
-    """256 bits: bit i is 1 if it is set in over half of the set's hashes, each hash mixed anew for every 64 bits."""
-    total = np.zeros(WIDE, np.int64)
-    for at in range(0, len(shingles), _SHINGLES_AT_ONCE):
-        h = shingles[at: at + _SHINGLES_AT_ONCE, None] * np.array(_SEEDS, np.uint64)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        total += np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * total > len(shingles), bitorder="little").tobytes()
+def _hot_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of the shingles that many documents of a sample hold. ``docs``: id, text."""
+    one_in = max(1, docs.count() // SAMPLE)
+    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select("text")
+    sets = map_batches(sample, lambda texts: ([_shingle_set(t, shingle).view(np.int64) for t in texts],), "s array<long>")
+    counted = sets.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") >= HOT_DOCS)
+    return np.sort(np.array([r["s"] for r in counted.orderBy(F.desc("count"), "s").limit(HOT_LIMIT).collect()], np.int64).view(np.uint64))
+
 
+def prefix(shingles: np.ndarray, hot: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set by (hot, hash): of two sets that are similar enough, each has one of the other's among them."""
+    n = len(shingles)
+    held = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    if len(hot):
+        last = hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] == shingles
+        shingles = np.concatenate([shingles[~last], shingles[last]])
+    return shingles[:held]
 
-def _wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs``: id, text. Gives id, ``same`` (digest of the words, equal for equal word sequences) and ``print``."""
+
+def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``docs``: id, text. Gives id, ``same`` (digest of the words, equal for equal word sequences), ``size`` of the set and its ``prefix``."""
+    hot = _hot_shingles(docs, shingle)
 
     def run(ids, texts):
-        same, prints = [], []
+        same, sizes, heads = [], [], []
         for t in texts:
+            s = _shingle_set(t, shingle)
             same.append(xxhash.xxh3_128_digest(b" ".join(words(t))))
-            prints.append(wide_print(_shingle_set(t, shingle)))
-        return ids, same, prints
+            sizes.append(len(s))
+            heads.append(prefix(s, hot, similarity).view(np.int64))
+        return ids, same, sizes, heads
+
+    return map_batches(docs, run, "id long, same binary, size int, prefix array<long>")
 
-    return map_batches(docs, run, "id long, same binary, print binary")
 
+def _in_company(rows: DataFrame) -> DataFrame:
+    """The rows (token, node, size, pos) whose token another row has too; no group is held, only its last row."""
 
-def _sampled_keys(reps: DataFrame) -> DataFrame:
-    """Rows (t, v, node, print): for each of TABLES fixed samples of bits, the bits of the fingerprint, and its first 64 bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, before = None, None  # the last row, and whether the row before it had its token
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            token = table.column("token").to_numpy()
+            equal = token[1:] == token[:-1]
+            keep = np.r_[bool(before), equal[:-1]] | equal if len(equal) else np.zeros(0, bool)
+            before = bool(equal[-1]) if len(equal) else before
+            rest = table.slice(len(table) - 1).to_batches()[0]
+            yield from table.slice(0, len(table) - 1).filter(pa.array(keep)).to_batches()
+        if rest is not None and before:
+            yield rest
+
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, rows.schema)
+
+
+def _possible(similarity: float) -> Column:
+    """Whether the sets of x and y can be similar enough if the shingle at pos is the first they share: what is left behind it has to do."""
+    left = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    return left * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-9
+
+
+def _pairs_of(rows: DataFrame, leader: Column | None, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that share tokens enough: with the one that leads by ``leader`` in each token, or all."""
+    groups = rows.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("token")
+    rows = rows.join(groups, "token", "left_semi").select("token", "node", "size", "pos", "root", *([] if leader is None else [leader.alias("lead")]))
+    if leader is None:
+        other, on = rows, F.col("x.node") < F.col("y.node")
+    else:
+        first = rows.groupBy("token").agg(F.max(F.struct("lead", "node", "size", "pos", "root")).alias("_f"))
+        other, on = first.select("token", "_f.node", "_f.size", "_f.pos", "_f.root"), F.lit(True)
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & on
+    both = rows.alias("x").join(other.alias("y"), met).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), _possible(similarity).alias("_p"),
+        (F.col("x.size") + F.col("y.size")).alias("_s"), F.greatest("x.size", "y.size").alias("_g"))
+    pairs = both.groupBy("a", "b").agg(F.count("*").alias("_n"), F.max("_p").alias("_p"), F.min("_s").alias("_s"), F.max("_g").alias("_g"))
+    # what two sets share up to the end of the shorter-reaching prefix stands in both prefixes; behind it are ceil(similarity * size) - 1 at most
+    most = F.col("_n") + F.ceil(similarity * F.col("_g") - 1e-9) - 1
+    return pairs.filter(F.col("_p") & (most * (1 + similarity) >= similarity * F.col("_s") - 1e-9)).select("a", "b")
+
+
+def _set_links(reps: DataFrame, named: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes with similar sets; their components are those of all such links.
+
+    ``reps``: node, size, prefix. Two similar sets share a token of their prefixes. In each token all are first checked against
+    the one that shares most with others (the middle of a star), then against one taken by hash; at last every pair that
+    shares enough tokens and is not yet in one component is checked, so no link between components is left out.
+    """
+    rows = reps.select("node", "size", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "size", "pos")
+    rows = cut_lineage(_in_company(rows))
+    held = rows.groupBy("token").agg(F.count("*").alias("_n"))
+    nodes = rows.join(held, "token").groupBy("node").agg(F.sum("_n").alias("weight"))
 
-    def run(nodes, prints):
-        raw = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
-        bits = np.unpackbits(raw, axis=1, bitorder="little")
-        rng = np.random.default_rng(7)
-        samples = [rng.choice(WIDE, SAMPLED, replace=False) for _ in range(TABLES)]
-        values = np.concatenate([bits[:, s].astype(np.int64) @ (1 << np.arange(SAMPLED)) for s in samples])
-        head = np.ascontiguousarray(raw[:, :8]).view(np.int64).ravel()
-        return (pa.array(np.repeat(np.arange(TABLES, dtype=np.int32), len(prints))), pa.array(values), pa.array(np.tile(np.array(nodes, np.int64), TABLES)),
-                pa.array(np.tile(head, TABLES)))
+    def sets(ids, texts):
+        return ids, [_shingle_set(t, shingle).view(np.int64) for t in texts]
 
-    return map_batches(reps.select("node", "print"), run, "t int, v long, node long, print long")
+    rows = cut_lineage(rows.join(nodes, "node"))
+    sure = checked = roots = None
+    for leader in (F.col("weight"), F.xxhash64("token", "node"), None):
+        now = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = _pairs_of(now, leader, similarity)
+        found = cut_lineage(found if checked is None else found.join(checked, ["a", "b"], "left_anti"))
+        checked = found if checked is None else checked.union(found)
+        linked = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
+        of = cut_lineage(map_batches(named.join(linked, "id", "left_semi"), sets, "id long, s array<long>").groupBy("id").agg(F.first("s").alias("s")))
+        both = found.join(of.select(F.col("id").alias("a"), F.col("s").alias("_x")), "a").join(of.select(F.col("id").alias("b"), F.col("s").alias("_y")), "b")
+        shared = F.size(F.array_intersect("_x", "_y"))
+        links_ = cut_lineage(both.filter(shared >= similarity * (F.size("_x") + F.size("_y") - shared)).select("a", "b"))
+        sure = links_ if sure is None else sure.union(links_)
+        if leader is not None:
+            roots = components(sure)
+    return sure
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id`` and ``component_id`` of every row, linking documents whose sets of ``shingle``-word shingles are similar enough (Jaccard).
 
-    Equal word sequences are one document. The others meet in buckets of sampled bits of wide SimHash fingerprints, where the
-    bit-sliced comparison links each with the nearest earlier one; the shingle sets decide on each link. Two sets of similarity 0.8
-    share a bucket with a probability of about 0.93, of 0.85 with 0.98, of 0.9 with 0.999. Null and empty texts are equal;
-    null ids and repeated ids are handled as by ``near_duplicates``.
+    Equal word sequences are one document. The others meet in the shingles of their prefixes, which two similar sets cannot
+    both miss, and the whole sets decide on each link, so the components are those of all similar pairs. Null and empty texts
+    are equal; null ids and repeated ids are handled as by ``near_duplicates`` (of rows that repeat an id, equal or not, one text counts).
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = cut_lineage(_wide_prints(named, shingle))
-    reps = cut_lineage(marked.groupBy("same").agg(F.min("id").alias("node"), F.first("print").alias("print")).filter("node is not null"))
-    found = cut_lineage(compared(_sampled_keys(reps), lambda raw: nearest_links(raw, NEAR_RADIUS)).distinct())
-    linked = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
-
-    def sets(ids, texts):
-        return ids, [_shingle_set(t, shingle).view(np.int64) for t in texts]
-
-    of = cut_lineage(map_batches(named.join(linked, "id", "left_semi"), sets, "id long, s array<long>").groupBy("id").agg(F.first("s").alias("s")))
-    both = found.join(of.select(F.col("id").alias("a"), F.col("s").alias("_x")), "a").join(of.select(F.col("id").alias("b"), F.col("s").alias("_y")), "b")
-    shared = F.size(F.array_intersect("_x", "_y"))
-    sure = both.filter(shared >= similarity * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
-    classes = reps.join(components(sure), "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
+    marked = cut_lineage(_prefixes(named, shingle, similarity))
+    reps = cut_lineage(marked.groupBy("same").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).filter("node is not null"))
+    roots = components(_set_links(reps, named, shingle, similarity))
+    classes = reps.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return marked.select("id", "same").join(classes, "same", "left").select("id", "component_id")
 
 

@@ -287,6 +287,34 @@ def test_similar_documents_against_all_pairs(spark):
     assert simhash.kept(docs(spark, ODD)).count() == 5
 
 
+def _jaccard(x, y, k=5):
+    x, y = ({tuple(t[i: i + k]) for i in range(len(t) - k + 1)} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_finds_the_middle_of_a_star(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    first = [rng.choice(words) for _ in range(204)]
+    texts = {}
+    for i in range(1000):
+        t = list(first)
+        for at in rng.sample(range(4, 200), 4):
+            t[at] = rng.choice(words)
+        texts[i if i < 500 else i + 1] = t
+    texts[500] = first
+    near = {i for i, t in texts.items() if _jaccard(first, t) >= 0.8}
+    got = {r["id"]: r["component_id"] for r in simhash.similar(docs(spark, [(i, " ".join(t)) for i, t in texts.items()])).collect()}
+    assert len(near) > 900 and {got[i] for i in near} == {min(near)}
+
+
+def test_similar_checks_pairs_that_no_leader_joins(spark):
+    """Rings: each set is similar to its two neighbours only, and shares words with more of its ring."""
+    rows = [(100 * g + i, " ".join(f"r{g}w{(6 * i + k) % 180}" for k in range(64))) for g in range(3) for i in range(30)]
+    got = {r["id"]: r["component_id"] for r in simhash.similar(docs(spark, rows)).collect()}
+    assert got == {i: i // 100 * 100 for i, _ in rows}
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
 def test_bit_sliced_distances(radius):
     rng = random.Random(radius)

@@ -308,6 +308,22 @@ def test_similar_finds_the_middle_of_a_star(spark):
     assert len(near) > 900 and {got[i] for i in near} == {min(near)}
 
 
+def test_similar_loses_no_link_at_the_threshold(spark):
+    rng = random.Random(32)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    rows, want = [], {}
+    for i in range(600):
+        n = rng.choice([54, 204, 1004])
+        x = [rng.choice(words) for _ in range(n)]
+        y = list(x)
+        while (j := _jaccard(x, y)) >= 0.85:
+            y[rng.randrange(n)] = rng.choice(words)
+        want[2 * i] = j >= 0.8
+        rows += [(2 * i, " ".join(x)), (2 * i + 1, " ".join(y))]
+    got = {r["id"]: r["component_id"] for r in simhash.similar(docs(spark, rows)).collect()}
+    assert sum(want.values()) > 500 and {i: got[i + 1] == i for i in want} == want
+
+
 def test_similar_checks_pairs_that_no_leader_joins(spark):
     """Rings: each set is similar to its two neighbours only, and shares words with more of its ring."""
     rows = [(100 * g + i, " ".join(f"r{g}w{(6 * i + k) % 180}" for k in range(64))) for g in range(3) for i in range(30)]

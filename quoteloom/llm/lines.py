@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -83,12 +84,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, f"id {kind}, n int, leaf long, key long, fields array<int>")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _template_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between lines (leaf, key) of one leaf that differ in few enough fields.
+    """Links (leaf, a, b) that connect lines (leaf, key) as all pairs of a leaf that differ in few enough fields do.
 
     A line's fields are cut into ``allowed + 1`` parts; two lines of one template agree on a whole part, so each part is a
-    group, much narrower than the leaf. Inside a group a line joins the first leader it resembles or becomes a leader; only
-    leaders are held, and a group of many lines of one template has one.
+    group, much narrower than the leaf. Inside a group lines meet under every choice of fields they may differ in: equal rest,
+    equal key, and lines of one key need no more than a link to its first. Groups are sorted by range, so a large one spreads
+    over tasks; nothing is held but a batch, and keys of groups that reach its edge meet once more by a join.
     """
     wide = F.least(F.lit(2), F.floor(F.col("n") / 5)).cast("int")
     m = F.size("fields")
@@ -96,32 +104,46 @@ def _template_links(distinct: DataFrame) -> DataFrame:
         j.alias("j"), F.xxhash64(F.slice("fields", (F.floor(m * j / (F.col("w") + 1)) + 1).cast("int"), (F.floor(m * (j + 1) / (F.col("w") + 1)) - F.floor(m * j / (F.col("w") + 1))).cast("int"))).alias("h")))
     open_ = distinct.withColumn("w", wide).filter((F.col("w") > 0) & (m > F.col("w")))
     keyed = open_.select("leaf", "key", "w", "fields", F.explode(part).alias("p")).select("leaf", "p.j", "p.h", "w", "key", "fields")
-    schema = pa.schema([("leaf", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("leaf", pa.int64()), ("g", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leaders = None, []  # leaders: (key, fields)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             leaf, j, h, w, key = (batch.column(i).to_numpy() for i in range(5))
-            # a line alone in its group needs no look at its fields
             new = np.r_[True, (np.diff(leaf) != 0) | (np.diff(j) != 0) | (np.diff(h) != 0)]
-            alone = new & np.r_[new[1:], False]
-            fields = batch.column(5)
-            out = ([], [], [])
-            for i in np.flatnonzero(~alone).tolist():
-                g = (leaf[i], j[i], h[i])
-                if g != group:
-                    group, leaders = g, []
-                mine = fields[i].as_py()
-                for other, theirs in leaders:
-                    if sum(x != y for x, y in zip(mine, theirs, strict=True)) <= w[i]:
-                        for col, x in zip(out, (leaf[i], other, key[i]), strict=True):
-                            col.append(int(x))
-                        break
-                else:
-                    leaders.append((key[i], mine))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
-
-    return keyed.repartition("leaf", "j", "h").sortWithinPartitions("leaf", "j", "h", "key").mapInArrow(run, "leaf long, a long, b long")
+            group = np.cumsum(new)
+            edge = (group == 1) | (group == group[-1])  # these groups may go on in another batch
+            alone = new & np.r_[new[1:], True] & ~edge
+            offsets, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy().view(np.uint32).astype(np.uint64)
+            m = np.diff(offsets)
+            for kind in np.unique(np.stack([m, w, j])[:, ~alone], axis=1).T.tolist():
+                at = np.flatnonzero(~alone & (m == kind[0]) & (w == kind[1]) & (j == kind[2]))
+                yield from _met(leaf[at], key[at], edge[at], values[offsets[at][:, None] + np.arange(kind[0])], kind[1], kind[2])
+
+    def _met(leaf: np.ndarray, key: np.ndarray, edge: np.ndarray, fields: np.ndarray, w: int, j: int) -> Iterator[pa.RecordBatch]:
+        m = fields.shape[1]
+        mine = range(m * j // (w + 1), m * (j + 1) // (w + 1))
+        hashes = _mixed(fields + (np.arange(1, m + 1, dtype=np.uint64) << np.uint64(32)))
+        whole = hashes.sum(1, dtype=np.uint64) + _mixed(leaf.view(np.uint64))
+        for c, gone in enumerate(combinations(range(m), w)):
+            if any(x in mine for x in gone):
+                continue
+            g = _mixed(whole - hashes[:, list(gone)].sum(1, dtype=np.uint64) + np.uint64(c)).view(np.int64)
+            _, first, of = np.unique(g, return_index=True, return_inverse=True)
+            linked = np.flatnonzero(first[of] != np.arange(len(g)))
+            open_ = first[edge[first]]
+            none = pa.nulls(len(linked), pa.int64()), pa.nulls(len(open_), pa.int64())
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[linked]), none[0], pa.array(key[first[of[linked]]]), pa.array(key[linked])], schema=schema)
+            if len(open_):
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[open_]), pa.array(g[open_]), pa.array(key[open_]), none[1]], schema=schema)
+
+    sorted_ = keyed.repartitionByRange("leaf", "j", "h", "key").sortWithinPartitions("leaf", "j", "h", "key")
+    met = cut_lineage(sorted_.mapInArrow(run, "leaf long, g long, a long, b long"))
+    edges = met.filter("b is null").select("leaf", "g", F.col("a").alias("b"))
+    firsts = edges.groupBy("leaf", "g").agg(F.min("b").alias("a"))
+    return met.filter("b is not null").select("leaf", "a", "b").union(edges.join(firsts, ["leaf", "g"]).filter("a != b").select("leaf", "a", "b")).distinct()
 
 
 def templates(occ: DataFrame) -> DataFrame:

@@ -122,6 +122,30 @@ def test_line_templates_match_a_sequential_tree(spark):
     assert {n: (n[0], roots.get(n, n[1])) for n in nodes} == want and len(roots) > 50
 
 
+@pytest.mark.parametrize("batch", [10_000, 50])
+def test_line_templates_against_all_pairs(spark, batch):
+    """Variants of one line with two to four of eight fields changed, and shorter lines; small batches cut the groups."""
+    rng = random.Random(33)
+    rows = []
+    for i in range(900):
+        n = (11, 11, 11, 9, 6)[i % 5]
+        toks = [f"{'bcdfghjk'[x]}o" for x in range(n - 3)]
+        for at in rng.sample(range(n - 3), rng.randrange(2, min(5, n - 3))):
+            toks[at] = "".join(rng.choice("aeiou") for _ in range(2))
+        rows.append((i, " ".join(["x", "y", "z", *toks])))
+    occ = lines.occurrences(docs(spark, rows).select(F.col("doc_id").alias("id"), "text"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        roots = {(r["leaf"], r["key"]): r["root"] for r in lines.templates(occ).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    seen = {(r["leaf"], r["key"]): (r["n"], r["fields"]) for r in occ.collect()}
+    nodes = sorted(seen)
+    linked = [(x, y) for i, x in enumerate(nodes) for y in nodes[i + 1:] if x[0] == y[0]
+              and sum(p != q for p, q in zip(seen[x][1], seen[y][1], strict=True)) <= lines.allowed(seen[x][0])]
+    assert {n: (n[0], roots.get(n, n[1])) for n in nodes} == classes(nodes, linked) and len(linked) > 500
+
+
 # ------------------------------------------------------------------------------------------------- quality
 def _quality_rows(n):
     rng = random.Random(7)

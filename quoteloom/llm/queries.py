@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import chat, cuckoo, extraction, lines, packing, pii, quality, reputation, simhash, winnow
+from quoteloom.llm import chat, cuckoo, extraction, lines, mixing, packing, pii, quality, reputation, simhash, trie, variants, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,3 +190,104 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page of ``pages``."""
     return extraction.extracted(table(spark, folder, "pages")).select(
         F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all ``conversations``, each rebuilt to begin like the first of its twenty."""
+    return trie.nodes(*trie.rebuilt(table(spark, folder, "conversations")))
+
+
+#: Byte-wise CRC-32 in SQL: the table of its 256 remainders, and the checksum of the bytes of a hexadecimal string.
+_CRC = """
+crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(0, 256) r(i)))"""
+
+
+def _crc_of(hexed_text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_transform(range(0, len({hexed_text}) // 2), lambda k: ('0x' || substr({hexed_text}, 2 * k + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295))"""
+
+
+def _op11_sql() -> str:
+    count = "len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))"
+    return f"""
+WITH {_CRC.strip()},
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, d, [role, text] AS k, {count} AS w FROM t),
+ids AS (SELECT c, c - c % 20 AS base, {_crc_of("x")} % 4 AS h FROM (SELECT DISTINCT c, hex(encode(c::VARCHAR)) AS x FROM own), crc),
+lent AS (SELECT i.c, o.d, k, w FROM ids i JOIN own o ON o.c = i.base AND o.d <= i.h),
+re AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, d) AS d, k, w FROM (
+  SELECT c, 0 AS part, d, k, w FROM lent UNION ALL SELECT o.c, 1, o.d, k, w FROM own o JOIN ids i ON o.c = i.c AND o.d > i.h)),
+s AS (SELECT i.c, coalesce(list(k ORDER BY d) FILTER (d IS NOT NULL), []) AS ks, coalesce(list(w ORDER BY d) FILTER (d IS NOT NULL), []) AS ws FROM ids i LEFT JOIN re r ON r.c = i.c GROUP BY i.c),
+p AS (SELECT c, len(ks) AS size, d, ks[1:d] AS k, CASE WHEN d = 0 THEN 0 ELSE ws[d] END AS w FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM s)),
+n AS (SELECT d, k, min(c) AS c, count(*) AS n, min(w) AS w, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = d), '') AS ends FROM p GROUP BY d, k),
+ch AS (SELECT d - 1 AS d, k[1:d-1] AS k, count(*) AS m FROM n WHERE d > 0 GROUP BY 1, 2),
+e AS (SELECT n.*, coalesce(m, 0) AS m FROM n LEFT JOIN ch USING (d, k)),
+up AS (SELECT unnest(range(0, d + 1)) AS ud, k, n, w, m FROM e),
+sub AS (SELECT ud AS d, k[1:ud] AS k, sum((n - 1) * w) AS saved, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) AS leaves FROM up GROUP BY 1, 2)
+SELECT e.c AS conv_id, e.d AS depth, q.c AS parent_conv_id, e.n AS n_convs, e.m AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(e.ends) AS ends_sha256
+FROM e JOIN sub USING (d, k) LEFT JOIN n q ON q.d = e.d - 1 AND q.k = e.k[1:e.d-1]"""
+
+
+SQL["op11_prefix_trie"] = _op11_sql()
+
+
+@query
+def op12_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix of the sources of ``documents`` takes of every document."""
+    return mixing.mixed(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def _op12_sql() -> str:
+    n = len(mixing.WEIGHTS)
+    weight = "CASE (number - 1) % {} {} END".format(n, " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mixing.WEIGHTS)))
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM d GROUP BY source),
+w AS (SELECT *, {weight} AS weight, source_size * {mixing.EPOCHS} AS cap FROM s),
+o AS (SELECT *, sum(source_size) OVER () AS b, sum(weight) OVER () AS ws, sum(cap) OVER f - cap AS c_before, sum(weight) OVER f - weight AS w_before
+  FROM w WINDOW f AS (ORDER BY cap / weight, number)),
+f AS (SELECT *, (b - c_before) * weight > cap * (ws - w_before) AS is_full FROM o),
+g AS (SELECT *, b - coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS rest, ws - coalesce(sum(weight) FILTER (is_full) OVER (), 0) AS free FROM f),
+t AS (SELECT source, number, source_size, b, count(*) OVER () AS n_sources, CASE WHEN is_full THEN cap::DOUBLE ELSE weight * rest::DOUBLE / greatest(free, 1)::DOUBLE END AS target FROM g),
+q AS (SELECT doc_id, size, source_size, target, number, b, n_sources, floor(target)::BIGINT AS goal, sum(size) OVER h - size AS start, row_number() OVER h AS r
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  WINDOW h AS (PARTITION BY number ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, e * source_size + start AS lo, e * source_size + start + size AS hi FROM q, range(0, {mixing.EPOCHS}) r(e) WHERE size > 0),
+x AS (SELECT number, r, b, target, lo, least(hi, goal) AS hi FROM c WHERE lo < goal
+  UNION ALL SELECT number, r, b, target, greatest(lo, goal), hi FROM c WHERE hi > goal AND lo < goal + n_sources),
+y AS (SELECT number, r, b, hi - lo AS words, sum(hi - lo) OVER (ORDER BY hi / target, number, hi ROWS UNBOUNDED PRECEDING) AS upto FROM x),
+z AS (SELECT number, r, sum(least(words, b - upto + words)) AS taken FROM y WHERE upto - words < b GROUP BY number, r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN z USING (number, r)"""
+
+
+SQL["op12_source_mix"] = _op12_sql()
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Spelling variants among the words of whole ``documents``."""
+    return variants.variants(table(spark, folder, "documents"))
+
+
+def _op13_sql() -> str:
+    v = variants
+    return f"""
+WITH RECURSIVE {_CRC.strip()},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM runs GROUP BY doc_id, w),
+c AS (SELECT w, n, {_crc_of("x")} AS h FROM d, crc),
+b AS (SELECT CASE WHEN h % {v.DAMAGE} = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS w, n FROM c),
+voc AS (SELECT w, sum(n)::BIGINT AS n FROM b WHERE length(w) >= {v.LEAST} GROUP BY w HAVING sum(n) >= {v.OCCURS}),
+gap AS (SELECT w, n, i, substr(w, 1, i - 1) AS l, substr(w, i + 1) AS r FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM voc)),
+pairs AS (SELECT a.w, a.n, z.w AS v, z.n AS m FROM gap a JOIN gap z ON a.i = z.i AND a.l = z.l AND a.r = z.r AND a.w <> z.w
+  UNION SELECT g.w, g.n, voc.w, voc.n FROM gap g JOIN voc ON g.l || g.r = voc.w
+  UNION SELECT voc.w, voc.n, g.w, g.n FROM gap g JOIN voc ON g.l || g.r = voc.w),
+best AS (SELECT w, count(*) AS n_near, list({{'v': v, 'm': m}} ORDER BY m DESC, v)[1] AS f FROM pairs GROUP BY w),
+forms AS (SELECT voc.w, voc.n, coalesce(n_near, 0) AS n_near, CASE WHEN f.m >= {v.RATIO} * n THEN f.v END AS form, CASE WHEN f.m >= {v.RATIO} * n THEN f.m END AS form_n FROM voc LEFT JOIN best USING (w)),
+walk AS (SELECT w, w AS last, form AS next FROM forms UNION ALL SELECT walk.w, walk.next, forms.form FROM walk JOIN forms ON forms.w = walk.next)
+SELECT w AS word, form, last AS root, n, n_near, form_n FROM forms JOIN (SELECT w, last FROM walk WHERE next IS NULL) USING (w)"""
+
+
+SQL["op13_spelling_variants"] = _op13_sql()

@@ -9,8 +9,12 @@ LCS table (Hyyrö 2004), and one numpy step consumes one character of every wind
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,6 +180,80 @@ def partial_ratio(a: str, b: str) -> float:
     return float(partial_ratios([a], [b])[0])
 
 
+# ------------------------------------------------------------------ best text of a needle, with a bound before the score
+_CHARS, _TWOS = 64, 256
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    """Per text, how often characters and pairs of characters fall into buckets."""
+    out = np.zeros((len(texts), _CHARS + _TWOS), np.int32)
+    for i, t in enumerate(texts):
+        code = _codes(t).astype(np.int64)
+        out[i, :_CHARS] = np.bincount(code * 2654435761 % 4294967296 >> 26, minlength=_CHARS)
+        out[i, _CHARS:] = np.bincount((code[:-1] * 31 + code[1:]) * 2654435761 % 4294967296 >> 24, minlength=_TWOS)
+    return out
+
+
+def partial_bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bounds of partial ratios from the counts of both strings, a row per pair.
+
+    A common subsequence has at most the characters that both hold. Every character of the shorter string that it leaves out
+    breaks at most two pairs of neighbours, every further character of the window one, so the pairs that both hold bound it as
+    well; the ratio is largest where the window is just the subsequence, of a length that need not be whole here.
+    """
+    low = np.minimum(a, b)
+    sizes = np.minimum(a[:, :_CHARS].sum(1), b[:, :_CHARS].sum(1))
+    chars, twos = low[:, :_CHARS].sum(1), low[:, _CHARS:].sum(1)
+    most = np.minimum(chars, sizes - np.maximum(0, (sizes - 1 - twos) / 2))
+    return np.where(sizes + most > 0, 200.0 * most / np.maximum(sizes + most, 1), 100.0)
+
+
+def best_of(needles: list[str], texts: list[str], groups: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row of the best text of each group, its score, pairs never scored). Ties go to the lower ``order``; groups count from 0.
+
+    The pair with the highest bound of each group is scored first; the others are scored if their bound reaches it.
+    """
+    at_needle, at_text = {}, {}
+    n = np.array([at_needle.setdefault(x, len(at_needle)) for x in needles])
+    t = np.array([at_text.setdefault(x, len(at_text)) for x in texts])
+    of_needle, of_text = _counts(list(at_needle)), _counts(list(at_text))
+    bounds = np.empty(len(needles))
+    for i in range(0, len(needles), 4096):
+        bounds[i:i + 4096] = partial_bounds(of_needle[n[i:i + 4096]], of_text[t[i:i + 4096]])
+    ranked = np.lexsort((order, -bounds, groups))
+    first = ranked[np.r_[True, np.diff(groups[ranked]) != 0]]
+    scores = np.full(len(needles), -1.0)
+    scores[first] = partial_ratios([needles[i] for i in first], [texts[i] for i in first])
+    # scores are rounded by their arithmetic, so a bound a hair below still counts
+    rest = np.flatnonzero((scores < 0) & (bounds >= scores[first][groups] - 1e-6) & (bounds > 0))
+    scores[rest] = partial_ratios([needles[i] for i in rest], [texts[i] for i in rest])
+    ranked = np.lexsort((order, -scores, groups))
+    best = ranked[np.r_[True, np.diff(groups[ranked]) != 0]]
+    return best, scores[best], int((scores < 0).sum())
+
+
+def best_in_batches(rows: DataFrame, keys: list[str], order: list[str], needle: str = "q", text: str = "t") -> DataFrame:
+    """Per batch and key, the row whose text scores best against its needle, with ``score``; ties go to the lower ``order``."""
+    kept = [f for f in rows.schema.fields if f.name != text]
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            named = dict(zip(batch.schema.names, batch.columns, strict=True))
+            seen: dict[tuple, int] = {}
+            groups = np.array([seen.setdefault(k, len(seen)) for k in zip(*(named[k].to_pylist() for k in keys), strict=True)])
+            place = np.lexsort(tuple(named[c].to_numpy(zero_copy_only=False) for c in reversed(order)))
+            rank = np.empty(len(place), np.int64)
+            rank[place] = np.arange(len(place))
+            best, scores, _ = best_of(named[needle].to_pylist(), named[text].to_pylist(), groups, rank)
+            where = pa.array(best)
+            yield pa.RecordBatch.from_arrays([*(named[f.name].take(where) for f in kept), pa.array(scores)], [*(f.name for f in kept), "score"])
+
+    return rows.mapInArrow(run, schema)
+
+
 @F.pandas_udf(T.DoubleType())
 def partial_ratio_udf(needles: pd.Series, texts: pd.Series) -> pd.Series:
     out = np.zeros(len(needles))

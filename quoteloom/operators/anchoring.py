@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.functions.fuzzy import labels_match_udf, partial_ratio_udf
+from quoteloom.functions.fuzzy import best_in_batches, labels_match_udf
 from quoteloom.functions.text import as_col, bind, norm
 from quoteloom.operators.documents import BLOCK, DOC, anchor_variants
+from quoteloom.operators.spread import BROADCAST_BYTES, hot_buckets, spread_join
 from quoteloom.session import cut_lineage
 from quoteloom.vocab import ANCHOR_LEVELS, FUZZY_THRESHOLD, STATE_BY_LEVEL, STUDY
 
@@ -48,111 +49,136 @@ def evidence_of(rows: DataFrame) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------ literal search by word keys
+# ------------------------------------------------------------------ literal search by rare keys
+#: Keys that are counted for each quote, of which the rarest is searched for.
+KEYS = 3
+
+
 def _longest(parts: Column) -> Column:
-    return F.array_max(F.transform(parts, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p"))))["p"]
+    """Distinct parts, the longest first."""
+    return F.array_sort(F.array_distinct(F.transform(parts, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))))["w"]
 
 
-def quote_key(q: Column | str) -> Column:
-    """Kind and text of one key that every text containing the quote also has.
+def quote_keys(q: Column | str) -> Column:
+    """Up to KEYS keys (kind, key) of a quote; every text that contains it also has each of them.
 
-    The first and last words of a quote may be parts of longer words; those between are whole. So the key is the
-    longest word between them. Quotes of one or two words are keyed by three characters, or one.
+    The first and last words of a quote may be parts of longer words; those between are whole, so the longest of them are its
+    keys. Quotes of one or two words are keyed by runs of three characters inside their longer word, or by a word of one or two.
     """
 
     def choose(words: Column) -> Column:
-        inner = _longest(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
-        piece = _longest(words)
+        inner = F.slice(_longest(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))), 1, KEYS)
+        piece = F.get(_longest(words), F.lit(0))
+        n = F.char_length(piece)
+        runs = F.array_distinct(F.transform(F.array(F.lit(1), F.ceil((n - 1) / 2).cast("int"), n - 2), lambda at: F.substr(piece, at, F.lit(3))))
 
-        def key(kind: str, text: Column) -> Column:
-            return F.struct(F.lit(kind).alias("kind"), text.alias("key"))
+        def keys(kind: str, texts: Column) -> Column:
+            return F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
 
-        return (
-            F.when(F.size(words) >= 3, key("word", inner))
-            .when(F.char_length(piece) >= 3, key("three", F.substr(piece, F.lit(1), F.lit(3))))
-            .otherwise(key("one", F.substr(piece, F.lit(1), F.lit(1))))
-        )
+        return F.when(F.size(words) >= 3, keys("word", inner)).when(n >= 3, keys("three", runs)).otherwise(keys("short", F.array(piece)))
 
     return bind(F.split(as_col(q), " "), choose)
 
 
-def _pieces(words: Column, size: int) -> Column:
-    """All runs of ``size`` characters inside words."""
-    none = F.array().cast("array<string>")
-    return F.flatten(
-        F.transform(
-            words,
-            lambda w: F.when(
-                F.char_length(w) >= size,
-                F.transform(F.sequence(F.lit(1), F.char_length(w) - (size - 1)), lambda i: F.substr(w, i, F.lit(size))),
-            ).otherwise(none),
-        )
-    )
+def _runs(text: Column, size: int, of: str = r"\S") -> Column:
+    """All runs of ``size`` characters inside the words of a text (or of any characters), in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({of}{{{size}}}))"), F.lit(1))
+
+
+def _text_keys(kind: str) -> Column:
+    """Distinct keys of one kind of the texts in ``variants``."""
+    of = {
+        "word": lambda t: F.split(t, " "),
+        "three": lambda t: _runs(t, 3),
+        "short": lambda t: F.concat(_runs(t, 1), _runs(t, 2)),
+        "any": lambda t: F.concat(_runs(t, 1, "."), _runs(t, 2, ".")),
+    }
+    return F.array_distinct(F.flatten(F.transform("variants", of[kind])))
+
+
+def _hit(q: Column) -> Column:
+    """First variant that contains the text, and where."""
+    places = F.transform("variants", lambda t: F.call_function("locate", q, t))
+    numbered = F.transform(places, lambda at, i: F.struct(i.alias("variant"), at.alias("at")))
+    return F.get(F.filter(numbered, lambda x: x["at"] > 0), F.lit(0))
+
+
+def _postings(asked: DataFrame, texts: DataFrame, scope: list[str], unit: list[str]) -> DataFrame:
+    """(scope, unit, kind, key) of the asked keys alone. Kinds nobody asks for are not looked at, and a key that many texts of a
+    scope have is dealt over tasks; which keys these are is told by a sample of the texts, which decides nothing else."""
+    sizes = {r["_kind"]: r["n"] for r in asked.groupBy("_kind").agg(F.sum(F.octet_length("_key") + 64).alias("n")).collect()}  # three kinds at most
+    every = texts.limit(0).select(*scope, *unit, F.lit("").alias("_kind"), F.lit("").alias("_key"))
+    for kind in sorted(sizes):
+        mine, small = asked.filter(F.col("_kind") == kind), sizes[kind] <= BROADCAST_BYTES
+        # runs of characters are many, so only scopes that ask for some are read for them
+        wanted = texts if kind == "word" or not scope else spread_join(texts, mine.select(*scope).distinct(), scope, unit, "left_semi")
+        posted = wanted.select(*scope, *unit, F.lit(kind).alias("_kind"), F.explode(_text_keys(kind)).alias("_key"))
+        hot = [] if small else hot_buckets(posted.filter(F.pmod(F.xxhash64(*unit), F.lit(16)) == 0), [*scope, "_kind", "_key"])
+        found = posted.join(F.broadcast(mine), [*scope, "_kind", "_key"], "left_semi") if small else spread_join(posted, mine, [*scope, "_kind", "_key"], unit, "left_semi", hot, False)
+        every = every.unionByName(found)
+    return every
 
 
 def locate_literal(quotes: DataFrame, texts: DataFrame, scope: list[str], unit: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Every (quote, text) pair in which the text contains the quote, inside the same scope.
 
-    ``quotes``: scope and ``q``. ``texts``: scope, unit and ``variants`` (comparable texts of the unit).
-    Pairs are proposed by an equi-join on word keys, which loses none, and then checked; texts travel once per
-    proposed pair, not once per key. Only scopes that hold a quote of a kind give keys of that kind. Returns
-    scope, q, unit, the carried columns of the text, and ``variant`` and ``start`` of the first variant that has
-    the quote.
+    ``quotes``: scope and ``q``. ``texts``: scope, unit and ``variants`` (comparable texts of the unit). An inverted index of the
+    asked keys alone proposes pairs: of the keys of a quote the one that fewest texts of its scope have, and none if the scope
+    lacks one of them. ``contains`` checks the pairs, so the result is exact. Asked keys go to all tasks while they are few
+    (counted in bytes); beyond that, frequent keys and texts are dealt over tasks. Returns scope, q, unit, the carried columns
+    of the text, and ``variant`` and ``start`` of the first variant that has the quote.
     """
-    keyed = (
-        quotes.select(*scope, "q").filter("q <> ''").distinct().withColumn("_k", quote_key("q"))
-        .select(*scope, "q", F.col("_k.kind").alias("_kind"), F.col("_k.key").alias("_key"))
-    )
-    narrow = texts.select(*scope, *unit, F.array_distinct(F.flatten(F.transform("variants", lambda t: F.split(t, " ")))).alias("_words"))
-
-    def posted(kind: str, keys: Column) -> DataFrame:
-        asked = keyed.filter(F.col("_kind") == kind)
-        wanted = narrow.join(asked.select(*scope).distinct(), scope, "left_semi") if scope else narrow.filter(asked.select("q").exists())
-        return wanted.select(*scope, *unit, F.lit(kind).alias("_kind"), F.explode(F.array_distinct(keys)).alias("_key"))
-
-    every = (
-        posted("word", F.col("_words"))
-        .unionByName(posted("three", _pieces(F.col("_words"), 3)))
-        .unionByName(posted("one", _pieces(F.col("_words"), 1)))
-    )
-    proposed = keyed.join(every, [*scope, "_kind", "_key"]).select(*scope, "q", *unit)
-    places = F.transform("variants", lambda t: F.call_function("locate", F.col("q"), t))
-    numbered = F.transform(places, lambda at, i: F.struct(i.alias("variant"), at.alias("at")))
-    hit = F.get(F.filter(numbered, lambda x: x["at"] > 0), F.lit(0))
+    key = [*scope, "_kind", "_key"]
+    each = quotes.select(*scope, "q").filter("q <> ''").distinct().select(*scope, "q", F.explode(quote_keys("q")).alias("_k"))
+    each = cut_lineage(each.select(*scope, "q", F.col("_k.kind").alias("_kind"), F.col("_k.key").alias("_key")))
+    postings = cut_lineage(_postings(each.select(*key).distinct(), texts.select(*scope, *unit, "variants"), scope, unit))
+    held = postings.groupBy(*key).agg(F.count("*").alias("_n"))
+    rarest = spread_join(each, held, key, ["q"], "left").groupBy(*scope, "q").agg(
+        F.min(F.coalesce("_n", F.lit(0))).alias("_least"), F.min(F.struct("_n", "_kind", "_key")).alias("_k"))
+    chosen = cut_lineage(rarest.filter("_least > 0").select(*scope, "q", "_k._kind", "_k._key"))
+    proposed = cut_lineage(spread_join(postings, chosen, key, unit).select(*scope, "q", *unit))
+    met = spread_join(proposed, texts.select(*scope, *unit, *carry, "variants"), [*scope, *unit], ["q"], may_be_small=False)
     return (
-        proposed.join(texts.select(*scope, *unit, *carry, "variants"), [*scope, *unit])
-        .withColumn("_hit", hit).filter("_hit is not null")
+        met.withColumn("_hit", _hit(F.col("q"))).filter("_hit is not null")
         .select(*scope, "q", *unit, *carry, F.col("_hit.variant").alias("variant"), (F.col("_hit.at") - 1).alias("start"))
     )
 
 
 def first_in_document(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """First block of the document, in reading order, that contains each quote."""
-    pairs = locate_literal(quotes, blocks, DOC, ["block_id"], ("pos", "page", "rect"))
-    return pairs.groupBy(*DOC, "q").agg(F.min_by(F.struct("block_id", "page", "rect", "start"), "pos").alias("found"))
+    """First block of the document, in reading order, that contains each quote.
 
-
-def passage_locations(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Documents of the whole corpus that contain each passage; ``quotes``: quote_id, quote; ``texts``: doc_id, text."""
-    normed = quotes.select("quote_id", norm("quote").alias("q"))
-    units = texts.select("doc_id", F.array(norm("text")).alias("variants"))
-    pairs = locate_literal(normed, units, [], ["doc_id"])
-    return normed.join(pairs, "q").select("quote_id", "doc_id", "start")
+    Quotes of one or two characters stand in most blocks, so they are not paired with them: each block says which of the short
+    texts it has, and the first of them is an aggregate.
+    """
+    asked = quotes.select(*DOC, "q").filter("q <> ''").distinct()
+    short, long_ = asked.filter(F.char_length("q") <= 2), asked.filter(F.char_length("q") > 2)
+    place = F.struct("block_id", "page", "rect", "start")
+    pairs = locate_literal(long_, blocks, DOC, ["block_id"], ("pos", "page", "rect"))
+    firsts = pairs.groupBy(*DOC, "q").agg(F.min_by(place, "pos").alias("found"))
+    if not short.limit(1).count():
+        return firsts
+    asking = spread_join(blocks, short.select(*DOC).distinct(), DOC, ["pos"], "left_semi")
+    said = asking.select(*DOC, "pos", "block_id", "page", "rect", "variants", F.explode(_text_keys("any")).alias("q"))
+    of_all = said.withColumn("start", _hit(F.col("q"))["at"] - 1).filter("start is not null").groupBy(*DOC, "q").agg(F.min_by(place, "pos").alias("found"))
+    return firsts.unionByName(of_all.join(short, [*DOC, "q"], "left_semi"))
 
 
 # ------------------------------------------------------------------ approximate search near a page
 def best_near_page(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
     """Best partial ratio of each quote over the blocks of its page and the two next to it.
 
-    ``quotes``: project, document, q, near_page. The earliest block, and its first text, win ties. The join is
-    on (document, page); scores are reduced before they are shuffled.
+    ``quotes``: project, document, q, near_page. The earliest block, and its first text, win ties. The join is on (document,
+    page), with the blocks of a frequent page dealt over tasks. Inside a batch, counts of characters and of pairs of
+    characters bound each score from above: the most promising text of a quote is scored first, the others only where their
+    bound reaches that score. Batches hand on one row per quote, so the rest of the best-of is a small aggregate.
     """
     three = F.explode(F.array(F.col("near_page") - 1, F.col("near_page"), F.col("near_page") + 1))
     asked = quotes.select(*DOC, "q", "near_page").distinct().withColumn("page", three)
     texts = blocks.select(*DOC, "page", "pos", "block_id", "rect", F.posexplode("variants").alias("variant", "t"))
-    scored = asked.join(texts, [*DOC, "page"]).withColumn("score", partial_ratio_udf("q", "t")).filter("score > 0")
+    met = spread_join(texts, asked, [*DOC, "page"], ["pos", "variant"]).select(*DOC, "q", "near_page", "pos", "variant", "block_id", "page", "rect", "t")
+    local = best_in_batches(met, [*DOC, "q", "near_page"], ["pos", "variant"])
     rank = F.struct(F.col("score"), -F.col("pos"), -F.col("variant"))
-    return scored.groupBy(*DOC, "q", "near_page").agg(F.max_by(F.struct("block_id", "page", "rect", "score"), rank).alias("best"))
+    return local.filter("score > 0").groupBy(*DOC, "q", "near_page").agg(F.max_by(F.struct("block_id", "page", "rect", "score"), rank).alias("best"))
 
 
 # ------------------------------------------------------------------ the cascade

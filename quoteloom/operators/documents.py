@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteloom.functions.fuzzy import partial_ratio_udf
-from quoteloom.functions.grid import html_grid_udf
+from quoteloom.functions.grid import grid_of, html_runs_udf
 from quoteloom.functions.text import as_col, bind, blank, join_lines, norm, unescape
 from quoteloom.operators.ordering import running_sum
 from quoteloom.vocab import BBOX_SCALE, BLOCK_ID_PATTERN, BLOCK_TYPE_BY_ITEM, BLOCK_TYPES
@@ -97,7 +97,8 @@ def blocks_from_items(items: DataFrame, pages: DataFrame) -> DataFrame:
     kind = F.coalesce(F.col("type"), F.lit(""))
     numbered = (
         placed.withColumn("ord", F.row_number().over(per_page))
-        .withColumn("grid", html_grid_udf(F.when(F.col("type") == "table", F.col("table_body"))))
+        .withColumn("_runs", html_runs_udf(F.when(F.col("type") == "table", F.col("table_body"))))
+        .withColumn("grid", grid_of(F.col("_runs")))
         .withColumn("block_id", block_id("page", "ord"))
         .withColumn("block_type", block_type("type", "text_level"))
     )
@@ -124,10 +125,11 @@ def table_cells(blocks: DataFrame) -> DataFrame:
 
 
 def table_grid(tables: DataFrame, html: str = "html") -> DataFrame:
-    """Cells of HTML tables, one row per place of the grid; the other columns are kept."""
-    grids = tables.withColumn("_grid", html_grid_udf(F.col(html))).drop(html)
-    rows = grids.select(*grids.columns, F.posexplode("_grid").alias("row", "_cells")).drop("_grid")
-    return rows.select(*[c for c in rows.columns if c != "_cells"], F.posexplode("_cells").alias("col", "text"))
+    """Cells of HTML tables, one row per place of the grid; the other columns are kept. Runs of columns are expanded here."""
+    kept = [c for c in tables.columns if c != html]
+    rows = tables.select(*kept, F.posexplode(html_runs_udf(F.col(html))).alias("row", "_runs"))
+    runs = rows.select(*kept, "row", F.explode("_runs").alias("_r"))
+    return runs.select(*kept, "row", F.explode(F.sequence(F.col("_r.c0"), F.col("_r.c1") - 1)).alias("col"), F.col("_r.text").alias("text"))
 
 
 # ------------------------------------------------------------------ audits
@@ -179,13 +181,15 @@ def rect_check(blocks: DataFrame, clips: DataFrame, ok_from: float = 90.0, head_
         .join(clips.select(*BLOCK, norm("clip").alias("_clip"), norm("shifted").alias("_shifted")), BLOCK, "left")
     )
     head = F.col("_plain") if head_chars is None else F.substr(F.col("_plain"), F.lit(1), F.lit(head_chars))
-
-    def score(other: str) -> Column:
-        return F.when(F.coalesce(F.col(other), F.lit("")) == "", 0.0).otherwise(partial_ratio_udf(head, F.col(other)))
-
-    scored = texts.withColumn("_s", score("_clip")).withColumn("_c", score("_shifted"))
+    cut = texts.withColumn("_head", head)
+    # a Python function is called on every row it is given, so only pairs of two texts are given to it
+    sides = cut.select(*BLOCK, "type", "_plain", "_head", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.coalesce(c, F.lit("")).alias("t")) for n, c in enumerate(("_clip", "_shifted"))))).alias("_o"))
+    some = (F.col("_head") != "") & (F.col("_o.t") != "")
+    scored = sides.filter(some).withColumn("_v", partial_ratio_udf("_head", "_o.t"))
+    every = scored.unionByName(sides.filter(~some).withColumn("_v", F.lit(0.0)))
+    both = every.groupBy(*BLOCK, "type", "_plain").agg(F.max(F.when(F.col("_o.n") == 0, F.col("_v"))).alias("_s"), F.max(F.when(F.col("_o.n") == 1, F.col("_v"))).alias("_c"))
     empty = F.col("_plain") == ""
-    return scored.select(
+    return both.select(
         *BLOCK, "type",
         F.when(~empty, F.bround("_s", 1)).alias("similarity"),
         F.when(empty, "SIN_TEXTO").when(F.col("_s") >= ok_from, "OK").otherwise("REVISAR").alias("state"),

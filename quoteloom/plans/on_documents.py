@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quoteloom.functions.canonical import response_objects
 from quoteloom.functions.text import join_lines, norm, numbers_in, unescape, word_count
-from quoteloom.operators import anchoring, documents as docs
+from quoteloom.operators import anchoring, documents as docs, passages
 from quoteloom.plans.derived import BLOCKS, EVIDENCE, ITEMS, blocks, evidence, items, pages, shown_blocks, sql_norm, stored_blocks
 from quoteloom.plans.registry import Tables, query
 from quoteloom.sources.converter import converter_items, converter_pages, rejected_outputs
@@ -64,6 +64,23 @@ def html_lists_grid(t: Tables) -> DataFrame:
     return docs.table_grid(tables).select("page_id", "row", "col", "text")
 
 
+@query("html_span_grid", r"""WITH tables AS (
+  SELECT page_id, regexp_replace(regexp_replace(list_aggregate(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1), 'string_agg', chr(1)), '<[^>]*>', '', 'g'), ' +', ' ', 'g') AS body FROM pages),
+rows AS (SELECT page_id, list_transform(string_split(body, chr(1)), lambda x: trim(x)) AS r FROM tables WHERE body IS NOT NULL),
+places AS (SELECT page_id, r, unnest(range(0, len(r))) AS i FROM rows), cols AS (SELECT unnest(range(0, 4)) AS col)
+SELECT page_id, i AS "row", col, CASE WHEN i % 2 = 0 AND col < 3 THEN r[i + 1] WHEN i % 2 = 1 AND col = 0 THEN r[i] WHEN i % 2 = 1 AND col IN (1, 3) THEN r[i + 1] ELSE '' END AS text
+FROM places, cols WHERE col < CASE WHEN len(r) > 1 THEN 4 ELSE 3 END""")
+def html_span_grid(t: Tables) -> DataFrame:
+    """Navigation lists as tables whose cells reach down and across: of two rows the first has a cell over both and one over two
+    columns, the second a cell, an empty one and a third; the last cell of an odd table would reach below it."""
+    entries = F.regexp_extract_all("html", F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1))
+    even = lambda x: F.concat(F.lit("<tr><td rowspan=2>"), x, F.lit("</td><td colspan=2>"), x, F.lit("</td></tr>"))
+    odd = lambda x: F.concat(F.lit("<tr><td>"), x, F.lit("</td><td></td><td>"), x, F.lit("</td></tr>"))
+    rows = F.array_join(F.transform(entries, lambda x, i: F.when(i % 2 == 0, even(x)).otherwise(odd(x))), "")
+    tables = t.read("pages").select("page_id", F.concat(F.lit("<table>"), rows, F.lit("</table>")).alias("html"))
+    return docs.table_grid(tables).select("page_id", "row", "col", "text")
+
+
 @query("integrity_violations", f"""WITH {BLOCKS}, broken AS (
   SELECT project_id, doc_id, CASE WHEN pos % 5 = 1 THEN 'p01-b01' ELSE block_id END AS block_id, page,
     CASE WHEN kind = 'stamp' THEN 'sello' ELSE type END AS type, kind = 'code' AS inverted FROM blocks)
@@ -347,7 +364,7 @@ def verified_rate(t: Tables) -> DataFrame:
 SELECT item_id AS quote_id, doc_id, strpos(t, q) - 1 AS start FROM b JOIN d ON contains(t, q)""")
 def passage_locations(t: Tables) -> DataFrame:
     quotes = t.read("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    return anchoring.passage_locations(quotes, t.documents.select("doc_id", "text"))
+    return passages.passage_locations(quotes, t.documents.select("doc_id", "text"))
 
 
 @query("anchor_keys", f"""WITH {EVIDENCE} SELECT project_id, doc_id, row_pos || '|Muestra|0' AS key, cited AS block_id FROM evidence""")

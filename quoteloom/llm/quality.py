@@ -21,8 +21,11 @@ LABELLERS = {
     "low_quality": ["shouting", "symbols", "repeats", "few_stop_words", "no_sentences", "given"],
     "toxic": ["one_insult", "two_insults", "given"],
 }
-#: Buckets of the hashed features, and at most about so many labelled rows to fit on (a sample by hash beyond that).
-DIMENSIONS, TRAIN_ROWS = 1 << 17, 12_000
+#: Buckets of the hashed features, and at most about so many rows to fit on (a sample by hash beyond that); one in UNLABELLED of
+#: them has no given label where there are both.
+DIMENSIONS, TRAIN_ROWS, UNLABELLED = 1 << 17, 12_000, 4
+#: Votes that the prior of the given labeller is worth. Its accuracy is estimated like that of the others.
+GIVEN = 200.0
 #: Words from which the measures of a text tell something.
 LONG = 20
 #: A document is rejected when the scorer gives a target at least this probability.
@@ -94,7 +97,8 @@ def votes_of(r: Read) -> tuple[np.ndarray, np.ndarray]:
     hits = np.bincount(r.owner, insult, r.n)
     kinds = np.unique(np.stack([r.owner[insult], r.h[insult].view(np.int64)]), axis=1)[0] if insult.any() else np.zeros(0, np.int64)
     distinct = np.bincount(kinds, minlength=r.n)
-    toxic = np.stack([either(hits >= 1, np.zeros(r.n, bool)), either(distinct >= 2, np.zeros(r.n, bool))], axis=1)
+    # a labeller that only ever spoke against documents could not be told from noise
+    toxic = np.stack([either(hits >= 1, long), either(distinct >= 2, long)], axis=1)
     return low, toxic
 
 
@@ -150,13 +154,15 @@ class LabelModel:
 def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns and how many documents have them (at most 3 to the number of labellers)."""
     k = votes.shape[1]
-    # before any data: a vote is right four times in five; given labels 999 times in 1000, and that is held to
-    weight = np.where(np.arange(k) == k - 1, 1e9, 10.0)
-    right = np.where(np.arange(k) == k - 1, 0.999, 0.8)
+    # before any data, as if ten votes had been seen: a heuristic that looks for one fault sees it in a third of the bad documents
+    # and in one good document of twenty; a given label is right 99 times in 100, as if GIVEN had been seen
+    weight = np.where(np.arange(k) == k - 1, GIVEN, 10.0)
+    finds = np.where(np.arange(k) == k - 1, 0.99, 0.35)
+    spares = np.where(np.arange(k) == k - 1, 0.99, 0.95)
     prior = np.empty((k, 2, 3))
     for j in range(k):
-        prior[j, 0] = weight[j] * np.array([0.5, 0.5 * (1 - right[j]), 0.5 * right[j]])
-        prior[j, 1] = weight[j] * np.array([0.5, 0.5 * right[j], 0.5 * (1 - right[j])])
+        prior[j, 0] = weight[j] * np.array([0.5, 0.5 * (1 - spares[j]), 0.5 * spares[j]])
+        prior[j, 1] = weight[j] * np.array([0.5, 0.5 * finds[j], 0.5 * (1 - finds[j])])
     model = LabelModel(0.1, prior / prior.sum(axis=2, keepdims=True))
     for _ in range(rounds):
         p = model.posterior(votes)
@@ -174,23 +180,45 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> Label
     return model
 
 
-def fit_scorer(rows: list[np.ndarray], aims: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on hashed presence features towards soft labels, by L-BFGS on the whole sample.
+def fit_scorer(rows: pa.ChunkedArray, aims: np.ndarray) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on hashed presence features (an Arrow list of buckets per row) towards soft labels, by L-BFGS on the whole sample.
 
     A feature counts by its shrunken log ratio of shares among bad and good rows, so what was seen in a row or two weighs little.
+    Sums run over one chunk of the sample after another, so besides the sample only a chunk is held.
     """
     if not len(aims):
         return np.zeros(DIMENSIONS), -5.0
-    owner, at, n = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64), len(aims)
-    in_bad, seen, share = np.bincount(at, aims[owner], DIMENSIONS), np.bincount(at, minlength=DIMENSIONS), float(np.clip(aims.mean(), 1e-3, 1 - 1e-3))
+    n = len(aims)
+
+    def chunks():
+        at = 0
+        for chunk in rows.chunks:
+            sizes = np.diff(chunk.offsets.to_numpy())
+            flat = chunk.values.to_numpy()[chunk.offsets[0].as_py(): chunk.offsets[-1].as_py()]
+            # pieces of whole rows, of about a quarter of a million features
+            cuts = np.unique(np.searchsorted(np.cumsum(sizes), np.arange(0, len(flat), 1 << 18), side="right"))
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
+                yield at + a, at + b, np.repeat(np.arange(b - a), sizes[a:b]), flat[ends[a]:ends[b]]
+            at += len(sizes)
+
+    in_bad, seen, share = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), float(np.clip(aims.mean(), 1e-3, 1 - 1e-3))
+    for a, b, owner, at in chunks():
+        in_bad += np.bincount(at, aims[a:b][owner], DIMENSIONS)
+        seen += np.bincount(at, minlength=DIMENSIONS)
     odds = (in_bad + SHRINK * share) / share, (seen - in_bad + SHRINK * (1 - share)) / (1 - share)
     scale = np.log(odds[0] / np.maximum(odds[1], 1e-9))
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(owner, (x[:-1] * scale)[at], n) + x[-1]
-        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - aims
-        grad = np.append(scale * np.bincount(at, err[owner], DIMENSIONS) + RIDGE * x[:-1], err.sum())
-        return float((np.logaddexp(0, z) - aims * z).sum() + RIDGE / 2 * (x[:-1] @ x[:-1])), grad
+        weights, total, sums, errs = x[:-1] * scale, 0.0, np.zeros(DIMENSIONS), 0.0
+        z = np.full(n, x[-1])
+        for a, b, owner, at in chunks():
+            z[a:b] += np.bincount(owner, weights[at], b - a)
+            err = 1 / (1 + np.exp(-np.clip(z[a:b], -30, 30))) - aims[a:b]
+            sums += np.bincount(at, err[owner], DIMENSIONS)
+        errs = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - aims).sum()
+        total = (np.logaddexp(0, z) - aims * z).sum()
+        return float(total + RIDGE / 2 * (x[:-1] @ x[:-1])), np.append(scale * sums + RIDGE * x[:-1], errs)
 
     x = np.zeros(DIMENSIONS + 1)
     x[-1] = np.log((aims.mean() + 1e-3) / (1 - aims.mean() + 1e-3))
@@ -247,8 +275,8 @@ def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A function of a text column that gives ``low_quality``, ``toxic`` (probabilities) and ``rejected`` as a struct.
 
     ``labels``: doc_id, quality (1 good), toxic (1 toxic), covering some documents; one labeller among the others. Votes and
-    their patterns cover all documents; the scorers are fitted on at most about ``train_rows`` rows, those with given labels if
-    there are any, chosen by hash. A text without words is scored by the bias alone and a null text is such a text; null labels
+    their patterns cover all documents; the scorers are fitted on at most about ``train_rows`` rows chosen by hash, labelled ones and
+    one in UNLABELLED without labels, towards the posteriors of all labellers. A text without words is scored by the bias alone and a null text is such a text; null labels
     abstain; of several labels of a document the worst counts; empty tables give a scorer that rejects nothing.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -261,29 +289,38 @@ def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     models = {t: fit_labels(*_patterns(voted, t)) for t in TARGETS}
 
     has = (F.col("given_low_quality") > 0) | (F.col("given_toxic") > 0)
-    n, labelled = voted.agg(F.count("*"), F.sum(has.cast("long"))).first()
-    pool = voted.filter(has) if labelled else voted
-    share = min(1.0, train_rows / max(labelled or n, 1))
-    chosen = pool.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else pool
+    n, labelled = voted.agg(F.count("*"), F.coalesce(F.sum(has.cast("long")), F.lit(0))).first()
+    others = n - labelled
+    # the sample: labelled rows, and some without labels, which only the heuristics speak for
+    plain = min(others, train_rows // UNLABELLED, labelled // (UNLABELLED - 1)) if labelled else min(others, train_rows)
+    shares = {True: min(1.0, (train_rows - plain) / max(labelled, 1)), False: min(1.0, plain / max(others, 1))}
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    chosen = voted.filter(F.when(has, draw < int(shares[True] * (1 << 30))).otherwise(draw < int(shares[False] * (1 << 30))))
     sample = named.join(chosen.dropDuplicates(["id"]), "id")
 
     def look(texts, *votes):
-        buckets = {t: [] for t in TARGETS}
+        buckets = {t: ([0], []) for t in TARGETS}
         for r in _chunks(texts):
             for t in TARGETS:
                 owner, at = features_of(r, t)
-                cuts = np.searchsorted(owner, np.arange(1, r.n))
-                buckets[t] += [x.astype(np.int32).tobytes() for x in np.split(at, cuts)]
-        return *(buckets[t] for t in TARGETS), *votes
+                sizes, parts = buckets[t]
+                sizes += (sizes[-1] + np.cumsum(np.bincount(owner, minlength=r.n))).tolist()
+                parts.append(at.astype(np.int32))
+        lists = (pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))) for sizes, parts in buckets.values())
+        return *lists, *votes
 
     columns = [c for t in TARGETS for c in (t, f"given_{t}")]
-    fitted = map_batches(sample.select("text", *(F.col(c).cast("long") for c in columns)), look, ", ".join([*(f"f_{t} binary" for t in TARGETS), *(f"{c} long" for c in columns)])).collect()
+    looked = cut_lineage(map_batches(sample.select("text", *(F.col(c).cast("long") for c in columns)), look, ", ".join([*(f"f_{t} array<int>" for t in TARGETS), *(f"{c} long" for c in columns)])))
     scorers = {}
     for t in TARGETS:
         k = len(LABELLERS[t])
-        votes = np.array([[r[t] // 3**j % 3 for j in range(k - 1)] + [r[f"given_{t}"]] for r in fitted], np.int64).reshape(-1, k)
-        w, b = fit_scorer([np.frombuffer(r[f"f_{t}"], np.int32) for r in fitted], models[t].posterior(votes))
+        fitted = looked.select(f"f_{t}", t, f"given_{t}").toArrow()  # bounded by train_rows; one target at a time
+        heuristics = fitted.column(t).to_numpy()
+        votes = np.stack([*(heuristics // 3**j % 3 for j in range(k - 1)), fitted.column(f"given_{t}").to_numpy()], axis=1).astype(np.int64)
+        told = votes.any(axis=1)  # where all abstain there is nothing to learn from
+        w, b = fit_scorer(fitted.column(f"f_{t}").filter(pa.array(told)), models[t].posterior(votes[told]))
         scorers[t] = w.astype(np.float32), b
+        del fitted, heuristics
 
     @F.pandas_udf("struct<low_quality: double, toxic: double, rejected: boolean>")
     def score(texts: pd.Series) -> pd.DataFrame:

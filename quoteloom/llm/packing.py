@@ -51,36 +51,79 @@ def vocabulary_tokens(docs: DataFrame, vocabulary: str, pattern: str, id_col: st
 def fitted(sizes: Sequence[int], lengths: Sequence[int], price: Callable[[int], float] = cost) -> list[tuple[int, int]]:
     """(bin, offset) of every piece; no piece is over the longest length. Pieces come longest first, ties by position.
 
-    A piece goes to the open bin it leaves least room in. Where none has room, the permitted length that costs least per token
-    it can still get is opened. This is done once for every longest length to open where shorter pieces allow it, and the
-    cheapest outcome after downsizing is taken, so the lengths are weighed together.
+    A piece goes to the open bin it leaves least room in. Where none has room, a permitted length is opened: in one trial for
+    every length that one (a longer piece: the next that holds it), in the others, one for every longest length to open, that
+    which costs least per token it can still get. Bins of a trial are merged while a merged, downsized bin costs less than its
+    two parts, and the cheapest outcome of all is taken, so the lengths are weighed together.
     """
     lengths = sorted(lengths)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    best: tuple[float, list[tuple[int, int]]] | None = None
+    best: tuple[float, list[int]] | None = None
     for longest in lengths:
-        placed, bins, room = [(0, 0)] * len(sizes), [], []  # bins: [capacity, used]; room: sorted (left, bin)
-        waiting = sum(sizes)
-        for i in order:
-            s = sizes[i]
-            at = bisect_left(room, (s, -1))
-            if at < len(room):
-                left, b = room.pop(at)
-            else:
-                fits = [x for x in lengths if x >= s]
-                capacity = min([x for x in fits if x <= longest] or fits[:1], key=lambda x: (price(x) / max(1, min(x, waiting)), x))
-                b, left = len(bins), capacity
-                bins.append([capacity, 0])
-            placed[i] = (b, bins[b][1])
-            bins[b][1] += s
-            waiting -= s
-            if left > s:
-                insort(room, (left - s, b))
-        total = sum(price(downsized(used, lengths)) for _, used in bins)
-        if best is None or total < best[0]:
-            best = total, placed
+        for fixed in (True, False):
+            home, used, room = [0] * len(sizes), [], []  # room: sorted (left, bin)
+            waiting = sum(sizes)
+            for i in order:
+                s = sizes[i]
+                at = bisect_left(room, (s, -1))
+                if at < len(room):
+                    left, b = room.pop(at)
+                else:
+                    fits = [x for x in lengths if x >= s]
+                    some = [x for x in fits if x <= longest] or fits[:1]
+                    left = some[-1] if fixed else min(some, key=lambda x: (price(x) / max(1, min(x, waiting)), x))
+                    b = len(used)
+                    used.append(0)
+                home[i] = b
+                used[b] += s
+                waiting -= s
+                if left > s:
+                    insort(room, (left - s, b))
+            into, total = merged(used, lengths, price)
+            if best is None or total < best[0]:
+                best = total, [into[b] for b in home]
     assert best is not None
-    return best[1]
+    numbers: dict[int, int] = {}
+    filled: list[int] = []
+    placed = [(0, 0)] * len(sizes)
+    for i in order:
+        b = numbers.setdefault(best[1][i], len(filled))
+        if b == len(filled):
+            filled.append(0)
+        placed[i] = (b, filled[b])
+        filled[b] += sizes[i]
+    return placed
+
+
+def merged(used: Sequence[int], lengths: Sequence[int], price: Callable[[int], float]) -> tuple[list[int], float]:
+    """(the bin each bin goes into, cost of all) when bins are merged with those that save most, fullest first.
+
+    For every length a bin could have, the fullest bin that still fits is a candidate, so a round takes a search per length.
+    """
+    paid = {u: price(downsized(u, lengths)) for u in set(used)}
+    into, total = list(range(len(used))), sum(paid[u] for u in used)
+    todo = sorted((u, b) for b, u in enumerate(used))
+    while todo:
+        u, b = todo.pop()
+        best: tuple[float, int] | None = None
+        for length in lengths:
+            at = bisect_left(todo, (length - u + 1, -1)) - 1
+            if length > u and at >= 0:
+                both = u + todo[at][0]
+                saved = price(downsized(u, lengths)) + price(downsized(todo[at][0], lengths)) - price(downsized(both, lengths))
+                if saved > 1e-9 and (best is None or saved > best[0]):
+                    best = saved, at
+        if best is not None:
+            v, other = todo.pop(best[1])
+            into[other] = b
+            total -= best[0]
+            insort(todo, (u + v, b))
+    for b in range(len(into)):
+        at = b
+        while into[at] != at:
+            at = into[at]
+        into[b] = at
+    return into, total
 
 
 def downsized(used: int, lengths: Sequence[int]) -> int:

@@ -23,6 +23,8 @@ FIELDS = 8
 #: A template recurs when it stands in at least so many documents and documents times tokens reach the weight: a short line
 #: meets itself by chance, a long one does not.
 MIN_DOCS, MIN_WEIGHT = 2, 20
+#: Parts over which the occurrences of a frequent line or template are spread.
+SALTS = 16
 _VARIABLE, _DIGIT = re.compile(r"\S*[0-9]\S*"), re.compile("[0-9]")
 MARK = "<*>"
 
@@ -32,9 +34,14 @@ def allowed(n_tokens: int) -> int:
     return min(2, n_tokens // 5)
 
 
-def tokens_of(line: str) -> list[str]:
-    """Tokens of a line; those that hold a digit are variable."""
-    return (_VARIABLE.sub(MARK, line) if _DIGIT.search(line) else line).split()
+def tokens_of(line: str) -> tuple[list[str], bool]:
+    """(tokens of a line, whether it is a row of data). Tokens that hold a digit are variable; in a row of data, where less than
+    a third of the tokens is fixed, they are its content, so all stay and the row equals only rows of the same values."""
+    if not _DIGIT.search(line):
+        return line.split(), False
+    masked = _VARIABLE.sub(MARK, line).split()
+    data = 3 * (len(masked) - masked.count(MARK)) < len(masked)
+    return (line.split() if data else masked), data
 
 
 def key_of(tokens: list[str]) -> int:
@@ -42,7 +49,7 @@ def key_of(tokens: list[str]) -> int:
 
 
 def parsed(tokens: list[str], depth: int = DEPTH) -> tuple[int, list[int]]:
-    """(leaf, hashes of the fields) of a line's tokens."""
+    """(leaf, hashes of the fields) of a line's tokens; with a depth of all tokens there are no fields."""
     n = len(tokens)
     leaf = _signed(xxhash.xxh64_intdigest(f"{n} " + " ".join(tokens[:depth])))
     m = min(FIELDS, n - depth)
@@ -68,10 +75,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for i, t in zip(ids, texts, strict=True):
             seen = set()
             for line in (t or "").split("\n"):
-                tokens = tokens_of(line)
+                tokens, data = tokens_of(line)
                 if tokens and (key := key_of(tokens)) not in seen:
                     seen.add(key)
-                    leaf, f = parsed(tokens)
+                    leaf, f = parsed(tokens, len(tokens) if data else DEPTH)
                     who.append(i)
                     n.append(len(tokens))
                     leaves.append(leaf)
@@ -146,34 +153,51 @@ def _template_links(distinct: DataFrame) -> DataFrame:
     return met.filter("b is not null").select("leaf", "a", "b").union(edges.join(firsts, ["leaf", "g"]).filter("a != b").select("leaf", "a", "b")).distinct()
 
 
-def templates(occ: DataFrame) -> DataFrame:
+def distinct_lines(occ: DataFrame) -> DataFrame:
+    """``leaf``, ``key``, ``n`` (tokens), ``fields`` and ``rows`` (occurrences) of every distinct line."""
+    return occ.groupBy("leaf", "key").agg(F.first("n").alias("n"), F.first("fields").alias("fields"), F.count("*").alias("rows"))
+
+
+def templates(occ: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
     """``leaf``, ``key``, ``root`` of the lines that share a template with another line; the root names the template."""
-    distinct = occ.groupBy("leaf", "key").agg(F.first("n").alias("n"), F.first("fields").alias("fields"))
+    distinct = distinct_lines(occ) if distinct is None else distinct
     # most leaves hold one line and need no look
-    shared = occ.groupBy("leaf").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).filter("_a != _b").select("leaf")
-    distinct = distinct.join(shared, "leaf", "left_semi")
+    shared = distinct.groupBy("leaf").agg(F.count("*").alias("_n")).filter("_n > 1").select("leaf")
     # a node is leaf and key in one number; both are kept, so equal numbers of two leaves stay apart
-    found = cut_lineage(_template_links(distinct))
+    found = cut_lineage(_template_links(distinct.join(shared, "leaf", "left_semi")))
     node = lambda k: F.struct(F.col("leaf").alias("leaf"), F.col(k).alias("key"))
     roots = components(found.select(node("a").alias("a"), node("b").alias("b")))
     return roots.select("node.leaf", "node.key", F.col("root.key").alias("root"))
 
 
+def _salted(occ: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Occurrences with the row that ``table`` has for them, spread over SALTS parts of each key by document; ``table`` holds few of the keys."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return occ.withColumn("_salt", salt).join(copies, [*on, "_salt"]).drop("_salt")
+
+
 def recurring(occ: DataFrame, min_docs: int = MIN_DOCS, min_weight: int = MIN_WEIGHT) -> DataFrame:
-    """``leaf``, ``root``, ``n_docs``, ``first_id`` of the templates that recur across documents, and occurrences with their template."""
-    shaped = occ.join(templates(occ), ["leaf", "key"], "left").withColumn("root", F.coalesce("root", "key"))
+    """``id``, ``leaf``, ``key``, ``root``, ``n_docs`` and ``first_id`` of the occurrences of templates that recur across documents.
+
+    Lines that occur once and share no template leave before occurrences are shuffled by template.
+    """
+    distinct = cut_lineage(distinct_lines(occ))
+    shared = templates(occ, distinct)
+    several = distinct.filter("rows > 1").select("leaf", "key").join(shared.select("leaf", "key"), ["leaf", "key"], "left_anti")
+    shaped = cut_lineage(_salted(occ.select("id", "n", "leaf", "key"), several.withColumn("root", F.col("key")).unionByName(shared), ["leaf", "key"]))
     # one row per document and template, then per template: both sums start before their shuffle
     per_doc = shaped.groupBy("leaf", "root", "id").agg(F.first("n").alias("n"))
     counted = per_doc.groupBy("leaf", "root").agg(F.count("*").alias("n_docs"), F.min("id").alias("first_id"), F.first("n").alias("n"))
     kept = counted.filter((F.col("n_docs") >= min_docs) & (F.col("n_docs") * F.col("n") >= min_weight))
-    return shaped.join(kept.select("leaf", "root", "n_docs", "first_id"), ["leaf", "root"])
+    return _salted(shaped, kept.select("leaf", "root", "n_docs", "first_id"), ["leaf", "root"])
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_weight: int = MIN_WEIGHT) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped but in the document with the smallest id; all columns stay.
 
     The text column changes, and two columns follow: ``lines_dropped`` and ``templates_dropped`` (replaced if they exist).
-    Blank lines stay. A null text stays null; rows that repeat an id lose the same lines; rows with a null id count as one
+    Blank lines stay, and so do rows of data (most tokens hold digits) unless the same values recur. A null text stays null; rows that repeat an id lose the same lines; rows with a null id count as one
     document, never the first one unless there is no other. A document may end up empty. An empty table gives an empty one.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -200,7 +224,7 @@ def _without(joined: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 out.append((None, 0))
                 continue
             gone, lines = set(ks), t.split("\n")
-            kept = [x for x in lines if not ((tokens := tokens_of(x)) and key_of(tokens) in gone)]
+            kept = [x for x in lines if not ((tokens := tokens_of(x)[0]) and key_of(tokens) in gone)]
             out.append(("\n".join(kept), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n"])
 

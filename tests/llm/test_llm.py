@@ -86,7 +86,7 @@ def test_lines_leave_what_differs_more(spark):
     assert lines.deduplicated(docs(spark, [])).count() == 0
 
 
-def test_line_templates_match_a_sequential_tree(spark):
+def test_line_templates_of_a_random_pool_against_all_pairs(spark):
     rng = random.Random(3)
     words = [f"{a}{b}" for a in "bdfgk" for b in "aeiou"]
     pool = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(40)]
@@ -102,24 +102,23 @@ def test_line_templates_match_a_sequential_tree(spark):
     occ = lines.occurrences(docs(spark, rows).select(F.col("doc_id").alias("id"), "text"))
     roots = {(r["leaf"], r["key"]): r["root"] for r in lines.templates(occ).collect()}
     seen = {(r["leaf"], r["key"]): r["fields"] for r in occ.collect()}
-    # brute force: per leaf and equal part of the fields, lines in order join the first leader they resemble
-    linked, nodes = [], sorted(seen)
-    parts = defaultdict(list)
-    for leaf, key in nodes:
-        f = seen[leaf, key]
-        for j in range(3):
-            cut = slice(len(f) * j // 3, len(f) * (j + 1) // 3)
-            parts[leaf, j, tuple(f[cut])].append(key)
-    for (leaf, _, _), keys in parts.items():
-        leaders = []
-        for key in keys:
-            first = next((x for x in leaders if sum(p != q for p, q in zip(seen[leaf, x], seen[leaf, key], strict=True)) <= 2), None)
-            if first is None:
-                leaders.append(key)
-            else:
-                linked.append(((leaf, first), (leaf, key)))
-    want = classes(nodes, linked)
-    assert {n: (n[0], roots.get(n, n[1])) for n in nodes} == want and len(roots) > 50
+    nodes = sorted(seen)
+    linked = [(x, y) for i, x in enumerate(nodes) for y in nodes[i + 1:] if x[0] == y[0] and sum(p != q for p, q in zip(seen[x], seen[y], strict=True)) <= 2]
+    assert {n: (n[0], roots.get(n, n[1])) for n in nodes} == classes(nodes, linked) and len(roots) > 50
+
+
+def test_rows_of_numbers_stay_unless_their_values_recur(spark):
+    rows = [(i, f"Table of values for the year\n{i} {i * 7} 45 78 90 {i + 3}\n1 2 3 4 5 6 7 8 9 10 11 12\n{i}.5 kg {i + 1} 22 {i + 9}") for i in range(7)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in lines.deduplicated(docs(spark, rows)).collect()}
+    for i, text in rows:
+        own = text.split("\n")
+        assert got[i] == (own if i == 0 else [own[1], own[3]])
+
+
+def test_a_template_in_all_documents_is_spread(spark):
+    rows = [(i, f"copied line {i} of many with enough words in it") for i in range(600)] + [(600 + i, "alone " + " ".join(chr(97 + i % 26) * 3 + str(i) for _ in range(4))) for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in lines.deduplicated(docs(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == "" for i in range(1, 600)) and all(got[i] == t for i, t in rows[600:])
 
 
 @pytest.mark.parametrize("batch", [10_000, 50])
@@ -195,6 +194,29 @@ def test_quality_label_model_finds_accuracies():
         assert abs(model.chances[j, 0, 2] / model.chances[j, 0, 1:].sum() - a) < 0.06
 
 
+def test_quality_estimates_the_given_labeller():
+    """Labels that are wrong three times in ten get that accuracy, and where they clash with the others the posterior follows the others."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(30_000) < 0.3
+    right = [0.93, 0.9, 0.9, 0.7]
+    votes = np.stack([np.where(rng.random(len(truth)) < a, np.where(truth, 1, 2), np.where(truth, 2, 1)) for a in right], axis=1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality.fit_labels(patterns, counts.astype(float))
+    assert abs(model.chances[3, 0, 2] / model.chances[3, 0, 1:].sum() - 0.7) < 0.08
+    assert model.posterior(np.array([[1, 1, 1, 2]]))[0] > 0.8 and model.posterior(np.array([[2, 2, 2, 1]]))[0] < 0.2
+
+
+def test_quality_fault_that_only_heuristics_see_reaches_the_scorer(spark):
+    """The labels know no repeated words; documents of them are without labels, and the heuristics that flag them train the scorer."""
+    rows, labels = _quality_rows(1200)
+    labels = [x for x in labels if x[0] % 10 != 1]
+    given_ = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["id"]: r for r in quality.scored(docs(spark, rows), given_).collect()}
+    caught = [got[i]["low_quality"] for i in range(1200) if i % 10 == 1]
+    clean = [got[i]["low_quality"] for i in range(1200) if i % 10 > 2]
+    assert sum(p >= quality.THRESHOLD for p in caught) >= 0.9 * len(caught) and sum(p >= quality.THRESHOLD for p in clean) <= 0.03 * len(clean)
+
+
 def test_quality_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.scored(docs(spark, ODD), none).count() == len(ODD)
@@ -483,6 +505,36 @@ def test_packing_is_no_dearer_than_one_length(sizes):
     assert total <= 1.25 * sum(packing.cost(packing.downsized(u, lengths)) for u in bins)
 
 
+def _partitions(sizes):
+    if not sizes:
+        yield []
+        return
+    for rest in _partitions(sizes[1:]):
+        yield [sizes[0], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], rest[i] + sizes[0], *rest[i + 1:]]
+
+
+def test_packing_is_near_the_cheapest_of_all_partitions():
+    rng = random.Random(11)
+    ratios = []
+    for _ in range(400):
+        lengths = rng.choice([(20, 40, 60), (10, 25, 70), (16, 32, 64, 128)])
+        sizes = [rng.randint(1, lengths[-1] if rng.random() < 0.5 else lengths[0]) for _ in range(rng.randint(1, 6))]
+        used = defaultdict(int)
+        for (b, _), s in zip(packing.fitted(sizes, lengths), sizes, strict=True):
+            used[b] += s
+        total = lambda bins: sum(packing.cost(packing.downsized(u, lengths)) for u in bins)
+        ratios.append(total(used.values()) / min(total(p) for p in _partitions(sizes) if max(p) <= lengths[-1]))
+    assert max(ratios) <= 1.25 and sum(ratios) / len(ratios) < 1.005
+
+
+def test_packing_of_null_counts_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "abc", None), (1, "abc", 0), (None, None, 5000), (2, "x", -4)], "doc_id long, text string, bin long")
+    got = packing.packed(df, tokens=F.col("bin"), lengths=(1024, 2048)).collect()
+    assert sorted(((r["id"] or -1), r["n_tokens"]) for r in got) == [(-1, 904), (-1, 2048), (-1, 2048), (1, 1), (1, 1), (2, 1)]
+
+
 # ------------------------------------------------------------------------------------------------- urls
 def test_url_rules_and_hosts(spark):
     urls = {1: "http://A.Example.NET/en/x?y", 2: "https://example.com/de/", 3: "http://x.org/fr/a#b", 4: "http://x.net", 5: "no url", 6: None, 7: "http://x.co.uk/", 8: "http://x.net/?q"}

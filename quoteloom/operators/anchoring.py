@@ -182,7 +182,7 @@ def best_near_page(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ the cascade
-def _norm_parts(parts: Column) -> Column:
+def norm_parts(parts: Column) -> Column:
     """norm() of each string of an array in one call."""
     mark = "\x01"
     return F.when(
@@ -202,7 +202,7 @@ def _cited(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
     places = F.transform("cited_variants", lambda t: F.call_function("locate", F.col("q"), t))
     first = F.get(F.filter(places, lambda at: at > 0), F.lit(0))
     labels_given = (F.coalesce("table_row", F.lit("")) != "") & (F.coalesce("table_col", F.lit("")) != "")
-    texts, rows, cols = (_norm_parts(F.col(f"cited_cells.{f}")) for f in ("text", "row_label", "col_label"))
+    texts, rows, cols = (norm_parts(F.col(f"cited_cells.{f}")) for f in ("text", "row_label", "col_label"))
     carrying = F.filter(F.arrays_zip("_text", "_row", "_col"), lambda c: F.contains(c["_text"], F.col("q")))
     labelled = F.transform(carrying, lambda c: F.struct(c["_row"].alias("row_label"), c["_col"].alias("col_label")))
     candidates = F.when(labels_given & (F.col("q") != "") & (F.size(carrying) > 0), labelled)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteloom.functions.text import as_col, blank, natural_key
+from quoteloom.operators.ordering import in_ranges, ranged_sums
 from quoteloom.vocab import ARTICLE_MOVES, ARTICLE_STATES, EXCLUDABLE, INTERMEDIATE, QUEUEABLE
 
 ARTICLE = ["project_id", "article_id"]
@@ -51,11 +52,16 @@ def state_counts(articles: DataFrame) -> DataFrame:
 
 
 def list_articles(articles: DataFrame, state: str | None = None, search: str = "") -> DataFrame:
-    """Articles in natural order of file name, by state and by part of the name without case."""
+    """Articles by state and by part of the name without case, with their ``rank`` in their project by natural order of file name.
+
+    Ranks come from sampled ranges, so no project is sorted in one task.
+    """
     out = articles if state is None else articles.filter(F.col("state") == state)
     if search:
         out = out.filter(F.lower("file_name").contains(search.lower()))
-    return out.withColumn("sort_key", natural_key("file_name")).orderBy("project_id", "sort_key", "file_name")
+    order = [F.col("sort_key"), F.col("file_name"), F.col("article_id")]
+    dealt = in_ranges(out.withColumn("sort_key", natural_key("file_name")), [F.col("project_id"), *order])
+    return ranged_sums(dealt, ["project_id"], order, {"rank": F.lit(1)}).drop("_range")
 
 
 # ------------------------------------------------------------------ lifecycle

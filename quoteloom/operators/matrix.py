@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quoteloom.functions.text import bind, norm
 from quoteloom.functions.typed import cell_text, is_null
-from quoteloom.operators.anchoring import initial_review_state, level_rank
-from quoteloom.operators.ordering import running_sum
+from quoteloom.operators.anchoring import initial_review_state, level_rank, norm_parts
+from quoteloom.operators.ordering import in_ranges, ranged_sums, running_sum
 from quoteloom.operators.rules import vocabulary_ok
 from quoteloom.vocab import ANCHOR_LEVELS, COVIDENCE, DOCUMENT, MARK_PRIORITY, REVIEWED, STUDY
 
@@ -135,11 +135,10 @@ def assemble_cells(rows: DataFrame, columns: DataFrame, anchors: DataFrame) -> D
         "inference": F.when(inference.isNotNull(), F.struct(
             F.coalesce(inference["regla_aplicada"], F.lit("")).alias("rule"), F.coalesce(inference["razonamiento"], F.lit("")).alias("reasoning"))),
     })
-    # one normalisation per cell: the quotes as one text, parted by a mark no text holds
-    quotes = F.split(norm(F.array_join(F.transform("evidence", lambda e: e["quote"]), "\x01")), "\x01")
+    quotes = F.coalesce(norm_parts(F.transform("evidence", lambda e: e["quote"])), F.array(F.lit("")))
     worst = F.array_max(F.transform("evidence", lambda e: level_rank(e["anchor"]["level"])))
     levels = F.array(*[F.lit(x) for x in ANCHOR_LEVELS])
-    return step.withColumn("_quotes", F.transform(quotes, lambda q: F.trim(q))).select(
+    return step.withColumn("_quotes", quotes).select(
         "project_id", "extraction_id", "doc_id", "row_pos",
         whole_number(F.col("fila")[STUDY]).alias("study"), whole_number(F.col("fila")[DOCUMENT]).alias("document"),
         F.lit("EXTRAIDA").alias("origin"), "key", "position", "value",
@@ -276,17 +275,27 @@ def mark_priority(c: Column) -> Column:
 
 
 def review_queue(marked: DataFrame) -> DataFrame:
-    """Cells still to review, most urgent mark first, then by row and column."""
+    """Cells still to review, with their ``rank`` in their project: most urgent mark first, then by row and column.
+
+    Ranks come from sampled ranges of (project, order), so a project with most cells is dealt over many tasks and nothing is sorted as a whole.
+    """
     open_ = marked.filter(
         (F.col("origin") == "EXTRAIDA") & ~F.col("review_state").isin(REVIEWED)
         & (~is_null(F.col("value")) | (F.col("evidence_count") > 0)))
-    return open_.withColumn("priority", mark_priority(F.col("mark"))).orderBy("priority", "project_id", "study", "position")
+    return _ranked(open_.withColumn("priority", mark_priority(F.col("mark"))), ["priority", "study", "position", "key"])
+
+
+def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``rank``, the place of a row in its project by ``order``."""
+    by = [F.col(c) for c in order]
+    dealt = in_ranges(rows, [F.col("project_id"), *by])
+    return ranged_sums(dealt, ["project_id"], by, {"rank": F.lit(1)}).drop("_range")
 
 
 def pending_cells(marked: DataFrame) -> DataFrame:
-    """Cells the keyboard walks through, in reading order: extracted, not reviewed, not inherited."""
+    """Cells the keyboard walks through, with their ``rank`` in reading order: extracted, not reviewed, not inherited."""
     open_ = marked.filter((F.col("origin") == "EXTRAIDA") & ~F.col("review_state").isin(REVIEWED) & (F.col("mark") != "gris"))
-    return open_.orderBy("project_id", "study", "position")
+    return _ranked(open_, ["study", "position", "key"])
 
 
 def related_inferences(cells: DataFrame, inferences: DataFrame, trace_fields: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from quoteloom.functions.text import join_lines, norm, numbers_in, unescape, wor
 from quoteloom.operators import anchoring, documents as docs, passages
 from quoteloom.plans.derived import BLOCKS, EVIDENCE, ITEMS, blocks, evidence, items, pages, shown_blocks, sql_norm, stored_blocks
 from quoteloom.plans.registry import Tables, query
-from quoteloom.sources.converter import converter_items, converter_pages, rejected_outputs
+from quoteloom.session import cut_lineage, shared_folder
+from quoteloom.sources.converter import converter_items, converter_pages, read_converter_folder, rejected_outputs
+from quoteloom.sources.sinks import write_files
 
 
 # ------------------------------------------------------------------ blocks
@@ -23,14 +25,22 @@ def blocks_from_items(t: Tables) -> DataFrame:
                             F.round("rect.y1", 2).alias("y1"), F.sha2("text", 256).alias("text_hash"), "text_norm", "is_table", "is_image")
 
 
-@query("converter_output", f"""WITH {ITEMS}, known AS (SELECT DISTINCT project_id, doc_id FROM items)
-SELECT i.project_id, i.doc_id, count(*) AS items, sum(length(line))::BIGINT AS chars FROM items i GROUP BY ALL""")
+@query("converter_output", f"""WITH {ITEMS}, widths AS (SELECT project_id, doc_id, sum(width_pt) AS width FROM
+  (SELECT DISTINCT project_id, doc_id, page_idx, 595.0 + 10.0 * (page_idx % 3) AS width_pt FROM items) GROUP BY ALL)
+SELECT i.project_id, i.doc_id, count(*) AS items, sum(length(line))::BIGINT AS chars, CAST(round(any_value(width), 2) AS DOUBLE) AS width FROM items i JOIN widths USING (project_id, doc_id) GROUP BY ALL""")
 def converter_output(t: Tables) -> DataFrame:
-    """Items written to converter JSON and read back."""
-    its = items(t)
-    body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("page_idx", "type", "bbox", F.col("line").alias("text")).alias("i")))), lambda x: x["i"]))
-    raw = its.groupBy("project_id", "doc_id").agg(body.alias("content_list")).withColumn("middle", F.lit('{"pdf_info": [{"page_idx": 0, "page_size": [595.0, 842.0]}]}'))
-    return converter_items(raw).groupBy("project_id", "doc_id").agg(F.count("*").alias("items"), F.sum(F.char_length("text")).alias("chars"))
+    """Items and page sizes written as the converter's two files in a folder for each document, and the folders read back."""
+    its, folder = items(t), shared_folder(t.spark)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.struct("page_idx", "type", "bbox", F.col("line").alias("text")).alias("i"))))
+    page = F.struct("page_idx", F.array(595.0 + 10.0 * (F.col("page_idx") % 3), F.lit(842.0)).alias("page_size"))
+    whole = its.groupBy("project_id", "doc_id").agg(
+        F.to_json(F.transform(ordered, lambda x: x["i"])).alias("content_list"), F.to_json(F.struct(F.collect_set(page).alias("pdf_info"))).alias("middle"))
+    parts = F.explode(F.array(*(F.struct(F.lit(f"{n}.json").alias("file"), F.col(n).alias("content")) for n in ("content_list", "middle"))))
+    write_files(whole.select("project_id", "doc_id", parts.alias("p")).select(F.concat_ws("/", "project_id", "doc_id", "p.file").alias("path"), "p.content"), folder)
+    raw = cut_lineage(read_converter_folder(t.spark, folder))
+    read = converter_items(raw).groupBy("project_id", "doc_id").agg(F.count("*").alias("items"), F.sum(F.char_length("text")).alias("chars"))
+    widths = converter_pages(raw).groupBy("project_id", "doc_id").agg(F.round(F.sum("width_pt"), 2).alias("width"))
+    return read.join(widths, ["project_id", "doc_id"])
 
 
 @query("converter_rejects", """SELECT lang AS project_id, CAST(doc_id AS VARCHAR) AS doc_id,

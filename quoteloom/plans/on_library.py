@@ -12,9 +12,10 @@ from quoteloom.session import shared_folder
 from quoteloom.sources import codebooks as codebook_files
 from quoteloom.sources import files as file_sources
 from quoteloom.sources import logs, runs, sinks
+from quoteloom.sources.sinks import write_files
 from quoteloom.streaming import events as ev
 from quoteloom.streaming import stateful
-from quoteloom.streaming.run import drain
+from quoteloom.streaming.run import drain, in_micro_batches
 
 NOW = "2024-01-20 12:00:00"
 
@@ -45,6 +46,34 @@ def load_counts(t: Tables) -> DataFrame:
     return library.outcome_counts(file_sources.load_outcomes(_files(t)))
 
 
+def _written_files(t: Tables) -> str:
+    """The documents as files in one folder for each language."""
+    folder = shared_folder(t.spark)
+    content = F.concat(F.when(F.col("n_chars") >= 200, "%PDF").otherwise("TEXT"), F.col("text"))
+    name = F.concat((F.col("doc_id") % 40).cast("string"), F.lit(". Doc "), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    write_files(t.documents.select(F.concat_ws("/", "lang", name).alias("path"), content.alias("content")), folder)
+    return folder
+
+
+@query("folder_files", f"""WITH {_FILES}, named AS (SELECT project_id, sha256, min(file_name) AS name FROM f WHERE is_pdf GROUP BY ALL)
+SELECT f.project_id, file_name, document, CASE WHEN NOT is_pdf THEN 'error' WHEN file_name = name THEN 'loaded' ELSE 'duplicate' END AS outcome,
+  CASE WHEN is_pdf AND file_name <> name THEN name END AS duplicate_of FROM f LEFT JOIN named x ON x.project_id = f.project_id AND x.sha256 = f.sha256""")
+def folder_files(t: Tables) -> DataFrame:
+    """The documents written as files, and the folder loaded."""
+    files = file_sources.load_folder(t.spark, _written_files(t))
+    return file_sources.load_outcomes(files).select("project_id", "file_name", "document", "outcome", "duplicate_of")
+
+
+@query("folder_stream", f"""WITH {_FILES} SELECT f.project_id, CASE WHEN NOT is_pdf THEN 'error' WHEN arrival = a THEN 'loaded' ELSE 'duplicate' END AS outcome, count(*) AS n
+FROM f LEFT JOIN firsts x ON x.project_id = f.project_id AND x.sha256 = f.sha256 GROUP BY ALL""")
+def folder_stream(t: Tables) -> DataFrame:
+    """The same folder as a stream of three or four micro-batches; which of the copies comes first is left to their order."""
+    folder, out = _written_files(t), shared_folder(t.spark)
+    files = file_sources.stream_folder(t.spark, folder, at_once=1 + t.documents.count() // 3)
+    file_sources.load_stream(files, f"{out}/ledger", f"{out}/state").awaitTermination()
+    return library.outcome_counts(file_sources.ledger_outcomes(t.spark, f"{out}/ledger"))
+
+
 @query("catalogue_duplicates", f"""WITH {_FILES}, before AS (SELECT project_id, sha256, min(file_name) AS name FROM f WHERE is_pdf AND arrival % 2 = 0 GROUP BY ALL)
 SELECT f.project_id, count(*) FILTER (b.name IS NOT NULL) AS known, count(*) FILTER (b.name IS NULL) AS "new" FROM f LEFT JOIN before b ON b.project_id = f.project_id AND b.sha256 = f.sha256 WHERE is_pdf GROUP BY ALL""")
 def catalogue_duplicates(t: Tables) -> DataFrame:
@@ -108,10 +137,10 @@ def state_counts(t: Tables) -> DataFrame:
     return library.state_counts(_articles(t))
 
 
-@query("listed_articles", f"""WITH {_ARTICLES} SELECT project_id, article_id, file_name, 'src' || lpad(length(regexp_extract(file_name, 'src(\\d+)', 1))::varchar, 10, '0') || regexp_extract(file_name, 'src(\\d+)', 1) || '_' || lpad('1', 10, '0') || regexp_extract(file_name, '_(\\d)', 1) || '.pdf' AS sort_key
-FROM a WHERE state = 'LISTO' AND contains(file_name, 'c1')""")
+@query("listed_articles", f"""WITH {_ARTICLES} SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY sort_key, file_name, article_id) AS rank FROM (SELECT project_id, article_id, file_name, 'src' || lpad(length(regexp_extract(file_name, 'src(\\d+)', 1))::varchar, 10, '0') || regexp_extract(file_name, 'src(\\d+)', 1) || '_' || lpad('1', 10, '0') || regexp_extract(file_name, '_(\\d)', 1) || '.pdf' AS sort_key
+FROM a WHERE state = 'LISTO' AND contains(file_name, 'c1'))""")
 def listed_articles(t: Tables) -> DataFrame:
-    return library.list_articles(_articles(t), "LISTO", "C1").select("project_id", "article_id", "file_name", "sort_key")
+    return library.list_articles(_articles(t), "LISTO", "C1").select("project_id", "article_id", "file_name", "sort_key", "rank")
 
 
 @query("illegal_moves", f"WITH {_MOVES} SELECT * FROM problems WHERE problem IS NOT NULL")
@@ -453,30 +482,24 @@ def written_tables(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ streams over the event and document tables
 @query("stream_dedup", """SELECT lang AS project_id, count(DISTINCT sha256(text)) AS files FROM documents GROUP BY ALL""")
 def stream_dedup(t: Tables) -> DataFrame:
-    files = t.stream("documents").select(F.col("lang").alias("project_id"), library.fingerprint("text").alias("sha256"))
-    return drain(ev.dedup_files(files)).groupBy("project_id").agg(F.count("*").alias("files"))
-
-
-def _stream_moves(t: Tables) -> DataFrame:
-    """Changes as a stream: the course of each article comes from a stored table, as a change log would give it."""
-    folder = shared_folder(t.spark)
-    moves = _moves(t)
-    moves.write.parquet(f"{folder}/moves")
-    return t.spark.readStream.schema(moves.schema).parquet(f"{folder}/moves")
+    """Copies within 30 days of the first file; a file arrives a second after the one before it, so none comes later here."""
+    files = t.stream("documents").select(
+        F.col("lang").alias("project_id"), library.fingerprint("text").alias("sha256"), F.timestamp_seconds("doc_id").alias("arrived"))
+    return drain(ev.dedup_files(files, "30 days")).groupBy("project_id").agg(F.count("*").alias("files"))
 
 
 @query("stream_lifecycle", f"WITH {_MOVES} SELECT * FROM problems")
 def stream_lifecycle(t: Tables) -> DataFrame:
-    return drain(stateful.lifecycle_stream(_stream_moves(t)))
+    """Changes in five micro-batches, up to ten minutes out of order; a change is a second after the one before it, the first after the start of time."""
+    moves = _moves(t).withColumn("at", F.timestamp_seconds(F.col("seq") + 1))
+    return drain(stateful.lifecycle_stream(in_micro_batches(moves, "at", 5, 600), "10 minutes"))
 
 
 @query("stream_review", f"WITH {_ACTS} SELECT project_id, study, key, seq, action, refusal FROM judged")
 def stream_review(t: Tables) -> DataFrame:
-    folder = shared_folder(t.spark)
-    acts = actions(t)
-    acts.write.parquet(f"{folder}/actions")
-    stream = t.spark.readStream.schema(acts.schema).parquet(f"{folder}/actions")
-    return drain(stateful.review_stream(stream, cells(t), columns(t))).select("project_id", "study", "key", "seq", "action", "refusal")
+    """Actions in five micro-batches, up to ten minutes out of order."""
+    acts = in_micro_batches(actions(t).withColumn("at", F.timestamp_seconds(F.col("seq") + 1)), "at", 5, 600)
+    return drain(stateful.review_stream(acts, cells(t), columns(t), "10 minutes")).select("project_id", "study", "key", "seq", "action", "refusal")
 
 
 _LATEST = "(SELECT epoch_us(max(ts)) // 1000 FROM events)"
@@ -499,30 +522,39 @@ def stream_log_monitor(t: Tables) -> DataFrame:
     return drain(ev.log_monitor(logs.stream_log(t.spark, f"{folder}/log")), "complete")
 
 
-@query("outbox_delivery", """SELECT CASE event_type WHEN 'view' THEN 'ArticuloCargado' WHEN 'click' THEN 'LibroPublicado' WHEN 'error' THEN 'ExtraccionCompletada' ELSE 'Otro' END AS name, count(*) FILTER (NOT (event_type = 'error' AND event_id % 4 = 0)) AS delivered,
-  count(*) FILTER (event_type = 'error' AND event_id % 4 = 0) AS dead FROM events GROUP BY ALL""")
+@query("outbox_delivery", """WITH e AS (SELECT event_id, CAST(user_id % 5 AS VARCHAR) AS project_id, CASE event_type WHEN 'view' THEN 'ArticuloCargado' WHEN 'click' THEN 'LibroPublicado' WHEN 'error' THEN 'ExtraccionCompletada' ELSE 'Otro' END AS name,
+  event_type = 'error' AND event_id % 4 = 0 AS bad, user_id FROM events)
+SELECT name, count(*) FILTER (NOT bad) AS delivered, count(*) FILTER (bad) AS dead,
+  CASE name WHEN 'LibroPublicado' THEN (SELECT count(*) FROM (SELECT DISTINCT project_id, user_id % 50 AS row_no FROM e WHERE project_id IN (SELECT project_id FROM e WHERE name = 'LibroPublicado')))
+    WHEN 'ExtraccionCompletada' THEN (SELECT count(DISTINCT (project_id, user_id)) FROM e WHERE name = 'ExtraccionCompletada' AND NOT bad) ELSE 0 END AS written
+FROM e GROUP BY name""")
 def outbox_delivery(t: Tables) -> DataFrame:
-    """Events delivered by name; one handler refuses every fourth, which ends as a dead letter after its tries."""
+    """Events to their handlers. A published codebook marks the rows of its project as outdated; a completed coding puts its cells
+    into the matrix, where every fourth is refused and ends as a dead letter after its tries."""
     folder = shared_folder(t.spark)
     kind = F.col("event_type")
     name = F.when(kind == "view", "ArticuloCargado").when(kind == "click", "LibroPublicado").when(kind == "error", "ExtraccionCompletada").otherwise("Otro")
 
     def outbox(df: DataFrame) -> DataFrame:
-        return df.select(F.col("event_id").alias("id"), (F.col("user_id") % 5).cast("string").alias("project_id"), name.alias("name"), F.col("props").alias("data"))
+        return df.select(F.col("event_id").alias("id"), (F.col("user_id") % 5).cast("string").alias("project_id"), name.alias("name"), F.col("user_id").cast("string").alias("data"))
 
-    def fine(df: DataFrame) -> DataFrame:
-        return df.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+    rows = t.read("events").select((F.col("user_id") % 5).cast("string").alias("project_id"), (F.col("user_id") % 50).alias("row_no")).distinct()
 
-    def picky(df: DataFrame) -> DataFrame:
-        bad = F.col("id") % 4 == 0
-        return df.select("id", (~bad).alias("ok"), F.when(bad, "ValueError: no").alias("error"))
+    def cells_of(events: DataFrame) -> DataFrame:
+        return events.select("id", "project_id", F.col("data").cast("long").alias("study"), F.lit("Muestra").alias("key"), F.col("id").alias("value"))
 
-    handlers = {"ArticuloCargado": fine, "LibroPublicado": fine, "ExtraccionCompletada": picky}
+    handlers = {
+        "LibroPublicado": ev.outdated_handler(rows, f"{folder}/outdated"),
+        "ExtraccionCompletada": ev.cells_handler(cells_of, ["project_id", "study", "key"], f"{folder}/cells", refuse=F.col("id") % 4 == 0, reason="ValueError: no"),
+    }
     ev.start_outbox(outbox(t.stream("events")), handlers, f"{folder}/outcomes", f"{folder}/state", once=True).awaitTermination()
-    outcomes = t.spark.read.schema("id bigint, ok boolean, error string").option("recursiveFileLookup", True).parquet(f"{folder}/outcomes")
+    outcomes = ev.outcomes(t.spark, f"{folder}/outcomes")
     state = ev.delivery_state(outbox(t.read("events")), outcomes)
     dead = ev.dead_letters(state).select("id").withColumn("dead", F.lit(True))
-    return state.join(dead, "id", "left").groupBy("name").agg(F.count_if("delivered").alias("delivered"), F.count_if(F.coalesce("dead", F.lit(False))).alias("dead"))
+    written = t.spark.createDataFrame([("LibroPublicado", ev.written(t.spark, f"{folder}/outdated", ["project_id", "row_no"]).count()),
+                                       ("ExtraccionCompletada", ev.written(t.spark, f"{folder}/cells", ["project_id", "study", "key"]).count())], "name string, written long")
+    counted = state.join(dead, "id", "left").groupBy("name").agg(F.count_if("delivered").alias("delivered"), F.count_if(F.coalesce("dead", F.lit(False))).alias("dead"))
+    return counted.join(written, "name", "left").select("name", "delivered", "dead", F.coalesce("written", F.lit(0)).alias("written"))
 
 
 @query("pending_events", """SELECT event_id AS id FROM events WHERE event_type <> 'view' AND NOT (event_type = 'error') ORDER BY event_id LIMIT 50""")

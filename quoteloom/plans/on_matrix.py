@@ -291,15 +291,20 @@ def rows_of_articles(t: Tables) -> DataFrame:
     return matrix.rows_of_articles(cells(t), chosen)
 
 
-@query("review_queue", f"""WITH {_MARKED} SELECT project_id, study, key, CASE mark WHEN 'rojo' THEN 0 WHEN 'naranja' THEN 1 WHEN 'amarillo-borde' THEN 2 WHEN 'amarillo' THEN 3 ELSE 4 END::BIGINT AS priority
+_PLACE = "CASE key " + " ".join(f"WHEN '{k}' THEN {i}" for k, i, _ in _KEYS) + " END"
+_URGENCY = "CASE mark WHEN 'rojo' THEN 0 WHEN 'naranja' THEN 1 WHEN 'amarillo-borde' THEN 2 WHEN 'amarillo' THEN 3 ELSE 4 END"
+
+
+@query("review_queue", f"""WITH {_MARKED} SELECT project_id, study, key, {_URGENCY}::BIGINT AS priority, row_number() OVER (PARTITION BY project_id ORDER BY {_URGENCY}, study, {_PLACE}) AS rank
 FROM marked WHERE origin = 'EXTRAIDA' AND (v IS NOT NULL OR evidence_count > 0)""")
 def review_queue(t: Tables) -> DataFrame:
-    return matrix.review_queue(_marked(t)).select("project_id", "study", "key", "priority")
+    return matrix.review_queue(_marked(t)).select("project_id", "study", "key", "priority", "rank")
 
 
-@query("pending_cells", f"WITH {_MARKED} SELECT project_id, study, key FROM marked WHERE origin = 'EXTRAIDA' AND mark <> 'gris'")
+@query("pending_cells", f"""WITH {_MARKED} SELECT project_id, study, key, row_number() OVER (PARTITION BY project_id ORDER BY study, {_PLACE}) AS rank
+FROM marked WHERE origin = 'EXTRAIDA' AND mark <> 'gris'""")
 def pending_cells(t: Tables) -> DataFrame:
-    return matrix.pending_cells(_marked(t)).select("project_id", "study", "key")
+    return matrix.pending_cells(_marked(t)).select("project_id", "study", "key", "rank")
 
 
 @query("related_inferences", f"""WITH {ORDERS} SELECT project_id, study, k AS key, 'Precio (celda)' AS name FROM m, (SELECT unnest(['Precio', 'Fecha']) AS k)

@@ -10,11 +10,12 @@ from quoteloom.functions.typed import variant_cell
 from quoteloom.schemas import TRACE
 
 
-def read_coded_files(spark: SparkSession, path: str, project_id: str) -> DataFrame:
-    """One text per file; the file name is the extraction."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+def read_coded_files(spark: SparkSession, path: str, project_id: str | None = None) -> DataFrame:
+    """One text per file; the file name is the extraction. Without a project the folder of a file names it."""
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", project_id is None).option("pathGlobFilter", "*.json").text(path)
+    project = F.element_at(F.split("_metadata.file_path", "/"), -2) if project_id is None else F.lit(project_id)
     name = F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.json$", "")
-    return texts.select(F.lit(project_id).alias("project_id"), name.alias("extraction_id"), name.alias("doc_id"), F.col("value").alias("content"))
+    return texts.select(project.alias("project_id"), name.alias("extraction_id"), name.alias("doc_id"), F.col("value").alias("content"))
 
 
 def coded_rows(outputs: DataFrame, tolerant: bool = False) -> DataFrame:

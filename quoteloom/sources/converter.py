@@ -11,15 +11,16 @@ DOC = ["project_id", "doc_id"]
 INCOMPLETE = "la salida del conversor no trae content_list.json y middle.json"
 
 
-def read_converter_folder(spark: SparkSession, path: str, project_id: str) -> DataFrame:
-    """One row per document folder with the two texts; a missing file leaves its text null."""
+def read_converter_folder(spark: SparkSession, path: str, project_id: str | None = None) -> DataFrame:
+    """One row per document folder with the two texts; a missing file leaves its text null. Without a project the folder above names it."""
     texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
     parts = F.split(F.col("_metadata.file_path"), "/")
-    named = texts.select("value", F.element_at(parts, -2).alias("doc_id"), F.element_at(parts, -1).alias("_file"))
-    return named.groupBy("doc_id").agg(
+    project = F.element_at(parts, -3) if project_id is None else F.lit(project_id)
+    named = texts.select("value", project.alias("project_id"), F.element_at(parts, -2).alias("doc_id"), F.element_at(parts, -1).alias("_file"))
+    return named.groupBy(*DOC).agg(
         F.max(F.when(F.col("_file") == "content_list.json", F.col("value"))).alias("content_list"),
         F.max(F.when(F.col("_file") == "middle.json", F.col("value"))).alias("middle"),
-    ).withColumn("project_id", F.lit(project_id))
+    )
 
 
 def complete_outputs(raw: DataFrame) -> DataFrame:

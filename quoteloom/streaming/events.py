@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -12,7 +12,9 @@ from quoteloom.operators.usage import level_rank
 from quoteloom.session import cut_lineage
 from quoteloom.vocab import MAX_DELIVERY_ATTEMPTS, OUTBOX_BATCH
 
-Handler = Callable[[DataFrame], DataFrame]
+#: Takes its events and the name of the delivery, under which a repeated call replaces what the first one wrote.
+Handler = Callable[[DataFrame, str], DataFrame]
+OUTCOME = "id bigint, ok boolean, error string"
 
 
 # ------------------------------------------------------------------ outbox
@@ -40,52 +42,114 @@ def route(events: DataFrame, name: str) -> DataFrame:
 def deliver(events: DataFrame, handlers: dict[str, Handler]) -> DataFrame:
     """Outcome of each event: that of its handler, or delivered when nobody listens to its name.
 
-    A handler maps its events to (id, ok, error).
+    A handler maps its events and the name of their delivery to (id, ok, error).
     """
-    listened = list(handlers)
-    out = events.filter(~F.col("name").isin(listened)).select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+    out = _unheard(events, handlers)
     for name, handler in handlers.items():
-        out = out.unionByName(handler(route(events, name)).select("id", "ok", "error"))
+        out = out.unionByName(handler(route(events, name), name).select("id", "ok", "error"))
     return out
 
 
-def delivered_apart(events: DataFrame, handlers: dict[str, Handler], folder: str) -> None:
-    """Writes the outcomes of a batch, each handler by itself: one that raises fails its own events, with its message."""
-    others = events.filter(~F.col("name").isin(list(handlers)))
-    others.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")).write.mode("overwrite").parquet(folder)
+def _unheard(events: DataFrame, handlers: dict[str, Handler]) -> DataFrame:
+    others = events.filter(~F.coalesce(F.col("name").isin(list(handlers)), F.lit(False)))
+    return others.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+
+
+def _complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a table was written to its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def delivered_apart(events: DataFrame, handlers: dict[str, Handler], folder: str, delivery: str) -> DataFrame:
+    """Outcomes of a batch, each handler by itself: one that raises fails its own events, with its message.
+
+    ``folder`` is the ledger: the outcomes of a handler are a table in it, complete once the handler has done its work. A batch that
+    starts over finds it and does not call the handler again. One that was stopped before is called with the same ``delivery``,
+    under which it replaces what it wrote.
+    """
+    spark = events.sparkSession
+    every = _unheard(events, handlers)
     for name, handler in handlers.items():
-        own = route(events, name)
-        if own.isEmpty():
-            continue
-        try:
-            # kept aside first, so that a handler that fails halfway leaves no outcome twice
-            outcome = cut_lineage(handler(own).select("id", "ok", "error"))
-        except Exception as e:  # noqa: BLE001 - whatever a handler raises is the outcome of its events
-            outcome = own.select("id", F.lit(False).alias("ok"), F.lit(f"{type(e).__name__}: {e}"[:2000]).alias("error"))
-        outcome.write.mode("append").parquet(folder)
+        own, entry = route(events, name), f"{folder}/{name}"
+        if not _complete(spark, entry):
+            if own.isEmpty():
+                continue
+            try:
+                outcome = cut_lineage(handler(own, f"{delivery}-{name}").select("id", "ok", "error"))
+            except Exception as e:  # noqa: BLE001 - whatever a handler raises is the outcome of its events
+                outcome = own.select("id", F.lit(False).alias("ok"), F.lit(f"{type(e).__name__}: {e}").alias("error"))
+            outcome.write.mode("overwrite").parquet(entry)
+        every = every.unionByName(spark.read.schema(OUTCOME).parquet(entry))
+    return every
 
 
 def start_outbox(events: DataFrame, handlers: dict[str, Handler], outcomes_path: str, checkpoint: str, retries: int = MAX_DELIVERY_ATTEMPTS,
                  once: bool = False) -> StreamingQuery:
-    """Delivers each micro-batch, retries its failures, and appends every outcome to a table.
+    """Delivers each micro-batch, retries its failures, and writes every outcome to a table by batch and attempt.
 
-    Delivery is at least once: handlers write by key (see ``matrix.upsert``), so a repeated batch is harmless.
+    The checkpoint repeats a batch that was stopped under its number, so with the ledger every delivery takes effect once.
     """
 
-    def one_batch(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        open_ = batch
+    def one_batch(batch: DataFrame, number: int) -> None:
+        spark, open_ = batch.sparkSession, batch
         for attempt in range(retries):
-            folder = f"{outcomes_path}/batch={_}/attempt={attempt}"
-            # a batch that starts over after a crash finds attempts of its first run: each is replaced, by nothing if not needed
-            delivered_apart(open_, handlers, folder)
-            failed = spark.read.parquet(folder).filter("not ok").select("id")
+            entry = f"batch={number}/attempt={attempt}"
+            found = delivered_apart(open_, handlers, f"{outcomes_path}/ledger/{entry}", f"{number}-{attempt}")
+            if not _complete(spark, f"{outcomes_path}/done/{entry}"):
+                found.write.mode("overwrite").parquet(f"{outcomes_path}/done/{entry}")
+            failed = spark.read.schema(OUTCOME).parquet(f"{outcomes_path}/done/{entry}").filter("not ok").select("id")
+            if failed.isEmpty():
+                return
             open_ = batch.join(failed, "id", "left_semi")
 
     writer = events.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def outcomes(spark: SparkSession, outcomes_path: str) -> DataFrame:
+    """All outcomes that ``start_outbox`` wrote: id, ok, error."""
+    return spark.read.schema(OUTCOME).option("recursiveFileLookup", True).parquet(f"{outcomes_path}/done")
+
+
+# ------------------------------------------------------------------ handlers
+def outdated_handler(rows: DataFrame, path: str) -> Handler:
+    """A published codebook: the matrix rows of its project become outdated. ``rows``: project_id and the key of a row."""
+
+    def handle(events: DataFrame, delivery: str) -> DataFrame:
+        hit = rows.join(events.select("project_id").distinct(), "project_id", "left_semi")
+        hit.write.mode("overwrite").parquet(f"{path}/delivery={delivery}")
+        return events.select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+
+    return handle
+
+
+def cells_handler(cells_of: Callable[[DataFrame], DataFrame], keys: list[str], path: str, refuse: Column | None = None, reason: str = "") -> Handler:
+    """A completed coding: its cells go into the matrix by key, the last event of a key winning. ``cells_of`` gives id, keys and values.
+
+    Events for which ``refuse`` holds fail with ``reason`` and write nothing.
+    """
+
+    def handle(events: DataFrame, delivery: str) -> DataFrame:
+        bad = F.coalesce(refuse, F.lit(False)) if refuse is not None else F.lit(False)
+        new = cells_of(events.filter(~bad))
+        values = [c for c in new.columns if c not in keys]
+        last = new.groupBy(*keys).agg(F.max_by(F.struct(*values), "id").alias("_v")).select(*keys, "_v.*")
+        last.write.mode("overwrite").parquet(f"{path}/delivery={delivery}")
+        return events.select("id", (~bad).alias("ok"), F.when(bad, F.lit(reason)).alias("error"))
+
+    return handle
+
+
+def written(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What the handlers wrote, one row per key: that of the largest id, where there are ids."""
+    every = spark.read.option("mergeSchema", True).parquet(path)
+    if "id" not in every.columns:
+        return every.select(*keys).distinct()
+    values = [c for c in every.columns if c not in (*keys, "delivery")]
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*values), "id").alias("_v")).select(*keys, "_v.*")
+
+
 # ------------------------------------------------------------------ stateless and built-in stateful streams
 def dedup_files(files: DataFrame, within: str | None = None, event_time: str = "arrived") -> DataFrame:
     """First file of each fingerprint per project. With ``within`` the state is bounded, and a copy that comes later

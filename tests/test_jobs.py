@@ -1,5 +1,6 @@
 """Jobs with sequential meaning against a plain sequential pass."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from quoteloom.schemas import EVIDENCE, TRACE
 from quoteloom.sources.coded import coded_rows
 from quoteloom.sources.sheets import typed_text
 from quoteloom.streaming import stateful
-from quoteloom.streaming.run import drain
+from quoteloom.streaming.run import ROCKSDB, drain, in_micro_batches
 from quoteloom.session import shared_folder
 
 CELL = "struct<kind:string,num:double,str:string>"
@@ -73,13 +74,14 @@ def test_review_equals_a_sequential_fold_in_batch_and_stream(spark):
     states = {r.study: (r.review_state, r.value.str) for r in review.reviewed_cells(cells, judged).collect()}
     refused = {r.seq for r in review.refused(judged).collect()}
     changes = {r.seq: (r.old_value.str, r.new_value.str) for r in review.history(cells, judged).collect()}
-    folder = shared_folder(spark)
-    actions.write.parquet(folder + "/a")
-    streamed = drain(stateful.review_stream(spark.readStream.schema(actions.schema).parquet(folder + "/a"), cells, columns)).collect()
+    timed = actions.withColumn("at", F.timestamp_seconds("seq"))
+    streamed = drain(stateful.review_stream(in_micro_batches(timed, "at", 4, 50), cells, columns, "50 seconds")).collect()
     for s, o in opened.items():
         state, value, bad, history = _sequential([a for a in log if a["study"] == s], o)
         assert states[s] == (state, value)
         assert bad == {a["seq"] for a in log if a["study"] == s} & refused == {r.seq for r in streamed if r.study == s and r.refusal}
+        last = max((r for r in streamed if r.study == s), key=lambda r: r.seq, default=None)
+        assert last is None or (last.review_state, json.loads(last.value_json)) == (state, value)
         assert {q: (a, b) for q, a, b in history} == {q: c for q, c in changes.items() if q in {h[0] for h in history}}
 
 
@@ -101,10 +103,47 @@ def test_lifecycle_stream_equals_batch(spark):
         "project_id string, article_id string, seq long, new_state string, reason string, step string")
     batch = {(r.article_id, r.seq, r.problem) for r in library.illegal_moves(moves).collect()}
     assert batch == {("a", 4, "Transición inválida: CONVIRTIENDO → EN_COLA"), ("b", 0, "Transición inválida: - → LISTO"), ("b", 1, "Excluir exige motivo")}
+    timed = moves.withColumn("at", F.timestamp_seconds(10 * F.col("seq")))
+    out = drain(stateful.lifecycle_stream(in_micro_batches(timed, "at", 3, 40), "40 seconds"))
+    assert out.count() == moves.count() and {(r.article_id, r.seq, r.problem) for r in out.filter("problem is not null").collect()} == batch
+
+
+def test_lifecycle_state_waits_and_ends(spark):
+    """Changes that come in the wrong order over micro-batches, and what is left in the state store once time has passed."""
+    folder = shared_folder(spark)
+    ddl = "project_id string, article_id string, seq long, new_state string, reason string, step string, at timestamp"
+    day = 24 * 3600
+    batches = [[("b", 1, "CONVIRTIENDO", 20), ("a", 1, "CONVIRTIENDO", 30)], [("b", 0, "NUEVO", 10), ("a", 0, "NUEVO", 5)], [("c", 0, "NUEVO", 2 * day)], [("~", 0, "NUEVO", 80 * day)], [("~", 1, "NUEVO", 81 * day)]]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([("P", a, s, n, None, None, t) for a, s, n, t in rows], ddl.replace("at timestamp", "at long")).withColumn("at", F.timestamp_seconds("at"))
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/m")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/m")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(setting, ROCKSDB)
+    query = stateful.lifecycle_stream(stream, "1 minute").writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start()
+    query.awaitTermination()
+    out = {(r.article_id, r.seq): (r.prev_state, r.problem) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert out[("a", 1)] == out[("b", 1)] == ("NUEVO", None) and out[("a", 0)] == out[("b", 0)] == out[("c", 0)] == (None, None)
+    held = lambda name: {r.article_id for r in spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", name).load().select("key.article_id").collect()}
+    assert held("state") <= {"~"} and held("waiting") <= {"~"} and held("clock") <= {"~"}
+    spark.conf.unset(setting)
+
+
+def test_idle_state_is_removed(spark):
     folder = shared_folder(spark)
-    moves.write.parquet(folder + "/m")
-    out = drain(stateful.lifecycle_stream(spark.readStream.schema(moves.schema).parquet(folder + "/m"))).filter("problem is not null").collect()
-    assert {(r.article_id, r.seq, r.problem) for r in out} == batch
+    batches = [[("a", 0, False), ("b", 10, False)], [("b", 100, True)], [("z", 4 * 3600, False)], [("z", 5 * 3600, True)], [("z", 9 * 3600, True)]]
+    for rows in batches:
+        df = spark.createDataFrame([("P", e, t, f) for e, t, f in rows], "project_id string, extraction_id string, ts long, finished boolean").withColumn("ts", F.timestamp_seconds("ts"))
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/p")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/p")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(setting, ROCKSDB)
+    query = stateful.idle_stream(stream).writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start()
+    query.awaitTermination()
+    assert {r.extraction_id for r in spark.read.parquet(f"{folder}/out").collect()} == {"a", "z"} - ({"z"} if spark.read.parquet(f"{folder}/out").filter("extraction_id = 'z'").isEmpty() else set())
+    left = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "seen").load().select("key.extraction_id").collect()
+    assert {r.extraction_id for r in left} <= {"z"}
+    spark.conf.unset(setting)
 
 
 def test_coded_rows_and_double_coding(spark):

@@ -24,7 +24,7 @@ LABELLERS = {
 #: Buckets of the hashed features, and at most about so many rows to fit on (a sample by hash beyond that); one in UNLABELLED of
 #: them has no given label where there are both.
 DIMENSIONS, TRAIN_ROWS, UNLABELLED = 1 << 17, 12_000, 4
-#: Votes that the prior of the given labeller is worth. Its accuracy is estimated like that of the others.
+#: Votes that the prior of the given labeller is worth at least. Its accuracy is estimated like that of the others.
 GIVEN = 200.0
 #: Words from which the measures of a text tell something.
 LONG = 20
@@ -97,8 +97,8 @@ def votes_of(r: Read) -> tuple[np.ndarray, np.ndarray]:
     hits = np.bincount(r.owner, insult, r.n)
     kinds = np.unique(np.stack([r.owner[insult], r.h[insult].view(np.int64)]), axis=1)[0] if insult.any() else np.zeros(0, np.int64)
     distinct = np.bincount(kinds, minlength=r.n)
-    # a labeller that only ever spoke against documents could not be told from noise
-    toxic = np.stack([either(hits >= 1, long), either(distinct >= 2, long)], axis=1)
+    # that no word of the list stands there says little: most toxic texts use others
+    toxic = np.stack([either(hits >= 1, np.zeros(r.n, bool)), either(distinct >= 2, np.zeros(r.n, bool))], axis=1)
     return low, toxic
 
 
@@ -155,14 +155,18 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> Label
     """Expectation-maximisation over distinct vote patterns and how many documents have them (at most 3 to the number of labellers)."""
     k = votes.shape[1]
     # before any data, as if ten votes had been seen: a heuristic that looks for one fault sees it in a third of the bad documents
-    # and in one good document of twenty; a given label is right 99 times in 100, as if GIVEN had been seen
-    weight = np.where(np.arange(k) == k - 1, GIVEN, 10.0)
+    # and in one good document of twenty; a given label is right 99 times in 100, as if as many had been seen as there are, GIVEN at
+    # least (with less, labels that the one-sided heuristics cannot confirm drift away from their class)
+    weight = np.where(np.arange(k) == k - 1, max(GIVEN, float(counts[votes[:, -1] > 0].sum())), 10.0)
     finds = np.where(np.arange(k) == k - 1, 0.99, 0.35)
     spares = np.where(np.arange(k) == k - 1, 0.99, 0.95)
     prior = np.empty((k, 2, 3))
     for j in range(k):
         prior[j, 0] = weight[j] * np.array([0.5, 0.5 * (1 - spares[j]), 0.5 * spares[j]])
         prior[j, 1] = weight[j] * np.array([0.5, 0.5 * finds[j], 0.5 * (1 - finds[j])])
+    # where all are silent there is nothing to estimate from, and such documents would only repeat the share of bad ones
+    counts = counts * votes.any(axis=1)
+    one_sided = ~(votes == 2).any(axis=0) & (votes == 1).any(axis=0)
     model = LabelModel(0.1, prior / prior.sum(axis=2, keepdims=True))
     for _ in range(rounds):
         p = model.posterior(votes)
@@ -175,6 +179,8 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> Label
         # that a labeller abstains says nothing about the class: most do so for want of words or labels
         silent = chances[:, :, 0].sum(axis=1) / chances.sum(axis=(1, 2))
         spoken = chances[:, :, 1:] / chances[:, :, 1:].sum(axis=2, keepdims=True)
+        # where a labeller only ever says bad, how often it does so in each class tells, instead of its right among its wrong
+        spoken = np.where(one_sided[:, None, None], chances[:, :, 1:] / chances.sum(axis=2, keepdims=True), spoken)
         chances = np.concatenate([np.broadcast_to(silent[:, None, None], (k, 2, 1)), (1 - silent)[:, None, None] * spoken], axis=2)
         model = LabelModel(float(np.clip((counts * p).sum() / max(counts.sum(), 1), 1e-4, 0.5)), np.clip(chances, 1e-6, 1))
     return model

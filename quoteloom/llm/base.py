@@ -13,10 +13,15 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from quoteloom.session import cut_lineage
 
 
+#: Rows of an Arrow batch that are Python values at a time.
+ROWS = 1024
+
+
 def map_batches(df: DataFrame, fn: Callable[..., Sequence], schema: str) -> DataFrame:
     """Calls ``fn`` with one Python list per column of ``df`` and takes one list (or Arrow array) per column of ``schema``.
 
-    Batches stream through the task, so memory is that of one Arrow batch; whole texts are passed.
+    Batches stream through the task, and ROWS rows at a time become Python values, so memory is that of one Arrow batch and those
+    rows; whole texts are passed.
     """
     struct = _parse_datatype_string(schema)
     assert isinstance(struct, StructType)
@@ -24,8 +29,8 @@ def map_batches(df: DataFrame, fn: Callable[..., Sequence], schema: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(*(c.to_pylist() for c in batch.columns))
+            for at in range(0, batch.num_rows, ROWS):
+                out = fn(*(c.to_pylist() for c in batch.slice(at, ROWS).columns))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, struct)

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -216,17 +215,22 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _without(joined: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Adds ``_ql_text``, the text without the lines whose key is in ``_ql_keys`` (null where there are none), and ``_ql_n``, how many went."""
 
-    @F.pandas_udf("struct<text: string, n: int>")
-    def cut(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        out = []
+    kind = pa.struct([("text", pa.string()), ("n", pa.int32())])
+
+    @F.arrow_udf("struct<text: string, n: int>")
+    def cut(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        # one text at a time is a Python value
+        out, counts = [], []
         for t, ks in zip(texts, keys, strict=True):
-            if ks is None or not t:
-                out.append((None, 0))
+            if not ks.is_valid or not t.is_valid:
+                out.append(None)
+                counts.append(0)
                 continue
-            gone, lines = set(ks), t.split("\n")
+            gone, lines = set(ks.as_py()), t.as_py().split("\n")
             kept = [x for x in lines if not ((tokens := tokens_of(x)[0]) and key_of(tokens) in gone)]
-            out.append(("\n".join(kept), len(lines) - len(kept)))
-        return pd.DataFrame(out, columns=["text", "n"])
+            out.append("\n".join(kept))
+            counts.append(len(lines) - len(kept))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(counts, pa.int32())], fields=list(kind))
 
     return joined.withColumn("_ql_cut", cut(F.col("_ql_row")[text_col], F.col("_ql_keys"))).select(
         "_ql_row", "_ql_keys", F.col("_ql_cut.text").alias("_ql_text"), F.col("_ql_cut.n").alias("_ql_n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -218,9 +219,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 # ------------------------------------------------------------------ by a similarity of shingle sets
-#: Shingles that stand in so many of about SAMPLE documents come last in the order of every set, so that prefixes rarely hold
-#: them. Any order gives the same links; the sample and the limit only decide how evenly the work is spread.
-SAMPLE, HOT_DOCS, HOT_LIMIT = 4096, 5, 1 << 16
+#: Sets are ordered by how many texts hold a shingle, then by hash. Counted are the shingles in the prefixes of all texts, under the
+#: order so far, PASSES times; those of fewer than HOT_TEXTS texts, and all but the HOT_LIMIT most frequent, count as rare. Any order
+#: gives the same links; these numbers only decide how many pairs have to be looked at and what each task is sent (16 bytes a shingle).
+HOT_TEXTS, HOT_LIMIT, PASSES = 16, 1 << 18, 2
+
+
+class Order(NamedTuple):
+    """Frequent shingles, by hash, with the number of texts found to hold them."""
+
+    tokens: np.ndarray
+    counts: np.ndarray
 
 
 def _shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -228,28 +237,19 @@ def _shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def _hot_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Sorted hashes of the shingles that many documents of a sample hold. ``docs``: id, text."""
-    one_in = max(1, docs.count() // SAMPLE)
-    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select("text")
-    sets = map_batches(sample, lambda texts: ([_shingle_set(t, shingle).view(np.int64) for t in texts],), "s array<long>")
-    counted = sets.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") >= HOT_DOCS)
-    return np.sort(np.array([r["s"] for r in counted.orderBy(F.desc("count"), "s").limit(HOT_LIMIT).collect()], np.int64).view(np.uint64))
-
-
-def prefix(shingles: np.ndarray, hot: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a sorted set by (hot, hash): of two sets that are similar enough, each has one of the other's among them."""
+def prefix(shingles: np.ndarray, order: Order, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set by (count, hash): of two sets that are similar enough, each has one of the other's among them."""
     n = len(shingles)
     held = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
-    if len(hot):
-        last = hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] == shingles
-        shingles = np.concatenate([shingles[~last], shingles[last]])
+    if n and len(order.tokens):
+        at = np.minimum(np.searchsorted(order.tokens, shingles), len(order.tokens) - 1)
+        counts = np.where(order.tokens[at] == shingles, order.counts[at], 0)
+        shingles = shingles[np.argsort(counts, kind="stable")]
     return shingles[:held]
 
 
-def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _prefixes(docs: DataFrame, shingle: int, similarity: float, order: Order) -> DataFrame:
     """``docs``: id, text. Gives id, ``same`` (digest of the words, equal for equal word sequences), ``size`` of the set and its ``prefix``."""
-    hot = _hot_shingles(docs, shingle)
 
     def run(ids, texts):
         same, sizes, heads = [], [], []
@@ -257,12 +257,25 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             s = _shingle_set(t, shingle)
             same.append(xxhash.xxh3_128_digest(b" ".join(words(t))))
             sizes.append(len(s))
-            heads.append(prefix(s, hot, similarity).view(np.int64))
+            heads.append(prefix(s, order, similarity).view(np.int64))
         return ids, same, sizes, heads
 
     return map_batches(docs, run, "id long, same binary, size int, prefix array<long>")
 
 
+def _reordered(marked: DataFrame, order: Order) -> Order:
+    """``order`` with the shingles that the prefixes of many different texts hold put behind the rarer ones."""
+    texts = marked.groupBy("same").agg(F.first("prefix").alias("prefix"))
+    counted = texts.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_TEXTS)
+    found = counted.orderBy(F.desc("n"), "s").limit(HOT_LIMIT).toArrow()
+    tokens = np.concatenate([order.tokens, found.column("s").to_numpy().view(np.uint64)])
+    counts = np.concatenate([order.counts, found.column("n").to_numpy()])
+    most = np.lexsort((-counts, tokens))  # of a shingle counted twice, the larger number
+    most = most[np.r_[True, np.diff(tokens[most]) != 0]] if len(most) else most
+    most = most[np.sort(np.argsort(-counts[most], kind="stable")[:HOT_LIMIT])]  # by hash still
+    return Order(tokens[most], counts[most])
+
+
 def _in_company(rows: DataFrame) -> DataFrame:
     """The rows (token, node, size, pos) whose token another row has too; no group is held, only its last row."""
 
@@ -299,7 +312,8 @@ def _pairs_of(rows: DataFrame, leader: Column | None, similarity: float) -> Data
     else:
         first = rows.groupBy("token").agg(F.max(F.struct("lead", "node", "size", "pos", "root")).alias("_f"))
         other, on = first.select("token", "_f.node", "_f.size", "_f.pos", "_f.root"), F.lit(True)
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & on
+    near = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & near & on
     both = rows.alias("x").join(other.alias("y"), met).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), _possible(similarity).alias("_p"),
         (F.col("x.size") + F.col("y.size")).alias("_s"), F.greatest("x.size", "y.size").alias("_g"))
@@ -350,7 +364,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     are equal; null ids and repeated ids are handled as by ``near_duplicates`` (of rows that repeat an id, equal or not, one text counts).
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = cut_lineage(_prefixes(named, shingle, similarity))
+    order = Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for _ in range(PASSES):
+        order = _reordered(_prefixes(named, shingle, similarity, order), order)
+    marked = cut_lineage(_prefixes(named, shingle, similarity, order))
     reps = cut_lineage(marked.groupBy("same").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).filter("node is not null"))
     roots = components(_set_links(reps, named, shingle, similarity))
     classes = reps.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))

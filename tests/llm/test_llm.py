@@ -626,3 +626,26 @@ def test_main_text_without_article():
 @given(st.text(alphabet="<>/pa=\"'! -scriptbody&;amp", max_size=80))
 def test_main_text_reads_anything(text):
     extraction.main_text(text)
+
+
+def test_frequent_shingles_come_last_in_every_set(spark):
+    """Documents of one passage and words of their own: the passage leaves their prefixes, and the order is the same for all sets."""
+    rng = random.Random(33)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage, *("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(60))])) for i in range(60)]
+    named = docs(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    order = none = simhash.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    shared = simhash._shingle_set(" ".join(passage), 5)
+    for _ in range(simhash.PASSES):
+        order = simhash._reordered(simhash._prefixes(named, 5, 0.8, order), order)
+        assert list(order.tokens) == sorted(set(order.tokens.tolist())) and (order.counts >= simhash.HOT_TEXTS).all()
+
+    def pairs(o):
+        held = np.unique(np.concatenate([simhash.prefix(simhash._shingle_set(t, 5), o, 0.8) for _, t in rows]), return_counts=True)[1]
+        return (held * (held - 1) // 2).sum()
+
+    # shingles that enter the prefixes in the last pass are not counted, so some frequent ones stay: only the direction is claimed
+    assert np.isin(order.tokens, shared).all() and pairs(none) > pairs(order)
+    got = simhash.similar(docs(spark, rows)).collect()
+    assert all(r["component_id"] == r["id"] for r in got) and len(got) == 60
+    assert simhash._reordered(simhash._prefixes(named.limit(0), 5, 0.8, none), none).tokens.size == 0

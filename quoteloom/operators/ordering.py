@@ -35,13 +35,13 @@ def carry_last(df: DataFrame, keys: list[str], position: str, value: Column, nam
     bucket = F.floor(F.col(position) / F.lit(width))
     marked = df.withColumn("_bucket", bucket).withColumn("_value", value)
     ends = marked.filter("_value is not null").groupBy(*keys, "_bucket").agg(F.max_by("_value", position).alias("_end"))
-    buckets = marked.select(*keys, "_bucket").distinct().join(ends, [*keys, "_bucket"], "left")
+    buckets = marked.select(*keys, "_bucket").distinct().join(ends.hint("merge"), [*keys, "_bucket"], "left")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_base", F.last("_end", ignorenulls=True).over(before)).drop("_end")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     return (
         marked.withColumn("_near", F.last("_value", ignorenulls=True).over(inside))
-        .join(buckets, [*keys, "_bucket"])
+        .join(buckets.hint("merge"), [*keys, "_bucket"])
         .withColumn(name, F.coalesce("_near", "_base"))
         .drop("_bucket", "_value", "_near", "_base")
     )

@@ -376,5 +376,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose id is that of their class by ``similar``: one document of each group; rows that repeat that id stay together."""
-    firsts = similar(docs, id_col, text_col, shingle, similarity).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_ql_id")).distinct()
+    return _firsts(docs, id_col, similar(docs, id_col, text_col, shingle, similarity))
+
+
+def kept_by_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose id is that of their class by ``near_duplicates``; rows that repeat that id stay together."""
+    return _firsts(docs, id_col, near_duplicates(docs, id_col, text_col, shingle, radius))
+
+
+def _firsts(docs: DataFrame, id_col: str, classes: DataFrame) -> DataFrame:
+    firsts = classes.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_ql_id")).distinct()
     return docs.join(firsts, docs[id_col].eqNullSafe(F.col("_ql_id")), "left_semi")

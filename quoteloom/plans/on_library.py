@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quoteloom.operators import library, norms, usage
 from quoteloom.plans.on_matrix import _ACTS, actions, cells, columns
 from quoteloom.plans.registry import Tables, query
-from quoteloom.session import shared_folder
+from quoteloom.session import cut_lineage, shared_folder
 from quoteloom.sources import codebooks as codebook_files
 from quoteloom.sources import files as file_sources
 from quoteloom.sources import logs, runs, sinks
@@ -368,7 +368,8 @@ def quota_windows(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ codebooks: each document gives one
 def _books(t: Tables) -> DataFrame:
     """A codebook per document: its first words are column names, its length sets faults."""
-    words = F.slice(F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]+", " ")), " +"), lambda w: w != "")), 1, 6)
+    first = F.slice(F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]+", " ")), " +"), lambda w: w != "")), 1, 6)
+    words = F.col("words")
     defs = F.transform(words, lambda w, i: F.concat(
         F.lit('"'), w, F.lit('": {"posicion": '), F.when((F.col("n_chars") % 5 == 0) & (i == 1), 1).otherwise(i + 1).cast("string"), F.lit(', "letra_excel": "'), F.substring(F.lit("ABCDEF"), 1, 1),
         F.lit('", "encabezado_original": "'), F.upper(w), F.when((F.col("n_chars") % 7 == 0) & (i == 0), '"').otherwise('", "descripcion": "Columna trazabilidad.id_muestra que es null"'),
@@ -377,7 +378,14 @@ def _books(t: Tables) -> DataFrame:
     body = F.concat(F.lit('{"columnas": {'), F.array_join(defs, ", "), F.lit('}, "esquema_de_salida": {}, "vocabularios_controlados": {}, '), F.when(F.col("n_chars") % 3 > 0, '"validaciones_automaticas": [], ').otherwise(""),
                     F.lit('"trazabilidad_por_fila": {"campos": {"metodo_r": "cómo", "id_muestra": "cuál", "otro": "nada"}}, "como_se_construye_cada_fila": {"regla_para_abrir_una_fila_nueva": ["una", "dos"]}, '),
                     F.lit('"protocolo_de_extraccion": {"principios_de_veracidad": ["no inventar", "es null si falta"]}}'))
-    return t.documents.select(F.col("lang").alias("project_id"), F.col("doc_id").cast("string").alias("codebook_id"), F.col("n_chars"), F.when(F.size(words) >= 6, body).otherwise("{").alias("content"))
+    named = t.documents.select(F.col("lang").alias("project_id"), F.col("doc_id").cast("string").alias("codebook_id"), "n_chars", first.alias("words"))
+    return named.select("project_id", "codebook_id", "n_chars", F.when(F.size(words) >= 6, body).otherwise("{").alias("content"))
+
+
+def _stored_books(t: Tables) -> DataFrame:
+    """The sound codebooks as a stored table: what several branches read is derived from the documents once."""
+    told = _books(t).withColumn("sound", F.try_parse_json("content").isNotNull())  # a filter would spell the content out once more
+    return cut_lineage(told).filter("sound").drop("sound")
 
 
 _BOOKS = """w AS (SELECT lang AS project_id, CAST(doc_id AS STRING) AS codebook_id, doc_id, n_chars, list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g')), ' +'), lambda x: x <> '') AS l FROM documents),
@@ -435,7 +443,7 @@ def not_one_active(t: Tables) -> DataFrame:
   CASE WHEN i = 1 THEN 'entero' ELSE 'texto' END || '; obligatoria; nivel Documento', '', 'SI EL DATO NO ESTÁ', 'No indica', '', 'EJEMPLO (Kumar, 2022, verificado)', 'celda vacía', '',
   'Nota: el registro de trazabilidad es la hoja Trazabilidad que genera la skill (página, ubicación y cita de cada dato).')) AS note_hash FROM e WHERE NOT (n_chars % 7 = 0 AND i = 1)""")
 def header_notes(t: Tables) -> DataFrame:
-    sound = codebook_files.valid_json(_books(t))
+    sound = _stored_books(t)
     notes = norms.header_notes(sound).filter("note like '%Columna%'")
     return notes.select("project_id", "codebook_id", "key", F.sha2("note", 256).alias("note_hash"))
 
@@ -455,13 +463,13 @@ def codebook_protocol(t: Tables) -> DataFrame:
 
 @query("named_trace_fields", f"""WITH {_BOOKS}, e AS (SELECT *, unnest(k) AS key FROM b) SELECT project_id, codebook_id, key, 'metodo_r' AS field, 'cómo' AS description FROM e""")
 def named_trace_fields(t: Tables) -> DataFrame:
-    return norms.named_trace_fields(codebook_files.valid_json(_books(t)))
+    return norms.named_trace_fields(_stored_books(t))
 
 
 @query("rules_for_fields", f"""WITH {_BOOKS} SELECT project_id, codebook_id, f.field, f.rule FROM b, (VALUES ('número de filas', '["una","dos"]'), ('metodo_r', 'cómo'), ('ajeno', '{{"campos":{{"metodo_r":"cómo","id_muestra":"cuál","otro":"nada"}}}}')) f(field, rule)
 UNION ALL SELECT project_id, codebook_id, '=columna', 'usar metodo_r o id_muestra' FROM b""")
 def rules_for_fields(t: Tables) -> DataFrame:
-    books = codebook_files.valid_json(_books(t))
+    books = _stored_books(t)
     first = norms.column_entries(books).filter("c.posicion = 1").groupBy("project_id", "codebook_id").agg(F.min("key").alias("first"))
     named = F.explode(F.array(F.lit("número de filas"), F.lit("metodo_r"), F.lit("ajeno")))
     fields = books.select("project_id", "codebook_id", named.alias("field")).unionByName(first.select("project_id", "codebook_id", F.col("first").alias("field")))

@@ -3,8 +3,8 @@
 ``ratio`` is the normalised insert/delete similarity, 0 to 100. ``partial_ratio`` is the best ratio of the
 shorter string against any window of the longer one (windows cut at the ends included).
 
-All windows of all texts paired with one needle advance together: a bit vector per window holds a row of the
-LCS table (Hyyrö 2004), and one numpy step consumes one character of every window.
+One pass over the LCS grid of two strings gives the LCS of every window (semi-local LCS, Tiskin 2008). The grids of many
+pairs advance together, an antidiagonal of all of them in one numpy step.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from quoteloom.vocab import LABEL_THRESHOLD
 
-_MAX_WINDOWS = 1 << 15
+#: Strands that one step of the comb moves.
+_AT_ONCE = 1 << 15
 
 
 def _codes(s: str) -> np.ndarray:
@@ -47,112 +48,113 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if total == 0 else 100.0 * (1.0 - (total - 2 * lcs_length(a, b)) / total)
 
 
-def _window_lcs(table: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """LCS of each window with its needle. Windows come with the longest needles first."""
-    words = table.shape[1]
-    columns = [np.ascontiguousarray(table[:, k]) for k in range(words)]
-    rows = [np.full(starts.shape[0], ~np.uint64(0)) for _ in range(words)]
-    # windows still running at step j are a prefix, because lengths fall
-    running = np.searchsorted(-lengths, -np.arange(lengths[0] if lengths.shape[0] else 0), side="left")
-    for j, n in enumerate(running):
-        at = ids.take(starts[:n] + j)
-        carry = None
-        for k in range(words):
-            row = rows[k][:n]
-            mask = columns[k].take(at)
-            hit = row & mask
-            add = row + hit
-            if k + 1 < words:
-                over = add < row
-                if carry is not None:
-                    add = add + carry
-                    over |= add < carry
-                carry = over.astype(np.uint64)
-            elif carry is not None:
-                add = add + carry
-            rows[k][:n] = add | (row & ~mask)
-    out = np.zeros(starts.shape[0], dtype=np.int64)
-    for k in range(words):
-        out += np.bitwise_count(~rows[k] & keep[:, k])
-    return out
-
-
-def _needle_masks(needle: str, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of a needle, the places of each letter as bits, and the bits in use."""
-    code = _codes(needle)
-    letters, slot = np.unique(code, return_inverse=True)
-    masks = np.zeros((letters.shape[0], words), dtype=np.uint64)
-    place = np.arange(code.shape[0])
-    np.bitwise_or.at(masks, (slot, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
-    return letters, masks, np.bitwise_or.reduce(masks, axis=0)
+def _comb(needles: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strands of the LCS grids of all pairs at once (Tiskin 2008): a column per pair, a step per antidiagonal.
 
-
-def _score_chunk(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """Best window ratios of pairs ordered by falling needle length.
-
-    The LCS of two windows d places apart differs by at most d. So after every eighth window is scored, the windows
-    between are scored only where that bound still exceeds the best ratio of their pair.
+    A strand enters every row from the left (numbered from the last row up) and every column from above (numbered on from there).
+    Where characters agree two strands turn away from each other, elsewhere they cross unless they have crossed before. Returns the
+    strands that leave each row to the right and each column below.
+    """
+    m, n, pairs = needles.shape[0], texts.shape[0], needles.shape[1]
+    kind = np.uint16 if m + n <= 1 << 16 else np.uint32
+    upward = np.ascontiguousarray(needles[::-1])
+    right = np.repeat(np.arange(m, dtype=kind)[:, None], pairs, axis=1)
+    below = np.repeat(np.arange(m, m + n, dtype=kind)[:, None], pairs, axis=1)
+    equal, least = np.empty((min(m, n), pairs), bool), np.empty((min(m, n), pairs), kind)
+    for step in range(m + n - 1):
+        low, high = max(0, step - n + 1), min(m - 1, step)
+        h, v = right[m - 1 - high:m - low], below[step - high:step - low + 1]
+        same, new = equal[:h.shape[0]], least[:h.shape[0]]
+        np.equal(upward[m - 1 - high:m - low], texts[step - high:step - low + 1], out=same)
+        np.copyto(new, same.view(np.uint8))
+        np.negative(new, out=new)
+        np.bitwise_or(new, h, out=new)
+        np.minimum(new, v, out=new)
+        np.bitwise_xor(v, h, out=v)
+        np.bitwise_xor(v, new, out=v)
+        np.copyto(h, new)
+    return right[::-1], below
+
+
+def _best_offset(starts: np.ndarray, m: np.ndarray, n: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Best ratio of each pair over the windows that begin ``first`` to ``last`` places from the text's start (before it: cut there).
+
+    ``starts``: where the strand leaving below each place of the text came in from above, negative if it came from the left. A
+    window has as many characters outside the LCS as strands that come in and leave inside it.
     """
-    words = (len(pairs[0][0]) + 63) // 64
-    known: dict[str, tuple[np.ndarray, np.ndarray, int]] = {}
-    tables, size = [np.zeros((1, words), dtype=np.uint64)], 1
-    parts, keeps = [], []
-    for needle, text in pairs:
-        if needle not in known:
-            letters, masks, used = _needle_masks(needle, words)
-            known[needle] = (letters, used, size)
-            tables.append(masks)
-            size += masks.shape[0]
-        letters, used, first = known[needle]
-        code = _codes(text)
-        at = np.minimum(np.searchsorted(letters, code), letters.shape[0] - 1)
-        pad = np.zeros(len(needle) - 1, dtype=np.int64)
-        parts += [pad, np.where(letters[at] == code, at + first, 0), pad]
-        keeps.append(used)
-    table, ids, keep = np.concatenate(tables), np.concatenate(parts), np.array(keeps)
-    m = np.array([len(n) for n, _ in pairs])
-    n = np.array([len(t) for _, t in pairs])
-    counts = n + m - 1
-    owner = np.repeat(np.arange(len(pairs)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = np.repeat(np.cumsum(n + 2 * (m - 1)) - (n + 2 * (m - 1)), counts) + offset
-    real = np.minimum(offset + 1, np.minimum(m[owner], counts[owner] - offset))
-    total = m[owner] + real
-    top = np.zeros(len(pairs))
-    lcs = np.full(starts.shape[0], -1, dtype=np.int64)
-    stride = 8
-    todo = np.flatnonzero((offset % stride == 0) | (offset == counts[owner] - 1))
-    while True:
-        own = owner[todo]
-        got = _window_lcs(table, ids, starts[todo], m[own], keep[own])
-        lcs[todo] = got
-        np.maximum.at(top, own, 1.0 - (total[todo] - 2 * got) / total[todo])
-        if stride == 1:
-            return 100.0 * top
-        half = stride // 2
-        between = np.flatnonzero((offset % stride == half) & (lcs < 0))
-        bound = np.minimum(lcs[between - half] + half, np.minimum(m[owner[between]], real[between]))
-        # a window skipped here keeps its bound, which its own neighbours can use
-        lcs[between] = bound
-        todo = between[1.0 - (total[between] - 2 * bound) / total[between] > top[owner[between]]]
-        stride = half
+    places = np.arange(starts.shape[0])[:, None]
+    change = np.zeros((starts.shape[0] + int(m.max()) + 1, m.shape[0]), np.int32)
+    # a strand in at s and out at e lies in the windows from e - m + 1 to s; all are counted from -(m - 1)
+    counts = (starts >= 0) & (places < n) & (starts + m > places)
+    change[:starts.shape[0]] += counts
+    e, p = np.nonzero(counts)
+    change[starts[e, p] + m[p], p] -= 1
+    lost = np.cumsum(change, axis=0)
+    offset = np.arange(change.shape[0])[:, None] - (m - 1)
+    width = np.minimum(np.minimum(offset + m, m), n - offset)
+    real = (offset >= first) & (offset <= last) & (width > 0)
+    total = np.where(real, m + width, 1)
+    score = np.where(real, 1.0 - (total - 2 * (width - lost)) / total, 0.0)
+    return 100.0 * score.max(axis=0)
+
+
+def _codes_of(texts: list[str], size: int, pad: int, kind: type) -> np.ndarray:
+    """Texts as columns of character codes, filled up to ``size``."""
+    out = np.full((len(texts), size), pad, kind)
+    lengths = np.array([len(t) for t in texts])
+    out[np.arange(size) < lengths[:, None]] = _codes("".join(texts))
+    return np.ascontiguousarray(out.T)
+
+
+def _score_chunk(pieces: list[tuple[str, str, int, int, bool]]) -> np.ndarray:
+    """Best ratios of (needle, text, first, last window, whether windows of the needle count too)."""
+    needles, texts = [x[0] for x in pieces], [x[1] for x in pieces]
+    m, n = np.array([len(x) for x in needles]), np.array([len(x) for x in texts])
+    # codes that no string holds fill columns up; they differ between the sides, so they agree with nothing
+    kind, top = (np.uint16, 0xFFFE) if all(max(t) < "\ufffe" for t in (*needles, *texts)) else (np.uint32, 0x110000)
+    rows, columns = int(m.max()), int(n.max())
+    right, below = _comb(_codes_of(needles, rows, top, kind), _codes_of(texts, columns, top + 1, kind))
+    first, last = np.array([x[2] for x in pieces]), np.array([x[3] for x in pieces])
+    best = _best_offset(below.astype(np.int64) - rows, m, n, first, last)
+    both = np.flatnonzero([x[4] for x in pieces])
+    if both.size:
+        # seen from the needle, strands come in from the left, numbered from its first row
+        starts = rows - 1 - right[:, both].astype(np.int64)
+        best[both] = np.maximum(best[both], _best_offset(starts, n[both], m[both], 1 - n[both], m[both] - 1))
+    return best
 
 
 def best_windows(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """Best window ratio of each (needle, text); a text is at least as long as its needle, which is not empty."""
+    """Best window ratio of each (needle, text); a text is at least as long as its needle, which is not empty. Of two strings of
+    equal length, windows of either count."""
     out = np.zeros(len(pairs))
-    order = sorted(range(len(pairs)), key=lambda i: -len(pairs[i][0]))
+    pieces, owner = [], []
+    for i, (needle, text) in enumerate(pairs):
+        m, n = len(needle), len(text)
+        # a long text is taken in parts that share a needle's length, so each window lies whole in one
+        stride = n if n <= 8 * m else 4 * max(m, 16)
+        for at in range(0, n, stride):
+            end = n if at + stride >= n else at + stride + m - 1
+            pieces.append((needle, text[at:end], 0 if at else 1 - m, min(n - at, stride) - 1, m == n))
+            owner.append(i)
+    order = sorted(range(len(pieces)), key=lambda k: (len(pieces[k][0]) // 8, len(pieces[k][1])))
     chunk: list[int] = []
-    size = 0
-    for i in order:
-        windows = len(pairs[i][0]) + len(pairs[i][1])
-        if chunk and size + windows > _MAX_WINDOWS:
-            out[chunk] = _score_chunk([pairs[k] for k in chunk])
-            chunk, size = [], 0
-        chunk.append(i)
-        size += windows
+    rows = columns = cells = 0
+
+    def score() -> None:
+        np.maximum.at(out, [owner[k] for k in chunk], _score_chunk([pieces[k] for k in chunk]))
+
+    for k in order:
+        m, n = len(pieces[k][0]), len(pieces[k][1])
+        tall, wide = max(rows, m), max(columns, n)
+        # no more at once than stays near the processor, and few cells that only fill up
+        if chunk and ((len(chunk) + 1) * tall > _AT_ONCE or (len(chunk) + 1) * tall * wide > 1.5 * (cells + m * n)):
+            score()
+            chunk, tall, wide, cells = [], m, n, 0
+        chunk.append(k)
+        rows, columns, cells = tall, wide, cells + m * n
     if chunk:
-        out[chunk] = _score_chunk([pairs[k] for k in chunk])
+        score()
     return out
 
 
@@ -168,11 +170,8 @@ def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
             continue
         pairs.append((short, long_))
         rows.append(i)
-        if len(x) == len(y):
-            pairs.append((long_, short))
-            rows.append(i)
     if pairs:
-        np.maximum.at(out, rows, best_windows(pairs))
+        out[rows] = best_windows(pairs)
     return out
 
 

@@ -182,12 +182,10 @@ def rect_check(blocks: DataFrame, clips: DataFrame, ok_from: float = 90.0, head_
     )
     head = F.col("_plain") if head_chars is None else F.substr(F.col("_plain"), F.lit(1), F.lit(head_chars))
     cut = texts.withColumn("_head", head)
-    # a Python function is called on every row it is given, so only pairs of two texts are given to it
-    sides = cut.select(*BLOCK, "type", "_plain", "_head", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.coalesce(c, F.lit("")).alias("t")) for n, c in enumerate(("_clip", "_shifted"))))).alias("_o"))
-    some = (F.col("_head") != "") & (F.col("_o.t") != "")
-    scored = sides.filter(some).withColumn("_v", partial_ratio_udf("_head", "_o.t"))
-    every = scored.unionByName(sides.filter(~some).withColumn("_v", F.lit(0.0)))
-    both = every.groupBy(*BLOCK, "type", "_plain").agg(F.max(F.when(F.col("_o.n") == 0, F.col("_v"))).alias("_s"), F.max(F.when(F.col("_o.n") == 1, F.col("_v"))).alias("_c"))
+    # a row without two texts gives the Python function a null, which it does not score
+    given = {n: F.when((F.col("_head") != "") & (F.col(c) != ""), F.col("_head")) for n, c in (("_s", "_clip"), ("_c", "_shifted"))}
+    scored = cut.withColumns({"_s": partial_ratio_udf(given["_s"], "_clip"), "_c": partial_ratio_udf(given["_c"], "_shifted")})
+    both = scored.groupBy(*BLOCK, "type", "_plain").agg(F.max("_s").alias("_s"), F.max("_c").alias("_c"))
     empty = F.col("_plain") == ""
     return both.select(
         *BLOCK, "type",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.functions.canonical import response_objects
-from quoteloom.functions.text import join_lines, norm, numbers_in, unescape, word_count
+from quoteloom.functions.text import bind, join_lines, norm, numbers_in, unescape, word_count
 from quoteloom.operators import anchoring, documents as docs, passages
 from quoteloom.plans.derived import BLOCKS, EVIDENCE, ITEMS, blocks, evidence, items, pages, shown_blocks, sql_norm, stored_blocks
 from quoteloom.plans.registry import Tables, query
@@ -135,17 +135,17 @@ checked AS (SELECT project_id, CAST(doc_id AS VARCHAR) AS doc_id, 'b' || pos AS
 def _checked(t: Tables) -> DataFrame:
     """Whole documents as blocks of thirty words, one in seven of them a table."""
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    parts = t.documents.select(F.col("lang").alias("project_id"), F.col("doc_id").cast("string").alias("doc_id"), words.alias("ws")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 30).cast("int"))).alias("pos"))
-    b = parts.select("project_id", "doc_id", F.concat(F.lit("b"), F.col("pos").cast("string")).alias("block_id"), F.when(F.col("pos") % 7 == 3, "tabla").otherwise("parrafo").alias("type"),
-                     F.array_join(F.slice("ws", F.col("pos") * 30 + 1, F.lit(30)), " ").alias("text"), "pos")
-    plain = norm(F.regexp_replace("text", r"</?su[bp]>|\$[^$]*\$", " "))
+    # blocks are cut out before rows are repeated, so that no repetition carries the whole document
+    cut = bind(words, lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / 30).cast("int")), lambda i: F.array_join(F.slice(ws, i * 30 + 1, F.lit(30)), " ")))
+    parts = t.documents.select(F.col("lang").alias("project_id"), F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(cut).alias("pos", "text"))
+    b = parts.select("project_id", "doc_id", F.concat(F.lit("b"), F.col("pos").cast("string")).alias("block_id"), F.when(F.col("pos") % 7 == 3, "tabla").otherwise("parrafo").alias("type"), "text", "pos")
+    plain, n = F.col("_plain"), F.col("_n")
 
     def clip(lost: Column) -> Column:
-        return F.concat(F.substr(plain, F.lit(1), F.char_length(plain) - lost), F.repeat(F.lit("¬"), lost))
+        return F.concat(F.substr(plain, F.lit(1), n - lost), F.repeat(F.lit("¬"), lost))
 
-    n = F.char_length(plain)
-    return docs.rect_check(b, b.select("project_id", "doc_id", "block_id", clip(F.floor(n / (6 + F.col("pos") % 5)).cast("int")).alias("clip"), clip(F.floor(n / 2).cast("int")).alias("shifted")))
+    read = b.filter("type <> 'tabla'").withColumn("_plain", norm(F.regexp_replace("text", r"</?su[bp]>|\$[^$]*\$", " "))).withColumn("_n", F.char_length("_plain"))
+    return docs.rect_check(b, read.select("project_id", "doc_id", "block_id", clip(F.floor(n / (6 + F.col("pos") % 5)).cast("int")).alias("clip"), clip(F.floor(n / 2).cast("int")).alias("shifted")))
 
 
 @query("rect_check", f"WITH {_RECTS} SELECT * FROM checked")

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quoteloom.functions.fuzzy import lcs_length, partial_ratios, ratio
+from quoteloom.functions.fuzzy import best_windows, lcs_length, partial_ratios, ratio
 
 
 def table_lcs(a, b):
@@ -49,3 +49,26 @@ def test_many_pairs_with_long_needles():
 def test_edges():
     assert ratio("", "") == 100.0 and ratio("a", "") == 0.0
     assert list(partial_ratios(["", "", "abc"], ["", "a", "xxabcxx"])) == [100.0, 0.0, 100.0]
+
+
+def test_one_pass_scores_windows_of_both_strings_and_parts_of_long_texts():
+    rng = np.random.default_rng(4)
+    pick = lambda n: "".join(rng.choice(list("abc é😀"), n))
+    same = [(pick(int(n)), pick(int(n))) for n in rng.integers(1, 90, 60)]
+    assert np.abs(best_windows(same) - [every_window(a, b) for a, b in same]).max() < 1e-9
+    long_ = [(pick(int(m)), pick(int(n))) for m, n in zip(rng.integers(1, 12, 40), rng.integers(100, 400, 40))]
+    assert np.abs(best_windows(long_) - [every_window(a, b) for a, b in long_]).max() < 1e-9
+
+
+def test_rect_check_reads_its_texts_once_and_keeps_rows_without_clips(spark):
+    from quoteloom.operators.documents import rect_check
+
+    blocks = spark.createDataFrame([("p", "d", "b1", "parrafo", "abc def"), ("p", "d", "b2", "parrafo", " "), ("p", "d", "b3", "parrafo", "xyz"), ("p", "d", "b4", "tabla", "t")],
+                                   "project_id string, doc_id string, block_id string, type string, text string")
+    clips = spark.createDataFrame([("p", "d", "b1", "abc def", None), ("p", "d", "b1", "zzz", "abc"), ("p", "d", "b2", "q", "q")],
+                                  "project_id string, doc_id string, block_id string, clip string, shifted string")
+    out = rect_check(blocks, clips)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted((r.block_id, r.similarity, r.state, r.control_similarity) for r in out.collect()) == [
+        ("b1", 100.0, "OK", 100.0), ("b2", None, "SIN_TEXTO", None), ("b3", 0.0, "REVISAR", 0.0)]

@@ -38,6 +38,10 @@ def test_validated_rows_deals_out_no_values_of_rows(spark):
     assert not re.search(r"hashpartitioning\(project_id#\d+, \d+\)", plan.toString())
 
 
+def test_cell_fills_deals_no_row_by_project(spark):
+    assert not re.search(r"hashpartitioning\(project_id#\d+, \d+\)", _plan(spark, "cell_fills").toString())
+
+
 def test_faults_of_odd_codebooks_and_rows(spark):
     trace = ", ".join(f"`{n}` {k}" for n, k in TRACE_FIELDS.items())
     rows = spark.createDataFrame(

@@ -30,15 +30,19 @@ def running_sum(df: DataFrame, keys: list[str], position: str, value: Column, na
     )
 
 
-def carry_last(df: DataFrame, keys: list[str], position: str, value: Column, name: str, width: int = 1024) -> DataFrame:
-    """Adds ``name`` = last non-null ``value`` strictly before the row, per key, by position (two levels as above)."""
+def carry_last(df: DataFrame, keys: list[str], position: str, value: Column, name: str, width: int = 1024, ties: Column | None = None) -> DataFrame:
+    """Adds ``name`` = last non-null ``value`` strictly before the row, per key, by position (two levels as above).
+
+    Rows of one position come by ``ties``; without it Spark puts them in any order, which differs from run to run.
+    """
     bucket = F.floor(F.col(position) / F.lit(width))
     marked = df.withColumn("_bucket", bucket).withColumn("_value", value)
     ends = marked.filter("_value is not null").groupBy(*keys, "_bucket").agg(F.max_by("_value", position).alias("_end"))
     buckets = marked.select(*keys, "_bucket").distinct().join(ends.hint("merge"), [*keys, "_bucket"], "left")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_base", F.last("_end", ignorenulls=True).over(before)).drop("_end")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    order = [position] if ties is None else [F.col(position), ties]
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         marked.withColumn("_near", F.last("_value", ignorenulls=True).over(inside))
         .join(buckets.hint("merge"), [*keys, "_bucket"])

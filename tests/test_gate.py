@@ -2,8 +2,11 @@
 
 import re
 
+import duckdb
+
 from quoteloom.operators import rules
-from quoteloom.plans.catalogue import queries
+from quoteloom.plans.catalogue import oracle_sql, queries
+from quoteloom.plans.derived import FILA
 from quoteloom.schemas import TRACE_FIELDS
 from quoteloom.functions.typed import CELL_TYPE
 
@@ -52,3 +55,15 @@ def test_faults_of_odd_codebooks_and_rows(spark):
         "project_id string, key string, data_type string, required boolean, allowed array<string>")
     got = sorted((r.project_id, r.row_pos, r.column, r.message) for r in rules.schema_violations(rows, columns).collect())
     assert got == [("p", 0, "A", "type"), ("p", 0, "B", "required"), ("p", 0, "C", "missing key"), ("q", 0, "A", "unknown column")]
+
+
+def test_cell_fills_give_every_column_of_every_row(spark):
+    """One cell per column of the codebook and row, under refuted and unverifiable findings alike."""
+    got = queries()["cell_fills"](spark, FOLDER)
+    n = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{FOLDER}/lineitem.parquet'")
+        want = db.execute(f"SELECT key, fill, count(*) FROM ({oracle_sql()['cell_fills']}) GROUP BY ALL").fetchall()
+    counts = [tuple(r) for r in got.groupBy("key", "fill").count().collect()]
+    assert sorted(counts, key=str) == sorted(want, key=str)
+    assert len({k for k, _, _ in want}) == len(FILA) and sum(c for _, _, c in want) == n * len(FILA)

@@ -67,3 +67,12 @@ def test_compared_rows_pair_as_in_a_join(spark):
     assert got == [(1, '"x"', '"w"', False, '["w"]'), (1, '"x"', '"x"', True, None), (1, '"y"', '"w"', False, '["w"]'), (1, '"y"', '"x"', False, '["x"]'), (2, '"z"', '"z"', True, None)]
     both = {r.project_id: tuple(r)[2:4] for r in compare.agreement_of(a, b, ["t"], []).collect()}
     assert both == {"p": (6, 3), None: (1, 1)}
+
+
+@pytest.mark.parametrize("name", ["agreement", "compared_codings", "escalated_coding", "gold_comparison"])
+def test_compared_values_are_taken_without_building_them(spark, name):
+    """No record of a compared value is built or joined to a text only to be taken apart again."""
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    values = plan[:plan.index("Window")]
+    assert "arrays_zip" in plan or "filter(" in plan
+    assert not re.search(r"split\(|cast\(struct|array\(struct|v:Muestra", values)

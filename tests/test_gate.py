@@ -67,3 +67,15 @@ def test_cell_fills_give_every_column_of_every_row(spark):
     counts = [tuple(r) for r in got.groupBy("key", "fill").count().collect()]
     assert sorted(counts, key=str) == sorted(want, key=str)
     assert len({k for k, _, _ in want}) == len(FILA) and sum(c for _, _, c in want) == n * len(FILA)
+
+
+def _exchanged(node):
+    if node.nodeName() == "Exchange":
+        yield node.output().mkString(" ")
+    for i in range(node.children().size()):
+        yield from _exchanged(node.children().apply(i))
+
+
+def test_assembled_cells_deal_out_lines_not_values(spark):
+    dealt = list(_exchanged(_plan(spark, "assembled_cells").initialPlan()))
+    assert dealt and not [x for x in dealt if "fila#" in x or "traz#" in x]
